@@ -217,7 +217,7 @@ class Encoder:
         words = [p for p in parts if p[0] == " " and p[1:].isalpha()]
         groups = [words[i : i + 2000] for i in range(0, len(words), 2000)]
         rest = [p for p in parts if not (p[0] == " " and p[1:].isalpha())]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
             of, ids = np.array(e.word_ids, np.int64), np.array(e.ids, self.kind)
             if not len(of) or of[-1] + 1 != len(group) or (np.diff(of) < 0).any():
                 rest += group
