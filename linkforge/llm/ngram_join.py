@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from linkforge.llm.common import Scratch, components, partitions, spread, tidy
 from linkforge.llm.words import shingle_sets, split
 
 N, THRESHOLD = 5, (75, 100)
-GROUPS, LEAF = 64, 32
+GROUPS, LEAF = 128, 32
 #: Frequent shingles that the order regards, at most: 16 bytes each are broadcast.  The order may be any, so a bound loses nothing.
 FREQUENT = 131_072
 #: A shingle is reported as frequent by a slice of the input if one in so many of its documents has it.
@@ -49,6 +50,18 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
 
 
+def _packed_vector(shingles: np.ndarray) -> bytes:
+    """A count vector in 2 bytes a count, or 4 where a count needs them."""
+    v = count_vector(shingles)
+    return v.astype("<u2" if v.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def _vectors(packed: list[bytes]) -> np.ndarray:
+    if all(len(x) == 2 * GROUPS for x in packed):
+        return np.frombuffer(b"".join(packed), "<u2").reshape(-1, GROUPS).astype(np.int32)
+    return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in packed], np.int32).reshape(-1, GROUPS)
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: size, digest and count vector of its set; and rows for shingles frequent in a slice."""
     names = ["doc_id", "n", "node", "hi", "vector", "key", "seen"]
@@ -70,7 +83,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in split(batch.column("_text"), lower=True):
             for s in shingle_sets(words, N):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), count_vector(s).tobytes()))
+                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), _packed_vector(s)))
                 if len(s):
                     kept.append(s)
                     size += len(s)
@@ -105,9 +118,10 @@ def _entries(known, buckets: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, rank = known.value
         for batch in batches:
-            keys, nodes, met = [], [], set()
+            keys, nodes, ages, met = [], [], [], set()
+            ids = batch.column("doc_id").to_numpy()
             for words in split(batch.column("_text"), lower=True):
-                for s in shingle_sets(words, N):
+                for doc_id, s in zip(ids[words.first :].tolist(), shingle_sets(words, N)):
                     if not len(s):
                         continue
                     node = hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8]
@@ -117,39 +131,56 @@ def _entries(known, buckets: int):
                     prefix = _ordered_prefix(s, shingles, rank)
                     keys.append(prefix)
                     nodes.append(np.full(len(prefix), int.from_bytes(node, "little", signed=True)))
+                    ages.append(np.full(len(prefix), doc_id, np.float32))
             if not keys:
                 continue
-            key, node = np.concatenate(keys), np.concatenate(nodes)
+            key, node, age = np.concatenate(keys), np.concatenate(nodes), np.concatenate(ages)
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            key, node, bucket = key[order], node[order], bucket[order]
+            key, node, age, bucket = key[order], node[order], age[order], bucket[order]
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             last = np.append(first[1:], len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([key[a:b].tobytes() for a, b in zip(first, last)], pa.binary()), pa.array([node[a:b].tobytes() for a, b in zip(first, last)], pa.binary())], ["bucket", "keys", "nodes"])
+            blobs = [pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary()) for x in (key, node, age)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), *blobs], ["bucket", "keys", "nodes", "ages"])
 
     return f
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Coordinates that two points or more have: (key, node, the point before it in the tree)."""
-    held: dict[int, list[tuple[bytes, bytes]]] = {}
+    """Coordinates that two points or more have: (key, node, the tree's oldest point, the point before this one in age).
+
+    Age is the document's id, to the 24 bits of a float; it only orders.
+    """
+    held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
     for batch in batches:
-        for bucket, k, v in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), batch.column("nodes").to_pylist()):
-            held.setdefault(bucket, []).append((k, v))
+        for bucket, *parts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "keys", "nodes", "ages")]):
+            held.setdefault(bucket, []).append(tuple(parts))
     for bucket in sorted(held):
         parts = held.pop(bucket)
-        key = np.frombuffer(b"".join(k for k, _ in parts), np.int64)
-        node = np.frombuffer(b"".join(v for _, v in parts), np.int64)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, age = (np.frombuffer(b"".join(p[i] for p in parts), k) for i, k in enumerate((np.int64, np.int64, np.float32)))
+        order = np.argsort(key, kind="stable")
+        key, node, age = key[order], node[order], age[order]
+        alone = np.ones(len(key), bool)
+        alone[1:] &= key[1:] != key[:-1]
+        alone[:-1] &= key[1:] != key[:-1]
+        key, node, age = key[~alone], node[~alone], age[~alone]
+        # one entry for each point of a tree, with its least age
+        order = np.lexsort((age, node, key))
+        key, node, age = key[order], node[order], age[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[new], node[new]
-        same = np.zeros(len(key) + 1, bool)
-        same[1:-1] = key[1:] == key[:-1]
-        keep = np.flatnonzero(same[:-1] | same[1:])
-        before = pa.array(np.concatenate([[0], node[:-1]])[keep], mask=~same[:-1][keep])
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), before], ["key", "node", "before"])
+        key, node, age = key[new], node[new], age[new]
+        order = np.lexsort((node, age, key))
+        key, node = key[order], node[order]
+        start = np.ones(len(key), bool)
+        start[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(start)
+        size = np.diff(np.append(first, len(key)))
+        keep = np.repeat(size > 1, size)
+        hub = np.repeat(node[first], size)[keep]
+        before = np.concatenate([[0], node[:-1]])[keep]
+        oldest = start[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(hub, mask=oldest), pa.array(before, mask=oldest)], ["key", "node", "hub", "before"])
 
 
 class RTree:
@@ -209,40 +240,94 @@ class RTree:
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose count vectors allow the threshold."""
     for batch in batches:
-        a = np.frombuffer(b"".join(batch.column("va").to_pylist()), np.int32).reshape(-1, GROUPS)
-        b = np.frombuffer(b"".join(batch.column("vb").to_pylist()), np.int32).reshape(-1, GROUPS)
-        keep = pa.array(np.minimum(a, b).sum(axis=1) >= _needed(a.sum(axis=1), b.sum(axis=1)))
+        keep = pa.array(_allowed(_vectors(batch.column("va").to_pylist()), _vectors(batch.column("vb").to_pylist())))
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
+def _allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(axis=1) >= _needed(a.sum(axis=1), b.sum(axis=1))
+
+
 def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Plants an R-tree for each coordinate (rows come sorted by key) and returns the pairs of different classes it lets through."""
+    """Plants an R-tree for each coordinate (rows come sorted by key) and returns the pairs of different classes it lets through.
+
+    A tree of up to LEAF points is one leaf; such trees are searched many at a
+    time, and a pair that several have is looked at once.
+    """
 
-    def one(nodes: np.ndarray, classes: np.ndarray, vectors: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if len(nodes) < 2:
-            return
-        tree = RTree(np.frombuffer(b"".join(vectors), np.int32).reshape(-1, GROUPS))
-        for i, j in tree.pairs(classes):
-            a, b = nodes[i], nodes[j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def sent(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def searched(key: np.ndarray, node: np.ndarray, group: np.ndarray, vector: list[bytes]) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        left, right = [], []
+        for n in np.unique(size[(size > 1) & (size <= LEAF)]).tolist():
+            i, j = np.triu_indices(n, 1)
+            at = first[size == n][:, None]
+            left.append((at + i).reshape(-1))
+            right.append((at + j).reshape(-1))
+        if left:
+            i, j = np.concatenate(left), np.concatenate(right)
+            differ = group[i] != group[j]
+            i, j = i[differ], j[differ]
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            order = np.lexsort((b, a))
+            i, j, a, b = i[order], j[order], a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            i, j = i[new], j[new]
+            if len(i):
+                points = _vectors(vector)
+                for x in range(0, len(i), 16_384):
+                    u, v = i[x : x + 16_384], j[x : x + 16_384]
+                    met = _allowed(points[u], points[v])
+                    yield sent(node[u[met]], node[v[met]])
+        for at, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist()):
+            own, tree = slice(at, at + n), RTree(_vectors(vector[at : at + n]))
+            for i, j in tree.pairs(group[own]):
+                yield sent(node[own][i], node[own][j])
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+    rows = 0
+
+    def all_held() -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        return (*[np.concatenate([h[i] for h in held]) for i in range(3)], [x for h in held for x in h[3]])
 
-    at, nodes, classes, vectors = None, [], [], []
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        if not len(key):
+        if not len(batch):
             continue
-        node, group, vector = batch.column("node").to_numpy(), batch.column("class").to_numpy(), batch.column("vector").to_pylist()
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
-        for a, b in zip(cut, [*cut[1:], len(key)]):
-            if key[a] != at and nodes:
-                yield from one(np.concatenate(nodes), np.concatenate(classes), vectors)
-                nodes, classes, vectors = [], [], []
-            at = key[a]
-            nodes.append(node[a:b])
-            classes.append(group[a:b])
-            vectors += vector[a:b]
-    if nodes:
-        yield from one(np.concatenate(nodes), np.concatenate(classes), vectors)
+        held.append((*[batch.column(c).to_numpy() for c in ("key", "node", "class")], batch.column("vector").to_pylist()))
+        rows += len(batch)
+        if rows >= 50_000 and held[0][0][0] != held[-1][0][-1]:
+            key, node, group, vector = all_held()
+            cut = int(np.searchsorted(key, key[-1], "left"))  # the last tree may go on
+            yield from searched(key[:cut], node[:cut], group[:cut], vector[:cut])
+            held, rows = [(key[cut:], node[cut:], group[cut:], vector[cut:])], len(key) - cut
+    if held:
+        yield from searched(*all_held())
+
+
+#: Bits of the filter that keeps texts not needed from being shuffled; when more ids than it holds are needed it lets more through, no less.
+FILTER_BITS = 1 << 24
+
+
+def _needed_rows(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose doc_id may be in ``ids``: a Bloom filter of two bits an id, 2 MB, is broadcast."""
+    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)])).alias("bit"))
+    found = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("set")).toArrow()
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    table[found.column("word").to_numpy()] = found.column("set").to_numpy()
+    broadcast = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.ones(len(x), bool)
+        for bit in (x.to_numpy(), y.to_numpy()):
+            out &= (broadcast.value[bit >> 6] >> (bit & 63) & 1).astype(bool)
+        return pd.Series(out)
+
+    return rows.filter(may_be(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)]))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,33 +377,37 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("vector").alias("vector")))
 
     buckets = partitions(spark) * 4
-    entries = rows.filter("doc_id is not null").mapInArrow(_entries(known, buckets), "bucket int, keys binary, nodes binary")
-    shared = scratch.cut(spread(entries, "bucket").mapInArrow(_shared, "key long, node long, before long"))
-    tidy(spark)
-
-    involved = shared.select("node").distinct().join(points, "node").select("node", "rep")
-    one_text = rows.join(involved, rows["doc_id"] == involved["rep"]).select("node", F.col("_text").alias("text"))
-    texts = scratch.cut(one_text.dropDuplicates(["node"]))
+    entries = rows.filter("doc_id is not null").mapInArrow(_entries(known, buckets), "bucket int, keys binary, nodes binary, ages binary")
+    shared = scratch.cut(spread(entries, "bucket").mapInArrow(_shared, "key long, node long, hub long, before long"))
     tidy(spark)
+    vectors = points.select("node", "vector")
 
     def links_of(pairs: DataFrame) -> DataFrame:
+        """Verifies pairs; only the texts of their documents are shuffled."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = scratch.cut(nodes.join(points, "node").select("node", "rep"))
+        some = _needed_rows(rows, wanted, "rep")
+        texts = some.join(wanted, some["doc_id"] == wanted["rep"]).select("node", F.col("_text").alias("text"))
+        texts = scratch.cut(texts.dropDuplicates(["node"]))
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
-
-    vectors = points.select("node", "vector")
-    next_to = shared.filter("before is not null").select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
-    next_to = next_to.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
-    first = scratch.cut(links_of(next_to.select("a", "b", "va", "vb").mapInArrow(_bounded, "a long, b long")))
+        out = scratch.cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"))
+        scratch.drop(texts, wanted, pairs)
+        return out
+
+    # each point with its tree's oldest point, which may be what the others were copied from, and with the one before it
+    beside = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("before").alias("a"), F.col("node").alias("b")))
+    beside = beside.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    beside = beside.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
+    first = links_of(scratch.cut(beside.select("a", "b", "va", "vb").mapInArrow(_bounded, "a long, b long")))
     classes = scratch.cut(components(scratch, first))
 
     members = shared.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
     open_keys = members.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
     open_members = members.join(open_keys, "key").join(vectors, "node")
     grown = spread(open_members.select("key", "node", "class", "vector"), "key").sortWithinPartitions("key")
-    crossing = grown.mapInArrow(_grown, "a long, b long").distinct()
-    second = scratch.cut(links_of(crossing))
-    scratch.drop(shared, texts)
+    second = links_of(scratch.cut(grown.mapInArrow(_grown, "a long, b long").distinct()))
+    scratch.drop(shared)
     links = first.unionByName(second)
 
     final = components(scratch, links)
