@@ -56,6 +56,27 @@ def _packed_vector(shingles: np.ndarray) -> bytes:
     return v.astype("<u2" if v.max(initial=0) < 1 << 16 else "<u4").tobytes()
 
 
+def _fine_vector(shingles: np.ndarray) -> bytes:
+    """Counts in so many groups that a group has four shingles or fewer on average; the first byte is their width.
+
+    In the trees' GROUPS groups the counts of any two long texts are alike;
+    the bound on distinct pairs is therefore taken once more in these.
+    """
+    groups = max(GROUPS, 1 << max(0, (len(shingles) - 1) // 4).bit_length())
+    v = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (groups - 1), minlength=groups)
+    width = 1 if v.max(initial=0) < 1 << 8 else 2 if v.max() < 1 << 16 else 4
+    return bytes([width]) + v.astype(f"<u{width}").tobytes()
+
+
+def _fine_allowed(a: bytes, b: bytes) -> bool:
+    x, y = (np.frombuffer(v, f"<u{v[0]}", offset=1).astype(np.int64) for v in (a, b))
+    need = _needed(x.sum(), y.sum())
+    if len(x) != len(y):  # both counts are powers of two; the finer is folded
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = y.reshape(-1, len(x)).sum(axis=0)
+    return bool(np.minimum(x, y).sum() >= need)
+
+
 def _vectors(packed: list[bytes]) -> np.ndarray:
     if all(len(x) == 2 * GROUPS for x in packed):
         return np.frombuffer(b"".join(packed), "<u2").reshape(-1, GROUPS).astype(np.int32)
@@ -64,7 +85,7 @@ def _vectors(packed: list[bytes]) -> np.ndarray:
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: size, digest and count vector of its set; and rows for shingles frequent in a slice."""
-    names = ["doc_id", "n", "node", "hi", "vector", "key", "seen"]
+    names = ["doc_id", "n", "node", "hi", "vector", "fine", "key", "seen"]
     kept: list[np.ndarray] = []
     size = 0
 
@@ -76,22 +97,22 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept.clear()
         size = 0
         empty = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(k, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names)
 
     for batch in batches:
-        rows: list[tuple[int, int, int, bytes]] = []
+        rows: list[tuple[int, int, int, bytes, bytes]] = []
         for words in split(batch.column("_text"), lower=True):
             for s in shingle_sets(words, N):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), _packed_vector(s)))
+                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), _packed_vector(s), _fine_vector(s)))
                 if len(s):
                     kept.append(s)
                     size += len(s)
                     if size >= SLICE_SHINGLES:
                         yield frequent()
         k = len(rows)
-        columns = list(zip(*rows)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+        columns = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], *[pa.array(c, pa.binary()) for c in columns[3:]], pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
     if kept:
         yield frequent()
 
@@ -238,9 +259,9 @@ class RTree:
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose count vectors allow the threshold."""
+    """Pairs whose fine count vectors allow the threshold."""
     for batch in batches:
-        keep = pa.array(_allowed(_vectors(batch.column("va").to_pylist()), _vectors(batch.column("vb").to_pylist())))
+        keep = pa.array([_fine_allowed(x, y) for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist())], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
@@ -368,22 +389,24 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    profiles = scratch.cut(rows.mapInArrow(_profiles, "doc_id long, n long, node long, hi long, vector binary, key long, seen long"))
+    profiles = scratch.cut(rows.mapInArrow(_profiles, "doc_id long, n long, node long, hi long, vector binary, fine binary, key long, seen long"))
     frequent = profiles.filter("key is not null").groupBy("key").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "key").limit(FREQUENT).toArrow()
     key, seen = frequent.column("key").to_numpy().view(np.uint64), frequent.column("seen").to_numpy()
     order = np.argsort(key)
     known = spark.sparkContext.broadcast((key[order], seen[order]))
-    sets = profiles.filter("key is null").select("doc_id", "n", "node", "vector")
-    points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("vector").alias("vector")))
+    sets = profiles.filter("key is null").select("doc_id", "n", "node", "vector", "fine")
+    points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("vector").alias("vector"), F.first("fine").alias("fine")))
 
     buckets = partitions(spark) * 4
     entries = rows.filter("doc_id is not null").mapInArrow(_entries(known, buckets), "bucket int, keys binary, nodes binary, ages binary")
     shared = scratch.cut(spread(entries, "bucket").mapInArrow(_shared, "key long, node long, hub long, before long"))
     tidy(spark)
-    vectors = points.select("node", "vector")
+    vectors, fine = points.select("node", "vector"), points.select("node", "fine")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        """Verifies pairs; only the texts of their documents are shuffled."""
+        """Bounds pairs by their fine vectors and verifies those left; only the texts of their documents are shuffled."""
+        pairs = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("va")), "a").join(fine.select(F.col("node").alias("b"), F.col("fine").alias("vb")), "b")
+        pairs = scratch.cut(pairs.select("a", "b", "va", "vb").mapInArrow(_bounded, "a long, b long"))
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = scratch.cut(nodes.join(points, "node").select("node", "rep"))
         some = _needed_rows(rows, wanted, "rep")
@@ -398,15 +421,14 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # each point with its tree's oldest point, which may be what the others were copied from, and with the one before it
     beside = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("before").alias("a"), F.col("node").alias("b")))
     beside = beside.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    beside = beside.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
-    first = links_of(scratch.cut(beside.select("a", "b", "va", "vb").mapInArrow(_bounded, "a long, b long")))
+    first = links_of(beside)
     classes = scratch.cut(components(scratch, first))
 
     members = shared.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
     open_keys = members.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
     open_members = members.join(open_keys, "key").join(vectors, "node")
     grown = spread(open_members.select("key", "node", "class", "vector"), "key").sortWithinPartitions("key")
-    second = links_of(scratch.cut(grown.mapInArrow(_grown, "a long, b long").distinct()))
+    second = links_of(grown.mapInArrow(_grown, "a long, b long").distinct())
     scratch.drop(shared)
     links = first.unionByName(second)
 
