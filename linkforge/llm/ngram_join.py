@@ -29,10 +29,8 @@ from linkforge.llm.words import shingle_sets, split
 
 N, THRESHOLD = 5, (75, 100)
 GROUPS, LEAF = 128, 32
-#: Frequent shingles that the order regards, at most: 16 bytes each are broadcast.  The order may be any, so a bound loses nothing.
-FREQUENT = 131_072
-#: A shingle is reported as frequent by a slice of the input if one in so many of its documents has it.
-FREQUENT_SHARE, SLICE_SHINGLES = 256, 2_000_000
+#: Slots in which shingles are counted for the common order, and in how many pieces the counts are summed; 2 MB are broadcast.
+SLOTS, PIECES = 1 << 18, 16
 
 
 def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,61 +81,59 @@ def _vectors(packed: list[bytes]) -> np.ndarray:
     return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in packed], np.int32).reshape(-1, GROUPS)
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document: size, digest and count vector of its set; and rows for shingles frequent in a slice."""
-    names = ["doc_id", "n", "node", "hi", "vector", "fine", "key", "seen"]
-    kept: list[np.ndarray] = []
-    size = 0
-
-    def frequent() -> pa.RecordBatch:
-        nonlocal size
-        values, seen = np.unique(np.concatenate(kept), return_counts=True)
-        often = seen >= max(4, len(kept) // FREQUENT_SHARE)
-        k = int(often.sum())
-        kept.clear()
-        size = 0
-        empty = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names)
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(46)).astype(np.int64)
+
 
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: size, digest and count vectors of its set; and the partition's counts of shingles by slot, in pieces."""
+    names = ["doc_id", "n", "node", "hi", "vector", "fine", "key"]
+    counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
         rows: list[tuple[int, int, int, bytes, bytes]] = []
+        held: list[np.ndarray] = []
         for words in split(batch.column("_text"), lower=True):
             for s in shingle_sets(words, N):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), _packed_vector(s), _fine_vector(s)))
-                if len(s):
-                    kept.append(s)
-                    size += len(s)
-                    if size >= SLICE_SHINGLES:
-                        yield frequent()
+                counts += np.bincount(_slots(s), minlength=SLOTS) if len(s) > SLOTS else 0
+                if 0 < len(s) <= SLOTS:
+                    held.append(s)
+            if held:
+                counts += np.bincount(_slots(np.concatenate(held)), minlength=SLOTS)
+                held = []
         k = len(rows)
         columns = list(zip(*rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], *[pa.array(c, pa.binary()) for c in columns[3:]], pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
-    if kept:
-        yield frequent()
-
-
-def _ordered_prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first elements of a sorted set in the common order: infrequent ones by hash, then frequent ones by count."""
-    k = _prefix(len(s))
-    if not len(known):
-        return s[:k]
-    at = np.searchsorted(known, s)
-    at[at == len(known)] = 0
-    hot = known[at] == s
-    rare = s[~hot]
-    if len(rare) >= k:
-        return rare[:k]
-    hot_ones = s[hot]
-    order = np.argsort(rank[at[hot]], kind="stable")
-    return np.concatenate([rare, hot_ones[order[: k - len(rare)]]])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], *[pa.array(c, pa.binary()) for c in columns[3:]], pa.nulls(k, pa.int64())], names)
+    if counts.any():
+        empty = pa.nulls(PIECES, pa.int64())
+        pieces = pa.array([x.astype("<u4" if counts.max() < 1 << 32 else "<u8").tobytes() for x in np.split(counts, PIECES)], pa.binary())
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pieces, pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int64())], names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size, sums = SLOTS // PIECES, {}
+    for batch in batches:
+        for key, piece in zip(batch.column("key").to_pylist(), batch.column("vector").to_pylist()):
+            sums.setdefault(key, np.zeros(size, np.int64))
+            sums[key] += np.frombuffer(piece, f"<u{len(piece) // size}").astype(np.int64)
+    yield pa.RecordBatch.from_pydict({"key": pa.array(list(sums), pa.int64()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+
+def _ordered_prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first elements of a sorted set in the common order: by the count of their slot, then by hash.
+
+    Any order is right; in this one shingles that many documents share come
+    last, even where a slot's other shingles blur its count.
+    """
+    return s[np.argsort(counts[_slots(s)], kind="stable")[: _prefix(len(s))]]
 
 
 def _entries(known, buckets: int):
     """For each slice and bucket, one row with the packed (coordinate, node) entries of the slice's documents."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, rank = known.value
+        counts = known.value
         for batch in batches:
             keys, nodes, ages, met = [], [], [], set()
             ids = batch.column("doc_id").to_numpy()
@@ -149,7 +145,7 @@ def _entries(known, buckets: int):
                     if node in met:  # copies are one point
                         continue
                     met.add(node)
-                    prefix = _ordered_prefix(s, shingles, rank)
+                    prefix = _ordered_prefix(s, counts)
                     keys.append(prefix)
                     nodes.append(np.full(len(prefix), int.from_bytes(node, "little", signed=True)))
                     ages.append(np.full(len(prefix), doc_id, np.float32))
@@ -389,11 +385,11 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    profiles = scratch.cut(rows.mapInArrow(_profiles, "doc_id long, n long, node long, hi long, vector binary, fine binary, key long, seen long"))
-    frequent = profiles.filter("key is not null").groupBy("key").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "key").limit(FREQUENT).toArrow()
-    key, seen = frequent.column("key").to_numpy().view(np.uint64), frequent.column("seen").to_numpy()
-    order = np.argsort(key)
-    known = spark.sparkContext.broadcast((key[order], seen[order]))
+    profiles = scratch.cut(rows.mapInArrow(_profiles, "doc_id long, n long, node long, hi long, vector binary, fine binary, key long"))
+    counts = np.zeros(SLOTS, np.int64)
+    for r in spread(profiles.filter("key is not null").select("key", "vector"), "key").mapInArrow(_summed, "key long, counts binary").collect():
+        counts[r["key"] * (SLOTS // PIECES) :][: SLOTS // PIECES] += np.frombuffer(r["counts"], np.int64)
+    known = spark.sparkContext.broadcast(counts)
     sets = profiles.filter("key is null").select("doc_id", "n", "node", "vector", "fine")
     points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("vector").alias("vector"), F.first("fine").alias("fine")))
 
