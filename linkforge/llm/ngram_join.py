@@ -8,9 +8,10 @@ an R-tree bounds for whole nodes by their boxes.
 In one tree over a whole corpus all boxes would meet, since the counts of
 unrelated texts are alike.  The trees are therefore planted along coordinates
 of a far finer grouping, one shingle each: two sets with a Jaccard similarity
-of t share one of the first n - ceil(t n) + 1 elements of each under any common
+of t share k of the first n - ceil(t n) + k elements of each under any common
 order (the prefix filter), so a point enters the trees of its first coordinates
-only, and no link is lost.  Frequent shingles come last in that order.
+only, and no link is lost; a point that shares fewer than k of them with
+whatever others has no link and leaves all its trees.  Frequent shingles come last in that order.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from linkforge.llm.words import shingle_sets, split
 
 N, THRESHOLD = 5, (75, 100)
 GROUPS, LEAF = 128, 32
+#: The longer a prefix, the more of its elements a link needs: one more for each EXTRA shingles.
+EXTRA = 12
 #: Slots in which shingles are counted for the common order, and in how many pieces the counts are summed; 2 MB are broadcast.
 SLOTS, PIECES = 1 << 18, 16
 
@@ -39,9 +42,14 @@ def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -((-p * (a + b)) // (p + q))
 
 
+def _extra(n: int) -> int:
+    """How many of its first coordinates a point must share at least with another of n shingles or more."""
+    return max(1, n // EXTRA)
+
+
 def _prefix(n: int) -> int:
     p, q = THRESHOLD
-    return n + (-p * n) // q + 1 if n else 0
+    return n + (-p * n) // q + _extra(n) if n else 0
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
@@ -391,12 +399,19 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         counts[r["key"] * (SLOTS // PIECES) :][: SLOTS // PIECES] += np.frombuffer(r["counts"], np.int64)
     known = spark.sparkContext.broadcast(counts)
     sets = profiles.filter("key is null").select("doc_id", "n", "node", "vector", "fine")
-    points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("vector").alias("vector"), F.first("fine").alias("fine")))
+    points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("fine").alias("fine")))
 
     buckets = partitions(spark) * 4
     entries = rows.filter("doc_id is not null").mapInArrow(_entries(known, buckets), "bucket int, keys binary, nodes binary, ages binary")
     shared = scratch.cut(spread(entries, "bucket").mapInArrow(_shared, "key long, node long, hub long, before long"))
     tidy(spark)
+    # a partner has three quarters of a point's shingles at least
+    p, q = THRESHOLD
+    enough = F.greatest(F.lit(1), F.expr(f"(n * {p} + {q - 1}) div {q} div {EXTRA}"))
+    linkable = shared.groupBy("node").agg(F.count("*").alias("shares")).join(points.select("node", "n"), "node").filter(F.col("shares") >= enough)
+    linkable = scratch.cut(linkable.select("node"))
+    trees = scratch.cut(shared.join(linkable, "node"))
+    scratch.drop(shared)
     vectors, fine = points.select("node", "vector"), points.select("node", "fine")
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -415,17 +430,18 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return out
 
     # each point with its tree's oldest point, which may be what the others were copied from, and with the one before it
-    beside = shared.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("before").alias("a"), F.col("node").alias("b")))
-    beside = beside.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    beside = trees.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(trees.select(F.col("before").alias("a"), F.col("node").alias("b")))
+    beside = beside.filter("a is not null").distinct().join(linkable.select(F.col("node").alias("a")), "a")
+    beside = beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = links_of(beside)
     classes = scratch.cut(components(scratch, first))
 
-    members = shared.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
+    members = trees.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
     open_keys = members.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
     open_members = members.join(open_keys, "key").join(vectors, "node")
     grown = spread(open_members.select("key", "node", "class", "vector"), "key").sortWithinPartitions("key")
     second = links_of(grown.mapInArrow(_grown, "a long, b long").distinct())
-    scratch.drop(shared)
+    scratch.drop(trees)
     links = first.unionByName(second)
 
     final = components(scratch, links)
