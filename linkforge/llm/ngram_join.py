@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.llm.common import Scratch, components, partitions, spread, tidy
-from linkforge.llm.words import shingle_sets, split
+from linkforge.llm.words import mix64, shingle_sets, split
 
 N, THRESHOLD = 5, (75, 100)
-GROUPS, LEAF = 128, 32
+#: Groups of a point in the trees: four shingles or fewer a group on average, from GROUPS to TREE_GROUPS of them.
+GROUPS, TREE_GROUPS, LEAF = 128, 1024, 32
 #: The longer a prefix, the more of its elements a link needs: one more for each EXTRA shingles.
 EXTRA = 12
 #: Slots in which shingles are counted for the common order, and in how many pieces the counts are summed; 2 MB are broadcast.
@@ -52,23 +53,15 @@ def _prefix(n: int) -> int:
     return n + (-p * n) // q + _extra(n) if n else 0
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+def _count_vector(shingles: np.ndarray, most: int | None = None) -> bytes:
+    """Counts by group, in so many groups that one has four shingles or fewer on average (``most`` at most); the first byte is their width.
 
-
-def _packed_vector(shingles: np.ndarray) -> bytes:
-    """A count vector in 2 bytes a count, or 4 where a count needs them."""
-    v = count_vector(shingles)
-    return v.astype("<u2" if v.max(initial=0) < 1 << 16 else "<u4").tobytes()
-
-
-def _fine_vector(shingles: np.ndarray) -> bytes:
-    """Counts in so many groups that a group has four shingles or fewer on average; the first byte is their width.
-
-    In the trees' GROUPS groups the counts of any two long texts are alike;
-    the bound on distinct pairs is therefore taken once more in these.
+    In few groups the counts of any two long texts are alike, so groups grow
+    with the set; their number is a power of two, and finer counts are folded
+    to compare them with coarser ones.
     """
     groups = max(GROUPS, 1 << max(0, (len(shingles) - 1) // 4).bit_length())
+    groups = min(groups, most) if most else groups
     v = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (groups - 1), minlength=groups)
     width = 1 if v.max(initial=0) < 1 << 8 else 2 if v.max() < 1 << 16 else 4
     return bytes([width]) + v.astype(f"<u{width}").tobytes()
@@ -83,10 +76,17 @@ def _fine_allowed(a: bytes, b: bytes) -> bool:
     return bool(np.minimum(x, y).sum() >= need)
 
 
-def _vectors(packed: list[bytes]) -> np.ndarray:
-    if all(len(x) == 2 * GROUPS for x in packed):
-        return np.frombuffer(b"".join(packed), "<u2").reshape(-1, GROUPS).astype(np.int32)
-    return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in packed], np.int32).reshape(-1, GROUPS)
+def _groups_of(packed: list[bytes]) -> np.ndarray:
+    return np.array([(len(v) - 1) // v[0] for v in packed])
+
+
+def _vectors(packed: list[bytes], groups: int) -> np.ndarray:
+    """Count vectors folded to so many groups, of which each has as many at least."""
+    out = np.empty((len(packed), groups), np.int32)
+    for i, v in enumerate(packed):
+        x = np.frombuffer(v, f"<u{v[0]}", offset=1)
+        out[i] = x if len(x) == groups else x.reshape(-1, groups).sum(axis=0)
+    return out
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in split(batch.column("_text"), lower=True):
             for s in shingle_sets(words, N):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), _packed_vector(s), _fine_vector(s)))
+                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), _count_vector(s, TREE_GROUPS), _count_vector(s)))
                 counts += np.bincount(_slots(s), minlength=SLOTS) if len(s) > SLOTS else 0
                 if 0 < len(s) <= SLOTS:
                     held.append(s)
@@ -283,7 +283,32 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sent(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
+    seen: set[int] = set()
+
+    def fresh(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs that this task hasn't sent yet; it remembers a million."""
+        new = np.ones(len(a), bool)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        for i, h in enumerate(mix64(np.minimum(a, b).view(np.uint64) * np.uint64(3) + np.maximum(a, b).view(np.uint64)).tolist()):
+            if h in seen:
+                new[i] = False
+            else:
+                seen.add(h)
+        return new
+
+    def met(i: np.ndarray, j: np.ndarray, vector: list[bytes], groups: np.ndarray) -> np.ndarray:
+        """Which pairs the bound lets through, each in the coarser groups of its two points."""
+        out, least = np.zeros(len(i), bool), np.minimum(groups[i], groups[j])
+        for g in np.unique(least).tolist():
+            for x in np.array_split(np.flatnonzero(least == g), max(1, int((least == g).sum()) // 8192)):
+                rows, at = np.unique(np.concatenate([i[x], j[x]]), return_inverse=True)
+                points = _vectors([vector[r] for r in rows.tolist()], g)
+                out[x] = _allowed(points[at[: len(x)]], points[at[len(x) :]])
+        return out
+
     def searched(key: np.ndarray, node: np.ndarray, group: np.ndarray, vector: list[bytes]) -> Iterator[pa.RecordBatch]:
+        groups = _groups_of(vector)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         left, right = [], []
@@ -292,26 +317,25 @@ def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = first[size == n][:, None]
             left.append((at + i).reshape(-1))
             right.append((at + j).reshape(-1))
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            differ = group[i] != group[j]
-            i, j = i[differ], j[differ]
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            order = np.lexsort((b, a))
-            i, j, a, b = i[order], j[order], a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            i, j = i[new], j[new]
-            if len(i):
-                points = _vectors(vector)
-                for x in range(0, len(i), 16_384):
-                    u, v = i[x : x + 16_384], j[x : x + 16_384]
-                    met = _allowed(points[u], points[v])
-                    yield sent(node[u[met]], node[v[met]])
         for at, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist()):
-            own, tree = slice(at, at + n), RTree(_vectors(vector[at : at + n]))
-            for i, j in tree.pairs(group[own]):
-                yield sent(node[own][i], node[own][j])
+            tree = RTree(_vectors(vector[at : at + n], int(groups[at : at + n].min())))
+            for i, j in tree.pairs(group[at : at + n]):
+                left.append(at + i)
+                right.append(at + j)
+        if not left:
+            return
+        i, j = np.concatenate(left), np.concatenate(right)
+        differ = group[i] != group[j]
+        i, j = i[differ], j[differ]
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        order = np.lexsort((b, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        i, j = i[order[new]], j[order[new]]
+        new = fresh(node[i], node[j])
+        i, j = i[new], j[new]
+        keep = met(i, j, vector, groups)
+        yield sent(node[i[keep]], node[j[keep]])
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
     rows = 0
@@ -436,10 +460,11 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = links_of(beside)
     classes = scratch.cut(components(scratch, first))
 
-    members = trees.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
+    members = trees.select("key", "node", F.coalesce("hub", "node").alias("hub")).join(classes, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("class"))
     open_keys = members.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
     open_members = members.join(open_keys, "key").join(vectors, "node")
-    grown = spread(open_members.select("key", "node", "class", "vector"), "key").sortWithinPartitions("key")
+    # trees with the same oldest point have mostly the same pairs, so four tasks get them
+    grown = spread(open_members, "hub", F.pmod("key", F.lit(4))).select("key", "node", "class", "vector").sortWithinPartitions("key")
     second = links_of(grown.mapInArrow(_grown, "a long, b long").distinct())
     scratch.drop(trees)
     links = first.unionByName(second)
