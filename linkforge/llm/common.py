@@ -81,6 +81,11 @@ def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *keys)
 
 
+def to_partition(df: DataFrame, column: str) -> DataFrame:
+    """Sends each row to the partition whose number, below the session's count, stands in the column."""
+    return df.repartitionById(partitions(df.sparkSession), F.col(column))
+
+
 def components(scratch: Scratch, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given as links: (node, component), component the smallest node.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import Scratch, components, partitions, spread, tidy
+from linkforge.llm.common import Scratch, components, partitions, spread, tidy, to_partition
 from linkforge.llm.words import mix64, shingle_sets, split
 
 N, THRESHOLD = 5, (75, 100)
@@ -425,9 +425,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sets = profiles.filter("key is null").select("doc_id", "n", "node", "vector", "fine")
     points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("fine").alias("fine")))
 
-    buckets = partitions(spark) * 4
+    buckets = partitions(spark)
     entries = rows.filter("doc_id is not null").mapInArrow(_entries(known, buckets), "bucket int, keys binary, nodes binary, ages binary")
-    shared = scratch.cut(spread(entries, "bucket").mapInArrow(_shared, "key long, node long, hub long, before long"))
+    shared = scratch.cut(to_partition(entries, "bucket").mapInArrow(_shared, "key long, node long, hub long, before long"))
     tidy(spark)
     # a partner has three quarters of a point's shingles at least
     p, q = THRESHOLD

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import Scratch, partitions, spread, tidy
+from linkforge.llm.common import Scratch, partitions, tidy, to_partition
 from linkforge.llm.words import Words, split, windows
 
 WINDOW, ANCHOR = 50, 20
@@ -292,21 +292,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(spark)
     keep = keep or []
     n = partitions(spark)
-    blocks = buckets = 4 * n
+    blocks = buckets = n
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     known = rows.filter("doc_id is not null")
     anchors = known.select("block", "_text").mapInArrow(_anchors(buckets), "bucket int, anchors binary, homes binary, many binary")
-    shared = scratch.cut(spread(anchors, "bucket").mapInArrow(_shared_anchors, "block int, entries binary"))
+    shared = scratch.cut(to_partition(anchors, "bucket").mapInArrow(_shared_anchors, "block int, entries binary"))
     tidy(spark)
 
     def beside(entries: DataFrame, docs: DataFrame) -> DataFrame:
         """Documents and index entries of a block in one partition, the entries first."""
         both = docs.withColumn("entries", F.lit(None).cast("binary")).unionByName(entries, allowMissingColumns=True)
-        return spread(both, "block").sortWithinPartitions("block", F.col("entries").isNull())
+        return to_partition(both, "block").sortWithinPartitions("block", F.col("entries").isNull())
 
     candidates = beside(shared, known.select("block", "doc_id", "_text")).mapInArrow(_candidate_windows(buckets), "bucket int, windows binary, homes binary")
-    index = scratch.cut(spread(candidates, "bucket").mapInArrow(_reference, "block int, entries binary"))
+    index = scratch.cut(to_partition(candidates, "bucket").mapInArrow(_reference, "block int, entries binary"))
     tidy(spark)
     scratch.drop(shared)
     kinds = dict(rows.dtypes)
