@@ -32,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,10 +179,9 @@ def open_shard(path: str) -> Reader:
     return Reader(fs.open_input_file(p))
 
 
-#: How byte-level models of this kind part a text before merging (fixed value, as published with them).
-_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of these characters alone are parted alike by any version of the character tables.
-_PLAIN = re.compile("[\t\n\r -~ -ʯΆ-ϿЀ-ӿ‐-‧ぁ-ゖァ-ヺ一-龥가-힣]*")
+#: How byte-level models of this kind part a text before merging, for texts of the characters below alone: letters, contractions, digits, other signs, white space.
+_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ʯ]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ʯ0-9]+|\s+(?!\S)|\s+")
+_PLAIN = re.compile("[\t\n\r -~¡-©«-±´¶-¸»¿À-ʯ‐-‧]*")
 
 
 class Encoder:
@@ -192,8 +190,8 @@ class Encoder:
     Where the model is a byte-level one that parts texts by the usual pattern
     and has no normaliser, a text's ids are those of its parts in turn; each
     part is encoded by the library once and remembered, up to ``most`` parts.
-    Texts with unusual characters or special tokens, and other models, go to
-    the library whole.
+    Texts with characters beyond Latin letters and common signs or with special
+    tokens, and other models, go to the library whole.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -207,43 +205,45 @@ class Encoder:
         self.special = [t["content"] for t in made.get("added_tokens", [])]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.most = f"<u{self.width}", most
-        self.parts, self.known = regex.compile(_PARTS), {}
+        self.known: dict[str, bytes] = {}
+        end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = end[0] if len(end) == 1 else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _each(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of each part.  Words after a space are joined by the thousand: the library parts them at the same places."""
-        words = [p for p in parts if p[0] == " " and p[1:].isalpha()]
+        """Ids of each part.  Words after a space are joined by line ends: the library parts them there, and a line end has an id of its own."""
+        plain = lambda p: p[0] == " " and p[1:].isalpha()
+        words = [p for p in parts if plain(p)] if self.line_end is not None else []
+        rest = [p for p in parts if not plain(p)] if words else parts
         groups = [words[i : i + 2000] for i in range(0, len(words), 2000)]
-        rest = [p for p in parts if not (p[0] == " " and p[1:].isalpha())]
-        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
-            of, ids = np.array(e.word_ids, np.int64), np.array(e.ids, self.kind)
-            if not len(of) or of[-1] + 1 != len(group) or (np.diff(of) < 0).any():
+        for group, data in zip(groups, self._whole(["\n".join(g) + "\n" for g in groups])):
+            ends = np.flatnonzero(np.frombuffer(data, self.kind) == self.line_end)
+            if len(ends) != len(group):
                 rest += group
                 continue
-            at, data = (np.searchsorted(of, np.arange(len(group) + 1)) * self.width).tolist(), ids.tobytes()
-            yield from zip(group, [data[a:b] for a, b in zip(at[:-1], at[1:])])
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            yield from zip(group, [data[a:b] for a, b in zip((starts * self.width).tolist(), (ends * self.width).tolist())])
         for a in range(0, len(rest), 20_000):
             yield from zip(rest[a : a + 20_000], self._whole(rest[a : a + 20_000]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        whole, parted, new = [], [], {}
+        whole, parted, met = [], [], set()
         for i, text in enumerate(texts):
             if self.by_parts and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                parts = self.parts.findall(text)
+                parts = _PARTS.findall(text)
                 parted.append((i, parts))
-                new.update((p, None) for p in set(parts) if p not in self.known)
+                met.update(parts)
             else:
                 whole.append(i)
-        if new:
-            new = dict(self._each(list(new)))
+        known = self.known
+        new = dict(self._each([p for p in met if p not in known]))
         if len(self.known) + len(new) <= self.most:
             self.known.update(new)
             get = self.known.__getitem__
         else:
-            known = self.known
             get = lambda p: known[p] if p in known else new[p]
         for i, parts in parted:
             out[i] = b"".join(map(get, parts))
@@ -263,7 +263,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write_tables(df: DataFrame, tokenizer: str, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, slice_bytes: int = 1 << 20) -> list[dict]:
+def write_tables(df: DataFrame, tokenizer: str, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, slice_bytes: int = 4 << 20) -> list[dict]:
     """Encodes all texts and writes them, in ascending order of ids, as shards under ``out_dir``.
 
     ``out_dir`` must be a URI that all executors share and pyarrow can open; it
