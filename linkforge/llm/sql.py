@@ -27,7 +27,7 @@ FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 
 OP9 = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
 ), pairs AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.95
