@@ -1,6 +1,370 @@
-"""Registered queries and their SQL."""
+"""Queries over the tables of a folder, and DuckDB SQL with the same results."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkforge.functions import chars, fuzz, strsim, text, vectors
+from linkforge.operators import corpus, dedupe, evaluate, knn, minhash, tfidf
+from linkforge.plans.strategy import IvfShape
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a small file is one split; texts are dealt out before they are worked on
+    return _table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name): distinct part names with brand and type, the least key as id."""
+    return _table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name")).agg(F.min("p_partkey").alias("id")).select("id", "name")
+
+
+_NAMES = "names AS (SELECT min(p_partkey) AS id, concat_ws(' ', p_name, p_brand, p_type) AS name FROM part GROUP BY 2)"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+# ---- sets, shingles, locality-sensitive hashing
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) AS s FROM documents)
+SELECT a.doc_id, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard
+FROM w a JOIN w b ON b.doc_id = a.doc_id + 1
+""")
+def word_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _documents(spark, sf_dir).select("doc_id", text.words(F.col("text")).alias("s"))
+    pairs = w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t")), "doc_id")
+    return pairs.select("doc_id", F.round(text.jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
+
+
+_SHINGLES = "s AS (SELECT DISTINCT doc_id, substr(text, unnest(range(1, length(text) - 2)), 4) AS sh FROM documents WHERE length(text) >= 4)"
+
+
+@query(f"WITH {_SHINGLES} SELECT d.doc_id, greatest(0, length(text) - 3)::BIGINT AS n_shingles, coalesce(n, 0)::BIGINT AS n_distinct FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) c ON d.doc_id = c.doc_id")
+def char_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = text.shingle_udf(4)(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_shingles"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"))
+
+
+_PERMS, _LEVEL = 16, 0.6
+_BANDS, _ROWS = minhash.band_shape(_LEVEL, _PERMS)
+_SIGNED = (
+    f"{_SHINGLES}, h AS (SELECT doc_id, ('0x' || substr(md5(sh), 1, 8))::BIGINT % {minhash.PRIME} AS h FROM s), "
+    "signed AS (SELECT d.doc_id, [" + ", ".join(f"coalesce(min((h * {a} + {b}) % {minhash.PRIME}), {minhash.PRIME})" for a, b in minhash.family(_PERMS)) + "] AS sig FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id), "
+    f"banded AS (SELECT doc_id, b, array_to_string(sig[b * {_ROWS} + 1:b * {_ROWS} + {_ROWS}], ',') AS bucket FROM (SELECT doc_id, sig, unnest(range({_BANDS})) AS b FROM signed)), "
+    "found AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS c FROM banded x JOIN banded y ON x.b = y.b AND x.bucket = y.bucket)"
+)
+
+
+@query(f"WITH {_SIGNED} SELECT doc_id, array_to_string(sig, ',') AS signature FROM signed")
+def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = minhash.signatures(_documents(spark, sf_dir), "doc_id", "text", _PERMS)
+    return signed.select(F.col("id").alias("doc_id"), F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+@query(f"WITH {_SIGNED} SELECT a AS orig_idxs, c AS match_idxs FROM found")
+def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.lsh_pairs(_documents(spark, sf_dir), "doc_id", "text", _PERMS, _LEVEL)
+
+
+@query(f"WITH {_SIGNED} SELECT a AS orig_idxs, string_agg(c::VARCHAR, ',' ORDER BY c) AS match_idxs FROM found GROUP BY a")
+def lsh_match_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = minhash.lsh_match_lists(_documents(spark, sf_dir), "doc_id", "text", _PERMS, _LEVEL)
+    return lists.select("orig_idxs", F.array_join(F.col("match_idxs").cast("array<string>"), ",").alias("match_idxs"))
+
+
+@query(f"""WITH {_SIGNED}, sets AS (SELECT doc_id, list(sh) AS l FROM s GROUP BY doc_id)
+SELECT a AS orig_idxs, c AS match_idxs, round(len(list_intersect(x.l, y.l)) / (len(x.l) + len(y.l) - len(list_intersect(x.l, y.l))), 6) AS similarity
+FROM found JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = c WHERE a < c AND len(list_intersect(x.l, y.l)) >= 0.6 * (len(x.l) + len(y.l) - len(list_intersect(x.l, y.l)))""")
+def lsh_verified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    pairs = minhash.lsh_pairs(docs, "doc_id", "text", _PERMS, _LEVEL).filter("orig_idxs < match_idxs")
+    sets = docs.select("doc_id", text.shingle_udf(4, distinct=True)(F.col("text")).alias("s"))
+    both = pairs.join(sets.select(F.col("doc_id").alias("orig_idxs"), F.col("s").alias("x")), "orig_idxs").join(sets.select(F.col("doc_id").alias("match_idxs"), F.col("s").alias("y")), "match_idxs")
+    return both.select("orig_idxs", "match_idxs", text.jaccard(F.col("x"), F.col("y")).alias("j")).filter(F.col("j") >= _LEVEL).select("orig_idxs", "match_idxs", F.round("j", 6).alias("similarity"))
+
+
+_PROBE = _SIGNED.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark").replace("s AS (", "s2 AS (").replace("FROM s)", "FROM s2)").replace("h AS (", "h2 AS (").replace("LEFT JOIN h ON d.item_id = h.item_id", "LEFT JOIN h2 ON d.item_id = h2.item_id").replace("signed AS", "signed2 AS").replace("FROM signed)", "FROM signed2)").replace("banded AS", "banded2 AS").rpartition(", found AS")[0]
+
+
+@query(f"WITH {_SIGNED}, {_PROBE} SELECT i.item_id AS orig_idxs, m.doc_id AS match_idxs FROM benchmark i LEFT JOIN (SELECT DISTINCT x.item_id, y.doc_id FROM banded2 x JOIN banded y ON x.b = y.b AND x.bucket = y.bucket) m ON i.item_id = m.item_id")
+def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = minhash.lsh_index(_documents(spark, sf_dir), "doc_id", "text", _PERMS, _LEVEL)
+    return minhash.lsh_search(index, _table(spark, sf_dir, "benchmark"), "item_id", "text", _PERMS, _LEVEL)
+
+
+@query(f"""WITH {_NAMES}, s AS (SELECT DISTINCT id, substr(name, unnest(range(1, length(name) - 2)), 4) AS sh FROM names), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS i, b.id AS j, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2)
+SELECT i AS orig_idxs, j AS match_idxs, round(k / (x.n + y.n - k), 6) AS similarity FROM c JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE k >= 0.8 * (x.n + y.n - k)""")
+def shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _names(spark, sf_dir).select("id", text.shingles(F.col("name")).alias("s"))
+    return minhash.set_join(sets, "id", "s", 0.8).withColumn("similarity", F.round("similarity", 6))
+
+
+# ---- TF-IDF
+
+
+def _grams(sizes: tuple[int, ...]) -> str:
+    parts = " UNION ALL ".join(f"SELECT id, substr(t, unnest(range(1, greatest(1, length(t) - {n - 2}))), {n}) AS term FROM clean" for n in sizes)
+    return rf"clean AS (SELECT id, regexp_replace(lower(name), '\s\s+', ' ', 'g') AS t FROM names), grams AS ({parts}), tf AS (SELECT id, term, count(*) AS tf FROM grams GROUP BY 1, 2)"
+
+
+_TFIDF = f"{_NAMES}, {_grams((2, 3))}, df AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM names)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term), raw AS (SELECT id, tf.term, tf * idf AS w FROM tf JOIN df ON tf.term = df.term), weights AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"
+
+
+@query(f"WITH {_TFIDF} SELECT term, df, round(idf, 6) AS idf FROM df")
+def tfidf_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.fit(_names(spark, sf_dir), "id", "name").idf.withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {_TFIDF} SELECT id, term, round(weight, 6) AS weight FROM weights")
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    return tfidf.fit(names, "id", "name").transform(names, "id", "name").withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {_TFIDF}, c AS (SELECT a.id AS i, b.id AS j, round(sum(a.weight * b.weight), 6) AS s FROM weights a JOIN weights b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2)
+SELECT i AS orig_idxs, j AS match_idxs, s AS similarity FROM c QUALIFY row_number() OVER (PARTITION BY i ORDER BY s DESC, j) <= 5""")
+def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    return tfidf.cosine_top_k(tfidf.fit(names, "id", "name").transform(names, "id", "name"), 5)
+
+
+@query(f"""WITH {_NAMES}, {_grams((2, 3, 4))}, len AS (SELECT id, sum(tf) AS l FROM tf GROUP BY id), idf AS (SELECT term, ln(((SELECT count(*) FROM names) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf GROUP BY term),
+damped AS (SELECT tf.id, tf.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / (SELECT avg(l) FROM len))) AS s FROM tf JOIN len ON tf.id = len.id JOIN idf ON tf.term = idf.term),
+c AS (SELECT a.id AS i, b.id AS j, round(sum(b.s), 6) AS s FROM tf a JOIN damped b ON a.term = b.term GROUP BY 1, 2)
+SELECT i AS orig_idxs, j AS match_idxs, s AS score FROM c QUALIFY row_number() OVER (PARTITION BY i ORDER BY s DESC, j) <= 5""")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    return tfidf.bm25_top_k(names, names, "id", "name", "id", "name", 5)
+
+
+# ---- nearest neighbours
+
+_E = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
+
+
+def _near(distance: str, where: str = "true") -> str:
+    return f"WITH {_E}, d AS (SELECT a.id AS i, b.id AS j, round({distance}, 6) AS d FROM e a CROSS JOIN e b WHERE {where}), k AS (SELECT i AS orig_idxs, j AS match_idxs, d AS distance FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 5) SELECT * FROM k"
+
+
+@query(_near("list_distance(a.v, b.v) * list_distance(a.v, b.v)"))
+def knn_l2sq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return knn.knn(v, v, 5, "l2sq")
+
+
+@query(_near("list_distance(a.v, b.v)"))
+def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return knn.knn(v, v, 5, "l2")
+
+
+@query(_near("list_distance(a.v, b.v)") + " WHERE orig_idxs < match_idxs")
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return knn.edges(knn.knn(v, v, 5, "l2"))
+
+
+@query(_near("list_distance(a.v, b.v)", "a.id % 20 = 0 AND b.id % 20 <> 0"))
+def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two different sets: the stated query set, ids that 20 divides, against the other rows."""
+    v = _vectors(spark, sf_dir)
+    return knn.knn(v.filter("id % 20 <> 0"), v.filter("id % 20 = 0"), 5, "l2")
+
+
+@query(f"WITH {_E} SELECT a.id, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM e a JOIN e b ON b.id = a.id + 1")
+def cosine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    pairs = v.join(v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("w")), "id")
+    return pairs.select("id", F.round(vectors.cosine_distance(F.col("vector"), F.col("w")), 6).alias("distance"))
+
+
+@query()
+def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return knn.ivf_knn(v, v, 5, IvfShape(32, 8), "l2")
+
+
+# ---- string similarity
+
+
+_P = "p AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name)"
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select("id", "name")
+
+
+@query(f"WITH {_P} SELECT a.id AS orig_idxs, b.id AS match_idxs, round(jaro_winkler_similarity(a.name, b.name), 6) AS similarity FROM p a JOIN p b ON a.id < b.id AND substr(a.name, 1, 1) = substr(b.name, 1, 1)")
+def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _short(spark, sf_dir)
+    a, b = p.select(F.col("id").alias("orig_idxs"), F.col("name").alias("x"), F.substring("name", 1, 1).alias("f")), p.select(F.col("id").alias("match_idxs"), F.col("name").alias("y"), F.substring("name", 1, 1).alias("f"))
+    pairs = a.join(b, "f").filter("orig_idxs < match_idxs")
+    return pairs.select("orig_idxs", "match_idxs", F.round(strsim.jaro_winkler_udf()("x", "y"), 6).alias("similarity"))
+
+
+@query(f"WITH {_P}, a AS (SELECT name, row_number() OVER (ORDER BY md5(concat_ws('|', '0', id::VARCHAR)), id) AS k FROM p ORDER BY k LIMIT 16) SELECT p.id, a.k - 1 AS anchor, round(jaro_winkler_similarity(p.name, a.name), 6) AS similarity FROM p CROSS JOIN a")
+def anchor_simvec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, _ = dedupe.anchor_vectors(_short(spark, sf_dir), "id", "name", 16)
+    return v.select("id", F.posexplode("vector").alias("anchor", "s")).select("id", F.col("anchor").cast("long").alias("anchor"), F.round("s", 6).alias("similarity"))
+
+
+@query()
+def dedupe_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.dedupe_anchors(_names(spark, sf_dir), "id", "name")
+
+
+# ---- corruption
+
+
+def _fuzz(kind: str) -> None:
+    @query(f"WITH {_NAMES} SELECT id, name, {fuzz.corruption('duckdb', kind, 'name', 'id', 0.1, 1)} AS fuzzed FROM names")
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fuzz.corrupt(_names(spark, sf_dir), kind, "id", "name", "fuzzed", 0.1, 1)
+
+    QUERIES[f"fuzz_{kind}"], ORACLES[f"fuzz_{kind}"] = QUERIES.pop("f"), ORACLES.pop("f")
+
+
+for _kind in fuzz.KINDS:
+    _fuzz(_kind)
+
+
+@query(f"WITH {_NAMES} {fuzz.fuzzify_sql('names', 'id', 'name', 'fuzzed', 0.1, 1)}")
+def fuzzify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzz.fuzzify(_names(spark, sf_dir), "id", "name", "fuzzed", 0.1, 1)
+
+
+# ---- evaluation
+
+
+@query("SELECT coalesce(sum(c - 1), 0)::BIGINT AS n_duplicates FROM (SELECT count(*) AS c FROM part GROUP BY p_name)")
+def eval_dup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.n_duplicates(_table(spark, sf_dir, "part"), "p_name")
+
+
+@query(_near("list_distance(a.v, b.v)").replace("SELECT * FROM k", """, m AS (SELECT count(*) AS pairs, coalesce(sum((x.label = y.label)::INT), 0)::BIGINT AS matches FROM k JOIN embeddings x ON x.vec_id = orig_idxs JOIN embeddings y ON y.vec_id = match_idxs WHERE orig_idxs < match_idxs),
+g AS (SELECT sum(c - 1) AS n, sum(c * (c - 1) / 2) AS possible FROM (SELECT count(*) AS c FROM embeddings GROUP BY label))
+SELECT pairs, matches, round(matches / pairs, 6) AS "precision", round(matches / n, 6) AS recall, round(matches / possible, 6) AS pair_recall FROM m, g"""))
+def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    v = _vectors(spark, sf_dir)
+    return evaluate.dedupe_metrics(evaluate.score_pairs(knn.edges(knn.knn(v, v, 5, "l2")), labels), labels)
+
+
+@query(_near("list_distance(a.v, b.v)", "a.id % 20 = 0 AND b.id % 20 <> 0").replace("SELECT * FROM k", """SELECT count(*) AS pairs, coalesce(sum((x.label = y.label)::INT), 0)::BIGINT AS matches, count(DISTINCT orig_idxs) AS queries,
+round(coalesce(sum((x.label = y.label)::INT), 0) / count(*), 6) AS "precision", round(coalesce(sum((x.label = y.label)::INT), 0) / count(DISTINCT orig_idxs), 6) AS recall
+FROM k JOIN embeddings x ON x.vec_id = orig_idxs JOIN embeddings y ON y.vec_id = match_idxs"""))
+def eval_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return evaluate.search_metrics(evaluate.score_pairs(knn_search(spark, sf_dir), labels))
+
+
+# ---- characters, bytes, packing
+
+_LENGTH = 64
+_CODES = f"c AS (SELECT conv_id, turn, substr(replace(replace(replace(replace(translate(text, 'üýþ', 'ÿÿÿ'), '[SEP]', chr(252)), '[MASK]', chr(253)), '[PAD]', chr(254)), '[UNK]', chr(255)), 1, {_LENGTH}) AS t FROM conversations), ids AS (SELECT conv_id, turn, list_concat(list_transform(range(1, length(t) + 1), lambda i: least(255, unicode(substr(t, i, 1)))), list_transform(range(length(t), {_LENGTH}), lambda i: 254)) AS ids FROM c)"
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", chars.encode(F.col("text"), _LENGTH).alias("ids"))
+
+
+def _joined(ids: str):
+    return F.array_join(F.col(ids).cast("array<string>"), ",")
+
+
+@query(f"WITH {_CODES} SELECT conv_id, turn, array_to_string(ids, ',') AS ids FROM ids")
+def char_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _encoded(spark, sf_dir).withColumn("ids", _joined("ids"))
+
+
+@query(f"WITH {_CODES} SELECT conv_id, turn, array_to_string(list_transform(ids, lambda i: chr(i::INT)), '') AS decoded FROM ids")
+def char_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _encoded(spark, sf_dir).select("conv_id", "turn", chars.decode(F.col("ids")).alias("decoded"))
+
+
+@query(f"""WITH {_CODES}, places AS (SELECT conv_id, turn, ids, unnest(range(0, {_LENGTH})) AS i FROM ids),
+open AS (SELECT conv_id, turn, i, row_number() OVER (PARTITION BY conv_id, turn ORDER BY md5(concat_ws('|', '0', conv_id::VARCHAR || '.' || turn::VARCHAR, i::VARCHAR, 'mask')), i) AS k, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM places WHERE ids[i + 1] NOT IN (252, 253, 254, 255)),
+chosen AS (SELECT conv_id, turn, i FROM open WHERE k <= floor(n * 0.15))
+SELECT p.conv_id, p.turn, string_agg((CASE WHEN c.i IS NOT NULL THEN 253 ELSE p.ids[p.i + 1] END)::VARCHAR, ',' ORDER BY p.i) AS input_ids, string_agg((CASE WHEN c.i IS NOT NULL THEN p.ids[p.i + 1] ELSE -100 END)::VARCHAR, ',' ORDER BY p.i) AS labels
+FROM places p LEFT JOIN chosen c ON p.conv_id = c.conv_id AND p.turn = c.turn AND p.i = c.i GROUP BY 1, 2""")
+def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _encoded(spark, sf_dir)
+    masked = chars.mlm_mask(F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")), F.col("ids"))
+    return rows.select("conv_id", "turn", masked.alias("m")).select("conv_id", "turn", F.array_join(F.col("m.input_ids").cast("array<string>"), ",").alias("input_ids"), F.array_join(F.col("m.labels").cast("array<string>"), ",").alias("labels"))
+
+
+@query("""WITH w AS (SELECT string_agg(text, ' [SEP] ' ORDER BY doc_id) AS t FROM documents), l AS (SELECT string_split(t, ' ') AS l FROM w)
+SELECT i AS chunk, array_to_string(l[i * 512 + 1:i * 512 + 512], ' ') AS text FROM (SELECT l, unnest(range(0, len(l) // 512 + 2)) AS i FROM l)""")
+def pack_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pack_words(_table(spark, sf_dir, "documents"), "doc_id", "text", 512)
+
+
+def _token_table(spark: SparkSession) -> DataFrame:
+    return spark.range(259).select(F.col("id").cast("int").alias("token_id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.pmod(F.col("id") * 31 + j * 17, F.lit(101)) / 101)).alias("vec"))
+
+
+@query("""WITH b AS (SELECT id, unnest(list_append(list_transform(range(0, octet_length(encode(name))), lambda i: ('0x' || substr(hex(encode(name)), i * 2 + 1, 2))::INT + 3), 1)) AS t FROM (SELECT min(p_partkey) AS id, concat_ws(' ', p_name, p_brand, p_type) AS name FROM part GROUP BY 2)),
+p AS (SELECT id, t, unnest(range(0, 8)) AS j FROM b)
+SELECT id, j AS place, round(avg(((t * 31 + j * 17) % 101) / 101), 6) AS mean FROM p GROUP BY 1, 2""")
+def byte_bag_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = dedupe.byte_bag(_names(spark, sf_dir), "id", "name", _token_table(spark))
+    return v.select("id", F.posexplode("vector").alias("place", "m")).select("id", F.col("place").cast("long").alias("place"), F.round("m", 6).alias("mean"))
+
+
+@query("SELECT page_id, replace(split_part(list_extract(string_split(url, 'data/'), -1), '.geojson', 1), '/', '-') AS location FROM pages")
+def parse_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", text.parse_filename(F.col("url")).alias("location"))
+
+
+# ---- compositions without SQL
+
+
+@query()
+def svd_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.compressed_vectors(_names(spark, sf_dir), "id", "name", 16)[0]
+
+
+@query()
+def dedupe_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.dedupe_knn(_names(spark, sf_dir), "id", "name")
+
+
+@query()
+def dedupe_approx_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.dedupe_approx_knn(_names(spark, sf_dir), "id", "name")
+
+
+@query()
+def dedupe_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.dedupe_vectors(_names(spark, sf_dir), "id", "name")
+
+
+@query()
+def dedupe_byte_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _token_table(spark)
+    return dedupe.dedupe_embedded(_names(spark, sf_dir), "id", "name", lambda df, i, t: dedupe.byte_bag(df, i, t, table))
