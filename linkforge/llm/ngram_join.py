@@ -137,13 +137,20 @@ def _ordered_prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.argsort(counts[_slots(s)], kind="stable")[: _prefix(len(s))]]
 
 
+_POINT, _PLACE = np.dtype([("node", np.int64), ("age", np.float32)]), np.uint32((1 << 31) - 1)
+
+
 def _entries(known, buckets: int):
-    """For each slice and bucket, one row with the packed (coordinate, node) entries of the slice's documents."""
+    """For each batch and bucket, one row with the packed entries of the batch's documents.
+
+    An entry is a coordinate and a place in the row's list of points; its top
+    bit says that the coordinate is among the first n - ceil(t n) + 1.
+    """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = known.value
         for batch in batches:
-            keys, nodes, ages, met = [], [], [], set()
+            keys, places, base, points, ages, met = [], [], [], [], [], set()
             ids = batch.column("doc_id").to_numpy()
             for words in split(batch.column("_text"), lower=True):
                 for doc_id, s in zip(ids[words.first :].tolist(), shingle_sets(words, N)):
@@ -155,48 +162,58 @@ def _entries(known, buckets: int):
                     met.add(node)
                     prefix = _ordered_prefix(s, counts)
                     keys.append(prefix)
-                    nodes.append(np.full(len(prefix), int.from_bytes(node, "little", signed=True)))
-                    ages.append(np.full(len(prefix), doc_id, np.float32))
+                    places.append(np.full(len(prefix), len(points), np.uint32))
+                    base.append(np.arange(len(prefix)) <= len(prefix) - _extra(len(s)))
+                    points.append(int.from_bytes(node, "little", signed=True))
+                    ages.append(doc_id)
             if not keys:
                 continue
-            key, node, age = np.concatenate(keys), np.concatenate(nodes), np.concatenate(ages)
+            key, place = np.concatenate(keys), np.concatenate(places) | (np.concatenate(base).astype(np.uint32) << np.uint32(31))
+            table = np.empty(len(points), _POINT)
+            table["node"], table["age"] = points, ages
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            key, node, age, bucket = key[order], node[order], age[order], bucket[order]
+            key, place, bucket = key[order], place[order], bucket[order]
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            last = np.append(first[1:], len(key))
-            blobs = [pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary()) for x in (key, node, age)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), *blobs], ["bucket", "keys", "nodes", "ages"])
+            blobs: list[tuple[bytes, bytes, bytes]] = []
+            for a, b in zip(first, np.append(first[1:], len(key))):
+                # a point's data go once with its entries
+                some, at = np.unique(place[a:b] & _PLACE, return_inverse=True)
+                blobs.append((key[a:b].tobytes(), (at.astype(np.uint32) | (place[a:b] & ~_PLACE)).tobytes(), table[some].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), *[pa.array(c, pa.binary()) for c in zip(*blobs)]], ["bucket", "keys", "places", "points"])
 
     return f
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Coordinates that two points or more have: (key, node, the tree's oldest point, the point before this one in age).
+    """Coordinates that two points or more have: (key, node, the tree's oldest point, the point before this one in age, base).
 
     Age is the document's id, to the 24 bits of a float; it only orders.
     """
     held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
     for batch in batches:
-        for bucket, *parts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "keys", "nodes", "ages")]):
+        for bucket, *parts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "keys", "places", "points")]):
             held.setdefault(bucket, []).append(tuple(parts))
     for bucket in sorted(held):
         parts = held.pop(bucket)
-        key, node, age = (np.frombuffer(b"".join(p[i] for p in parts), k) for i, k in enumerate((np.int64, np.int64, np.float32)))
+        key = np.frombuffer(b"".join(p[0] for p in parts), np.int64)
+        place = [np.frombuffer(p[1], np.uint32) for p in parts]
+        point = np.concatenate([np.frombuffer(p[2], _POINT)[x & _PLACE] for p, x in zip(parts, place)])
+        node, age, base = point["node"], point["age"], np.concatenate(place) > _PLACE
         order = np.argsort(key, kind="stable")
-        key, node, age = key[order], node[order], age[order]
+        key, node, age, base = key[order], node[order], age[order], base[order]
         alone = np.ones(len(key), bool)
         alone[1:] &= key[1:] != key[:-1]
         alone[:-1] &= key[1:] != key[:-1]
-        key, node, age = key[~alone], node[~alone], age[~alone]
+        key, node, age, base = key[~alone], node[~alone], age[~alone], base[~alone]
         # one entry for each point of a tree, with its least age
         order = np.lexsort((age, node, key))
-        key, node, age = key[order], node[order], age[order]
+        key, node, age, base = key[order], node[order], age[order], base[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, age = key[new], node[new], age[new]
+        key, node, age, base = key[new], node[new], age[new], base[new]
         order = np.lexsort((node, age, key))
-        key, node = key[order], node[order]
+        key, node, base = key[order], node[order], base[order]
         start = np.ones(len(key), bool)
         start[1:] = key[1:] != key[:-1]
         first = np.flatnonzero(start)
@@ -205,7 +222,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.repeat(node[first], size)[keep]
         before = np.concatenate([[0], node[:-1]])[keep]
         oldest = start[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(hub, mask=oldest), pa.array(before, mask=oldest)], ["key", "node", "hub", "before"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(hub, mask=oldest), pa.array(before, mask=oldest), pa.array(base[keep])], ["key", "node", "hub", "before", "base"])
 
 
 class RTree:
@@ -426,15 +443,16 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("fine").alias("fine")))
 
     buckets = partitions(spark)
-    entries = rows.filter("doc_id is not null").mapInArrow(_entries(known, buckets), "bucket int, keys binary, nodes binary, ages binary")
-    shared = scratch.cut(to_partition(entries, "bucket").mapInArrow(_shared, "key long, node long, hub long, before long"))
+    entries = rows.filter("doc_id is not null").mapInArrow(_entries(known, buckets), "bucket int, keys binary, places binary, points binary")
+    shared = scratch.cut(to_partition(entries, "bucket").mapInArrow(_shared, "key long, node long, hub long, before long, base boolean"))
     tidy(spark)
     # a partner has three quarters of a point's shingles at least
     p, q = THRESHOLD
     enough = F.greatest(F.lit(1), F.expr(f"(n * {p} + {q - 1}) div {q} div {EXTRA}"))
     linkable = shared.groupBy("node").agg(F.count("*").alias("shares")).join(points.select("node", "n"), "node").filter(F.col("shares") >= enough)
     linkable = scratch.cut(linkable.select("node"))
-    trees = scratch.cut(shared.join(linkable, "node"))
+    # the longer prefix has been for counting; one shared coordinate of the shorter is enough to meet
+    trees = scratch.cut(shared.filter("base").drop("base").join(linkable, "node"))
     scratch.drop(shared)
     vectors, fine = points.select("node", "vector"), points.select("node", "fine")
 
