@@ -20,6 +20,7 @@ each of ``width`` bytes.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -287,6 +288,7 @@ def write_tables(df: DataFrame, tokenizer: str, out_dir: str | None = None, id_c
         fs, folder = pafs.FileSystem.from_uri(out_dir)
         path = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst"
         own, writer, sink = None, None, None
+        gc.freeze()  # what the worker remembers of words isn't searched for cycles again and again
         for batch in batches:
             if not len(batch):
                 continue
