@@ -232,22 +232,26 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         whole, parted, met = [], [], set()
+        known = self.known.get
         for i, text in enumerate(texts):
             if self.by_parts and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
                 parts = _PARTS.findall(text)
-                parted.append((i, parts))
-                met.update(parts)
+                ids = list(map(known, parts))
+                if all(ids):  # a part has one id at least, so only parts not met yet are false
+                    out[i] = b"".join(ids)
+                else:
+                    gaps = [k for k, x in enumerate(ids) if x is None]
+                    met.update([parts[k] for k in gaps])
+                    parted.append((i, parts, ids, gaps))
             else:
                 whole.append(i)
-        known = self.known
-        new = dict(self._each([p for p in met if p not in known]))
+        new = dict(self._each(list(met)))
         if len(self.known) + len(new) <= self.most:
             self.known.update(new)
-            get = self.known.__getitem__
-        else:
-            get = lambda p: known[p] if p in known else new[p]
-        for i, parts in parted:
-            out[i] = b"".join(map(get, parts))
+        for i, parts, ids, gaps in parted:
+            for k in gaps:
+                ids[k] = new[parts[k]]
+            out[i] = b"".join(ids)
         if whole:
             for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
                 out[i] = ids
