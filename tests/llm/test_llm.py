@@ -153,6 +153,16 @@ def tokenizer():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
+@pytest.mark.parametrize("most", [0, 40, 500_000])
+def test_encoder_is_the_library(tokenizer, most):
+    """Whatever it remembers, known parts, new parts and both in one text give the library's ids."""
+    own = sstable.Encoder(tokenizer, most)
+    texts = ["", "one two", "two three  one", "it's\n\n x1 , ", "日本 one", "<|endoftext|> two", "\t", " ".join(f"w{i}" for i in range(60))]
+    for part in (texts, texts[::-1], [t + " one more" for t in texts]):
+        assert own.encode(part) == [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, own.kind).tobytes() for t in part]
+        assert len(own.known) <= most
+
+
 def test_sstable(spark, odd_docs, tokenizer, tmp_path):
     from tokenizers import Tokenizer
 
