@@ -32,6 +32,7 @@ def exact_knn(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq"
 
     The index is read in blocks of at most ``block_bytes``; each is broadcast
     and compared with all queries in NumPy, and the blocks' best are merged.
+    Rows as near as the last one kept are all compared, however many.
     """
     dim = index.select(F.max(F.size("vector"))).first()[0] or 1
     size = max(1, block_bytes // (8 * dim))
@@ -39,27 +40,46 @@ def exact_knn(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq"
     blocks = max(1, -(-n // size))
     spark = queries.sparkSession
     best = None
+
+    def distances(q: np.ndarray, y: np.ndarray, square: np.ndarray) -> np.ndarray:
+        d = 1 - np.einsum("qd,qkd->qk", q, y) if metric == "cosine" else np.sqrt(square) if metric == "l2" else square
+        return np.round(d, 6)
+
     for b in range(blocks):
         part = index if blocks == 1 else index.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         found = part.select("id", "vector").orderBy("id").toArrow()
-        held = spark.sparkContext.broadcast((found.column("id").to_numpy(), _prepared(_matrix(found.column("vector")), metric)))
+        x = _prepared(_matrix(found.column("vector")), metric)
+        held = spark.sparkContext.broadcast((found.column("id").to_numpy(), x, (x**2).sum(axis=1)))
 
         def f(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, x = held.value
+            ids, x, norms = held.value
             for batch in batches:
                 if not len(batch) or not len(ids):
                     continue
                 q, own = _prepared(_matrix(batch.column("vector")), metric), batch.column("id")
                 for a in range(0, len(q), 256):
                     part = q[a : a + 256]
-                    rough = (part**2).sum(axis=1)[:, None] - 2 * part @ x.T + (x**2).sum(axis=1)
+                    rough = part @ x.T
+                    rough *= -2
+                    rough += (part**2).sum(axis=1)[:, None]
+                    rough += norms
                     top = min(len(ids), k + 16)
                     near = np.argpartition(rough, top - 1, axis=1)[:, :top]
                     # differences again for the near ones: the expanded form loses digits
-                    d = ((part[:, None, :] - x[near]) ** 2).sum(axis=2) if metric != "cosine" else 1 - np.einsum("qd,qkd->qk", part, x[near])
-                    d = np.round(np.sqrt(d) if metric == "l2" else d, 6)
+                    square = ((part[:, None, :] - x[near]) ** 2).sum(axis=2)
+                    d = distances(part, x[near], square)
                     order = np.lexsort((ids[near], d), axis=1)[:, :k]
                     d, match = np.take_along_axis(d, order, axis=1), np.take_along_axis(ids[near], order, axis=1)
+                    if top < len(ids):
+                        # rows left out may tie with the last one kept, by six places and the digits lost
+                        last = np.partition(square, k - 1, axis=1)[:, k - 1]
+                        last = last + 4e-6 * (1 + np.sqrt(last)) + 1e-12 * ((part**2).sum(axis=1) + norms.max())
+                        for r in np.flatnonzero(np.take_along_axis(rough, near, axis=1).max(axis=1) <= last):
+                            all_near = np.flatnonzero(rough[r] <= last[r])
+                            y = x[all_near][None]
+                            own_d = distances(part[r : r + 1], y, ((part[r] - y) ** 2).sum(axis=2))[0]
+                            order = np.lexsort((ids[all_near], own_d))[:k]
+                            d[r], match[r] = own_d[order], ids[all_near][order]
                     of = own.slice(a, len(part)).take(pa.array(np.repeat(np.arange(len(part)), d.shape[1])))
                     yield pa.RecordBatch.from_arrays([of, pa.array(match.reshape(-1)), pa.array(d.reshape(-1))], ["orig_idxs", "match_idxs", "distance"])
 

@@ -174,26 +174,26 @@ def _near(distance: str, where: str = "true") -> str:
 @query(_near("list_distance(a.v, b.v) * list_distance(a.v, b.v)"))
 def knn_l2sq(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return knn.knn(v, v, 5, "l2sq")
+    return knn.knn(v, v, 5, "l2sq", "exact")
 
 
 @query(_near("list_distance(a.v, b.v)"))
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return knn.knn(v, v, 5, "l2")
+    return knn.knn(v, v, 5, "l2", "exact")
 
 
 @query(_near("list_distance(a.v, b.v)") + " WHERE orig_idxs < match_idxs")
 def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return knn.edges(knn.knn(v, v, 5, "l2"))
+    return knn.edges(knn.knn(v, v, 5, "l2", "exact"))
 
 
 @query(_near("list_distance(a.v, b.v)", "a.id % 20 = 0 AND b.id % 20 <> 0"))
 def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two different sets: the stated query set, ids that 20 divides, against the other rows."""
     v = _vectors(spark, sf_dir)
-    return knn.knn(v.filter("id % 20 <> 0"), v.filter("id % 20 = 0"), 5, "l2")
+    return knn.knn(v.filter("id % 20 <> 0"), v.filter("id % 20 = 0"), 5, "l2", "exact")
 
 
 @query(f"WITH {_E} SELECT a.id, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM e a JOIN e b ON b.id = a.id + 1")
@@ -272,7 +272,7 @@ SELECT pairs, matches, round(matches / pairs, 6) AS "precision", round(matches /
 def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     v = _vectors(spark, sf_dir)
-    return evaluate.dedupe_metrics(evaluate.score_pairs(knn.edges(knn.knn(v, v, 5, "l2")), labels), labels)
+    return evaluate.dedupe_metrics(evaluate.score_pairs(knn.edges(knn.knn(v, v, 5, "l2", "exact")), labels), labels)
 
 
 @query(_near("list_distance(a.v, b.v)", "a.id % 20 = 0 AND b.id % 20 <> 0").replace("SELECT * FROM k", """SELECT count(*) AS pairs, coalesce(sum((x.label = y.label)::INT), 0)::BIGINT AS matches, count(DISTINCT orig_idxs) AS queries,

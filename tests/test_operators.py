@@ -149,3 +149,17 @@ def test_streamed_probe(spark, names, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r[0], r[1]) for r in spark.table("probed").collect()} >= {(i, i) for i in range(4)}
+
+
+@pytest.mark.parametrize("metric", knn.METRICS)
+def test_exact_knn_ties(spark, metric):
+    """Of 200 equal vectors the least ids are returned, in one block and in several."""
+    x = np.random.default_rng(2).standard_normal((400, 8))
+    x[np.random.default_rng(3).permutation(400)[:200]] = x[0]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.array([1 - u @ a for a in u]) if metric == "cosine" else ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    d = np.round(np.sqrt(d) if metric == "l2" else d, 6)
+    want = {(i, int(j)) for i in range(400) for j in np.lexsort((np.arange(400), d[i]))[:5]}
+    for size in (1 << 20, 8 * 8 * 90):
+        assert {(r[0], r[1]) for r in knn.exact_knn(v, v, 5, metric, block_bytes=size).collect()} == want
