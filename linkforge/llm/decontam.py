@@ -12,6 +12,10 @@ All windows have one size, PIECE words: an item is cut into pieces of it, one
 every STRIDE words, so that an item with edits all over still has pieces with
 few.  A window starts at every word of every document; verification aligns the
 whole item around it.
+
+An item too short for that is cut into one run of words more than it may have
+edits: each edit spoils one run at most, so one stands unedited wherever the
+item is, and runs are looked up as they are.  This misses nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.words import Words, mix64
+from linkforge.llm.words import Words, mix64, windows
 from linkforge.llm.words import split as split_words
 
 #: Share of an item's words that may be edited, rounded down.
@@ -33,8 +37,8 @@ EDIT_SHARE = 0.2
 PIECE, STRIDE = 12, 2
 #: Random walks, keys read from each, steps in a key.  ``recall()`` gives what they reach.
 WALKS, KEYS, STEPS = 3, 3, 5
-#: Items of fewer words are no evidence of a leak and aren't looked for.
-LEAST_WORDS = 8
+#: Items of fewer words are found by unedited runs of their words.
+WALKED_WORDS = 17
 #: Words of items searched for in one scan of the documents; a larger benchmark takes several.
 BLOCK_WORDS = 4_000_000
 _SYMBOL_BITS, _FILTER_BITS = 12, 20
@@ -46,10 +50,12 @@ class Items:
 
     ids: np.ndarray
     words: list[np.ndarray]
-    keys: list[np.ndarray]  # for each (walk, key): sorted hashes
-    owners: list[np.ndarray]  # the piece of each
+    keys: list[np.ndarray]  # for each (walk, key), then for each length of run: sorted hashes
+    owners: list[np.ndarray]  # the piece or run of each
     piece_item: np.ndarray
     piece_at: np.ndarray
+    walked: bool
+    runs: list[int]
 
 
 def _random(seed: int = 5) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
@@ -96,30 +102,60 @@ def _symbols(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - _SYMBOL_BITS)).astype(np.int32)
 
 
+def allowed(n: int) -> int:
+    return int(EDIT_SHARE * n)
+
+
 def index_items(ids: list[int], texts: list[str | None], seed: int = 5) -> Items:
-    """Pieces of the items, under the keys of all walks.  Items of fewer than LEAST_WORDS words are left out."""
-    words, kept, pieces, owner, offset = [], [], [], [], []
+    """Items of all lengths but 0, indexed."""
+    words, kept = [], []
     for part in split(pa.array(texts, pa.string())):
         for i in range(len(part)):
             h = part.hashes[part.bounds[i] : part.bounds[i + 1]]
-            if len(h) < LEAST_WORDS:
-                continue
-            starts = sorted({*range(0, max(1, len(h) - PIECE + 1), STRIDE), max(0, len(h) - PIECE)})
-            for s in starts:
-                piece = h[s : s + PIECE]
-                # an item shorter than a window is read to its end and padded
-                pieces.append(np.concatenate([piece, np.zeros(PIECE - len(piece), np.uint64)]))
-                owner.append(len(words))
-                offset.append(s)
-            words.append(h.copy())
-            kept.append(ids[part.first + i])
-    flat = np.concatenate([*pieces, np.zeros(PIECE, np.uint64)]) if pieces else np.zeros(PIECE, np.uint64)
+            if len(h):
+                words.append(h.copy())
+                kept.append(ids[part.first + i])
+    return index_words(kept, words, seed)
+
+
+def index_words(ids: list[int], words: list[np.ndarray], seed: int = 5) -> Items:
+    """Pieces of the long items under the keys of all walks, and runs of the short ones."""
+    pieces, owner, offset = [], [], []
+    runs: dict[int, list[tuple[np.uint64, int, int]]] = {}
+    for i, h in enumerate(words):
+        if len(h) < WALKED_WORDS:
+            cuts = np.linspace(0, len(h), allowed(len(h)) + 2).astype(int)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                runs.setdefault(int(b - a), []).append((windows(h[a:b], b - a)[0], i, int(a)))
+            continue
+        for s in sorted({*range(0, len(h) - PIECE + 1, STRIDE), len(h) - PIECE}):
+            pieces.append(h[s : s + PIECE])
+            owner.append(i)
+            offset.append(s)
     keys, owners = [], []
-    for key in _keys(_symbols(flat), np.arange(len(pieces), dtype=np.int32) * PIECE, *_random(seed)):
+    if pieces:
+        flat = np.concatenate([*pieces, np.zeros(PIECE, np.uint64)])
+        for key in _keys(_symbols(flat), np.arange(len(pieces), dtype=np.int32) * PIECE, *_random(seed)):
+            order = np.argsort(key, kind="stable")
+            keys.append(key[order])
+            owners.append(order)
+    for _, found in sorted(runs.items()):
+        key, item, at = (np.array(c) for c in zip(*found))
         order = np.argsort(key, kind="stable")
         keys.append(key[order])
-        owners.append(order)
-    return Items(np.array(kept, np.int64), words, keys, owners, np.array(owner, np.int64), np.array(offset, np.int64))
+        owners.append(order + len(owner))
+        owner += item.tolist()
+        offset += at.tolist()
+    return Items(np.array(ids, np.int64), words, keys, owners, np.array(owner, np.int64), np.array(offset, np.int64), bool(pieces), sorted(runs))
+
+
+def _streams(hashes: np.ndarray, items: Items, drawn: tuple) -> Iterator[np.ndarray]:
+    """Hashes at the words, in the order of the items' keys."""
+    if items.walked:
+        symbols = np.concatenate([_symbols(hashes), np.zeros(PIECE, np.int32)])
+        yield from _keys(symbols, np.arange(len(hashes), dtype=np.int32), *drawn)
+    for n in items.runs:
+        yield windows(hashes, n)
 
 
 def edit_distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -137,18 +173,13 @@ def edit_distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     return least
 
 
-def allowed(n: int) -> int:
-    return int(EDIT_SHARE * n)
-
-
 def find(words: Words, items: Items, filters: list[np.ndarray], drawn: tuple) -> list[tuple[int, int, int, int]]:
     """(document in the slice, item, distance, first word of the aligned region) for the leaks of a slice."""
     n = len(words.hashes)
     if not n or not len(items.ids):
         return []
-    symbols = np.concatenate([_symbols(words.hashes), np.zeros(PIECE, np.int32)])
     met = []
-    for key, keys, owners, some in zip(_keys(symbols, np.arange(n, dtype=np.int32), *drawn), items.keys, items.owners, filters):
+    for key, keys, owners, some in zip(_streams(words.hashes, items, drawn), items.keys, items.owners, filters):
         at = np.flatnonzero(some[key >> np.uint64(64 - _FILTER_BITS)])
         if not len(at):
             continue
@@ -215,8 +246,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     case, is within EDIT_SHARE * n word edits of it.  ``first_word`` says about
     where.  Null and empty texts contain nothing; rows without an id are left
     out; rows that repeat an id give one row for each item; items that repeat
-    an id are one item with several texts; null items, items of fewer than
-    LEAST_WORDS words and an empty benchmark are found nowhere.
+    an id are one item with several texts; null items, items without words and
+    an empty benchmark are found nowhere.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text")).filter("doc_id is not null")
@@ -278,11 +309,7 @@ def recall(edits: float, n: int = 40, trials: int = 400, seed: int = 1) -> float
                 del text[at]
         around = mix64(rng.integers(1, 2**62, 60, dtype=np.uint64))
         h = np.concatenate([around[:30], np.array(text, np.uint64), around[30:]])
-        symbols = np.concatenate([_symbols(h), np.zeros(PIECE, np.int32)])
-        pieces = [item[s : s + PIECE] for s in sorted({*range(0, max(1, n - PIECE + 1), STRIDE), max(0, n - PIECE)})]
-        flat = _symbols(np.concatenate([*[np.concatenate([p, np.zeros(PIECE - len(p), np.uint64)]) for p in pieces], np.zeros(PIECE, np.uint64)]))
-        drawn = _random()
-        a = _keys(flat, np.arange(len(pieces), dtype=np.int32) * PIECE, *drawn)
-        b = _keys(symbols, np.arange(len(h), dtype=np.int32), *drawn)
-        hit += any(np.isin(x, y).any() for x, y in zip(a, b))
+        none = np.zeros(0, np.int64)
+        items = index_words([0], [item])
+        hit += bool(find(Words(0, none, none, np.array([0, len(h)]), none, none, h), items, _filters(items), _random()))
     return hit / trials

@@ -111,6 +111,27 @@ def test_decontamination(spark, odd_docs):
     assert decontam.recall(0.0) == 1 and decontam.recall(0.1) > 0.95 and decontam.recall(0.2, 25) > 0.9
 
 
+def test_short_items(spark):
+    """Items of 1 to 16 words, copied, with as many edits as are allowed and with one more."""
+    rng = np.random.default_rng(4)
+    items = {n: [f"i{n}x{j}" for j in range(n)] for n in range(1, 17)}
+    rows = []
+    for n, item in items.items():
+        for edits in (0, *[n // 5] * 6, n // 5 + 1):
+            text = list(item)
+            for _ in range(edits):
+                kind, at = rng.integers(3), int(rng.integers(len(text))) if text else 0
+                text[at : at + (kind < 2)] = ["other"] * int(kind != 1)
+            rows.append((len(rows), " ".join([*words(int(rng.integers(3)), 5), *text, *words(int(rng.integers(3)), 6)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(item).upper()) for n, item in items.items()], "item_id long, text string")
+    want = {(i, n, d) for i, t in rows for n, item in items.items() if (d := edit(item, t.split())) <= n // 5}
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.leaks(docs, bench).collect()} == want
+    left = {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()}
+    assert left == {i for i, _ in rows} - {i for i, _, _ in want}
+    assert all(decontam.recall(0.2, n, 100) == 1 for n in (5, 8, 10, 12, 15, 16))
+
+
 def test_sharding(spark, odd_docs):
     n = 3
     got = sharding.shard_by_bytes(odd_docs, n).collect()
