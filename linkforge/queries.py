@@ -100,8 +100,11 @@ def lsh_match_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a AS orig_idxs, c AS match_idxs, round(len(list_intersect(x.l, y.l)) / (len(x.l) + len(y.l) - len(list_intersect(x.l, y.l))), 6) AS similarity
 FROM found JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = c WHERE a < c AND len(list_intersect(x.l, y.l)) >= 0.6 * (len(x.l) + len(y.l) - len(list_intersect(x.l, y.l)))""")
 def lsh_verified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    pairs = minhash.lsh_pairs(docs, "doc_id", "text", _PERMS, _LEVEL).filter("orig_idxs < match_idxs")
+    return _verified(_documents(spark, sf_dir), _PERMS)
+
+
+def _verified(docs: DataFrame, perms: int) -> DataFrame:
+    pairs = minhash.lsh_pairs(docs, "doc_id", "text", perms, _LEVEL).filter("orig_idxs < match_idxs")
     sets = docs.select("doc_id", text.shingle_udf(4, distinct=True)(F.col("text")).alias("s"))
     both = pairs.join(sets.select(F.col("doc_id").alias("orig_idxs"), F.col("s").alias("x")), "orig_idxs").join(sets.select(F.col("doc_id").alias("match_idxs"), F.col("s").alias("y")), "match_idxs")
     return both.select("orig_idxs", "match_idxs", text.jaccard(F.col("x"), F.col("y")).alias("j")).filter(F.col("j") >= _LEVEL).select("orig_idxs", "match_idxs", F.round("j", 6).alias("similarity"))
@@ -116,6 +119,40 @@ def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.lsh_search(index, _table(spark, sf_dir, "benchmark"), "item_id", "text", _PERMS, _LEVEL)
 
 
+# the same with as many permutations as the reference has by default, which the SQL can't follow
+
+
+_FULL_PERMS = 128
+
+
+@query()
+def minhash_signature_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = minhash.signatures(_documents(spark, sf_dir), "doc_id", "text", _FULL_PERMS)
+    return signed.select(F.col("id").alias("doc_id"), F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+@query()
+def lsh_pairs_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.lsh_pairs(_documents(spark, sf_dir), "doc_id", "text", _FULL_PERMS, _LEVEL)
+
+
+@query()
+def lsh_match_lists_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = minhash.lsh_match_lists(_documents(spark, sf_dir), "doc_id", "text", _FULL_PERMS, _LEVEL)
+    return lists.select("orig_idxs", F.array_join(F.col("match_idxs").cast("array<string>"), ",").alias("match_idxs"))
+
+
+@query()
+def lsh_verified_pairs_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verified(_documents(spark, sf_dir), _FULL_PERMS)
+
+
+@query()
+def lsh_search_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = minhash.lsh_index(_documents(spark, sf_dir), "doc_id", "text", _FULL_PERMS, _LEVEL)
+    return minhash.lsh_search(index, _table(spark, sf_dir, "benchmark"), "item_id", "text", _FULL_PERMS, _LEVEL)
+
+
 @query(f"""WITH {_NAMES}, s AS (SELECT DISTINCT id, substr(name, unnest(range(1, length(name) - 2)), 4) AS sh FROM names), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 c AS (SELECT a.id AS i, b.id AS j, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2)
 SELECT i AS orig_idxs, j AS match_idxs, round(k / (x.n + y.n - k), 6) AS similarity FROM c JOIN n x ON x.id = i JOIN n y ON y.id = j WHERE k >= 0.8 * (x.n + y.n - k)""")
