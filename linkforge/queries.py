@@ -355,6 +355,37 @@ def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", masked.alias("m")).select("conv_id", "turn", F.array_join(F.col("m.input_ids").cast("array<string>"), ",").alias("input_ids"), F.array_join(F.col("m.labels").cast("array<string>"), ",").alias("labels"))
 
 
+# whole turns: a row for each chunk of the reference's length
+
+
+_CHUNK = 512
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").repartition(spark.sparkContext.defaultParallelism, "conv_id", "turn")
+    rows = turns.select("conv_id", "turn", F.posexplode_outer(chars.chunks(F.col("text"), _CHUNK)).alias("chunk", "t"))
+    return rows.select("conv_id", "turn", F.coalesce("chunk", F.lit(0)).alias("chunk"), chars.chunk_ids(F.col("t"), _CHUNK).alias("ids"))
+
+
+@query()
+def char_encode_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir).withColumn("ids", _joined("ids"))
+
+
+@query()
+def char_decode_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir).select("conv_id", "turn", "chunk", chars.decode(F.col("ids")).alias("decoded"))
+
+
+@query()
+def mlm_mask_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row_id = F.concat_ws(".", *[F.col(c).cast("string") for c in ("conv_id", "turn", "chunk")])
+    # places are a column of their own, or they would be drawn again for each id
+    rows = _chunked(spark, sf_dir).withColumn("places", chars.mask_places(row_id, F.col("ids")))
+    rows = rows.select("conv_id", "turn", "chunk", chars.masked(F.col("ids"), F.col("places")).alias("m"))
+    return rows.select("conv_id", "turn", "chunk", F.array_join(F.col("m.input_ids").cast("array<string>"), ",").alias("input_ids"), F.array_join(F.col("m.labels").cast("array<string>"), ",").alias("labels"))
+
+
 @query("""WITH w AS (SELECT string_agg(text, ' [SEP] ' ORDER BY doc_id) AS t FROM documents), l AS (SELECT string_split(t, ' ') AS l FROM w)
 SELECT i AS chunk, array_to_string(l[i * 512 + 1:i * 512 + 512], ' ') AS text FROM (SELECT l, unnest(range(0, len(l) // 512 + 2)) AS i FROM l)""")
 def pack_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
