@@ -264,6 +264,18 @@ def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("orig_idxs", "match_idxs", F.round(strsim.jaro_winkler_udf()("x", "y"), 6).alias("similarity"))
 
 
+@query()
+def jaro_winkler_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name with all names, in blocks by blocks; the query above has names of the same first character only."""
+    n = spark.sparkContext.defaultParallelism
+    p = _short(spark, sf_dir).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = p.select(F.col("id").alias("orig_idxs"), F.col("name").alias("x"), F.col("own").alias("f"), others.alias("g"))
+    b = p.select(F.col("id").alias("match_idxs"), F.col("name").alias("y"), F.col("own").alias("g"), others.alias("f"))
+    pairs = a.join(b, ["f", "g"]).filter("orig_idxs < match_idxs")
+    return pairs.select("orig_idxs", "match_idxs", F.round(strsim.jaro_winkler_udf()("x", "y"), 6).alias("similarity"))
+
+
 @query(f"WITH {_P}, a AS (SELECT name, row_number() OVER (ORDER BY md5(concat_ws('|', '0', id::VARCHAR)), id) AS k FROM p ORDER BY k LIMIT 16) SELECT p.id, a.k - 1 AS anchor, round(jaro_winkler_similarity(p.name, a.name), 6) AS similarity FROM p CROSS JOIN a")
 def anchor_simvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, _ = dedupe.anchor_vectors(_short(spark, sf_dir), "id", "name", 16)
