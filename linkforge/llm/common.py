@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,12 +15,18 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary one; on a cluster,
+    where each machine would see its own part of such a folder, it is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="linkforge-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -76,6 +83,11 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever signs their names have."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Deals rows out by keys into as many partitions as the session's shuffles have."""
     return df.repartition(partitions(df.sparkSession), *keys)

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkforge.llm.common import whole_row
 from linkforge.llm.words import Words, mix64, windows
 from linkforge.llm.words import split as split_words
 
@@ -273,8 +274,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text contains no benchmark item; nothing is shuffled."""
     spark, names = docs.sparkSession, docs.columns
-    out = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(*names).alias("_row"))
-    kind = dict(out.dtypes)["_row"]
+    out = docs.select(F.col(text_col).cast("string").alias("_text"), whole_row(docs).alias("_row"))
+    schema = out.schema
     for items in item_blocks(benchmark, item_col, item_text_col):
         index = spark.sparkContext.broadcast(items)
 
@@ -287,7 +288,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     keep[[words.first + d for d, *_ in find(words, own, filters, drawn)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(clean, f"_text string, _row {kind}")
+        out = out.mapInArrow(clean, schema)
     return out.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 

@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from linkforge.llm.common import whole_row
 from linkforge.llm.labels import bounded_sample, held_out, labelled
 from linkforge.llm.words import split
 
@@ -186,16 +188,20 @@ def score_quality(docs: DataFrame, model: AttentionModel | None, id_col: str = "
             names = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if c != "_text") + ", score double, predicted int"
+    schema = StructType([f for f in rows.schema.fields if f.name != "_text"]).add("score", "double").add("predicted", "integer")
     out = rows.mapInArrow(scored, schema)
     return out.select(F.col("_id").alias(id_col), "held_out", "score", "predicted", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score reaches the threshold."""
+    """The rows of ``docs``, all columns as they are, whose score reaches the threshold.
+
+    Null and empty texts are scored like any other, as one empty passage;
+    repeated rows and null ids each stay or go by their own score; without both
+    labels nothing is learnt and all rows stay; an empty table gives an empty one.
+    """
     model = train_quality(docs, labels, label, id_col, text_col)
     names = docs.columns
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), whole_row(docs).alias("_row"))
     scored = score_quality(rows, model, "_id", "_text", threshold, keep=["_row"])
     return scored.filter("predicted = 1").select(*[F.col("_row").getField(c).alias(c) for c in names])

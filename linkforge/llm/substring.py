@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from linkforge.llm.common import Scratch, partitions, tidy, to_partition
+from linkforge.llm.common import Scratch, partitions, tidy, to_partition, whole_row
 from linkforge.llm.words import Words, split, windows
 
 WINDOW, ANCHOR = 50, 20
@@ -309,9 +310,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = scratch.cut(to_partition(candidates, "bucket").mapInArrow(_reference, "block int, entries binary"))
     tidy(spark)
     scratch.drop(shared)
-    kinds = dict(rows.dtypes)
-    schema = "doc_id long" + "".join(f", _k{i} {kinds[f'_k{i}']}" for i in range(len(keep)))
-    schema += ", n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<first: int, words: int, ref_doc: long, ref_first: int>>"
+    span = ArrayType(StructType().add("first", "integer").add("words", "integer").add("ref_doc", "long").add("ref_first", "integer"))
+    schema = StructType([rows.schema["doc_id"], *[rows.schema[f"_k{i}"] for i in range(len(keep))]])
+    schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string").add("factors", span)
     docs = rows.select("block", "doc_id", "_text", *[f"_k{i}" for i in range(len(keep))])
     out = beside(index, docs).mapInArrow(lambda batches: _parsed(batches, with_text), schema)
     return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept", "factors", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
@@ -320,7 +321,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of the text; a row that loses nothing stays as it is, one that loses all goes."""
     names = docs.columns
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.struct(*names).alias("_row"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), whole_row(docs).alias("_row"))
     found = remove_repeats(rows, "_id", "_t", keep=["_row"])
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_row").getField(text_col))
     return found.filter("n_removed = 0 or n_removed < n_words").select(*[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in names])
