@@ -9,6 +9,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +100,29 @@ def to_partition(df: DataFrame, column: str) -> DataFrame:
     return df.repartitionById(partitions(df.sparkSession), F.col(column))
 
 
+#: Bits of a filter by ids: sixteen for each id, within these limits (2 MB to 64 MB are broadcast); one that gets full lets more through, no less.
+FILTER_BITS, FILTER_MOST = 1 << 24, 1 << 29
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose doc_id may stand in a column of ``ids``: a Bloom filter of two bits an id is broadcast."""
+    size = min(FILTER_MOST, max(FILTER_BITS, 1 << (16 * ids.count()).bit_length()))
+    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(size)) for k in (1, 2)])).alias("bit"))
+    found = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("set")).toArrow()
+    table = np.zeros(size >> 6, np.int64)
+    table[found.column("word").to_numpy()] = found.column("set").to_numpy()
+    broadcast = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.ones(len(x), bool)
+        for bit in (x.to_numpy(), y.to_numpy()):
+            out &= (broadcast.value[bit >> 6] >> (bit & 63) & 1).astype(bool)
+        return pd.Series(out)
+
+    return rows.filter(may_be(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(size)) for k in (1, 2)]))
+
+
 def components(scratch: Scratch, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph given as links: (node, component), component the smallest node.
 

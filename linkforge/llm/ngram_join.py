@@ -6,12 +6,18 @@ the overlap of two sets is at most the sum of the coordinate-wise minima, which
 an R-tree bounds for whole nodes by their boxes.
 
 In one tree over a whole corpus all boxes would meet, since the counts of
-unrelated texts are alike.  The trees are therefore planted along coordinates
-of a far finer grouping, one shingle each: two sets with a Jaccard similarity
-of t share k of the first n - ceil(t n) + k elements of each under any common
-order (the prefix filter), so a point enters the trees of its first coordinates
-only, and no link is lost; a point that shares fewer than k of them with
-whatever others has no link and leaves all its trees.  Frequent shingles come last in that order.
+unrelated texts are alike.  The points are therefore dealt to trees by
+coordinates of a far finer grouping, one shingle each: two sets with a Jaccard
+similarity of t share k of the first n - ceil(t n) + k elements of each under
+any common order (the prefix filter), so a point is dealt by its first
+coordinates only, and no link is lost; a point that shares fewer than k of them
+with whatever others has no link and leaves.  Frequent shingles come last in
+that order.  Coordinates whose oldest point is the same share one tree.
+
+Only pairs that a tree's search lets through are verified.  The first search
+covers each tree: from its oldest point, then from the oldest one not met yet.
+Its verified links give classes; the second search is for all pairs of
+different classes.  A tree of many points is searched in blocks of it.
 """
 
 from __future__ import annotations
@@ -20,17 +26,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import Scratch, components, partitions, spread, tidy, to_partition
-from linkforge.llm.words import mix64, shingle_sets, split
+from linkforge.llm.common import Scratch, components, maybe_in, partitions, spread, tidy, to_partition
+from linkforge.llm.words import shingle_sets, split
 
 N, THRESHOLD = 5, (75, 100)
 #: Groups of a point in the trees: four shingles or fewer a group on average, from GROUPS to TREE_GROUPS of them.
-GROUPS, TREE_GROUPS, LEAF = 128, 1024, 32
+GROUPS, TREE_GROUPS, LEAF = 128, 1024, 8
+#: Points of a tree that one task has at once; a larger tree is searched in blocks.  PIVOTS start the first search, which the second completes.
+BLOCK, PIVOTS = 2048, 64
 #: The longer a prefix, the more of its elements a link needs: one more for each EXTRA shingles.
 EXTRA = 12
 #: Slots in which shingles are counted for the common order, and in how many pieces the counts are summed; 2 MB are broadcast.
@@ -93,17 +101,21 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(46)).astype(np.int64)
 
 
+def _node(s: np.ndarray) -> int:
+    """A set's name among the points: 64 bits of a cryptographic hash of its sorted shingles."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: size, digest and count vectors of its set; and the partition's counts of shingles by slot, in pieces."""
-    names = ["doc_id", "n", "node", "hi", "vector", "fine", "key"]
+    names = ["doc_id", "n", "node", "vector", "fine", "key"]
     counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        rows: list[tuple[int, int, int, bytes, bytes]] = []
+        rows: list[tuple[int, int, bytes, bytes]] = []
         held: list[np.ndarray] = []
         for words in split(batch.column("_text"), lower=True):
             for s in shingle_sets(words, N):
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                rows.append((len(s), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), _count_vector(s, TREE_GROUPS), _count_vector(s)))
+                rows.append((len(s), _node(s), _count_vector(s, TREE_GROUPS), _count_vector(s)))
                 counts += np.bincount(_slots(s), minlength=SLOTS) if len(s) > SLOTS else 0
                 if 0 < len(s) <= SLOTS:
                     held.append(s)
@@ -111,12 +123,12 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts += np.bincount(_slots(np.concatenate(held)), minlength=SLOTS)
                 held = []
         k = len(rows)
-        columns = list(zip(*rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], *[pa.array(c, pa.binary()) for c in columns[3:]], pa.nulls(k, pa.int64())], names)
+        columns = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:2]], *[pa.array(c, pa.binary()) for c in columns[2:]], pa.nulls(k, pa.int64())], names)
     if counts.any():
         empty = pa.nulls(PIECES, pa.int64())
         pieces = pa.array([x.astype("<u4" if counts.max() < 1 << 32 else "<u8").tobytes() for x in np.split(counts, PIECES)], pa.binary())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pieces, pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, pieces, pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int64())], names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +168,7 @@ def _entries(known, buckets: int):
                 for doc_id, s in zip(ids[words.first :].tolist(), shingle_sets(words, N)):
                     if not len(s):
                         continue
-                    node = hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8]
+                    node = _node(s)
                     if node in met:  # copies are one point
                         continue
                     met.add(node)
@@ -164,7 +176,7 @@ def _entries(known, buckets: int):
                     keys.append(prefix)
                     places.append(np.full(len(prefix), len(points), np.uint32))
                     base.append(np.arange(len(prefix)) <= len(prefix) - _extra(len(s)))
-                    points.append(int.from_bytes(node, "little", signed=True))
+                    points.append(node)
                     ages.append(doc_id)
             if not keys:
                 continue
@@ -186,7 +198,7 @@ def _entries(known, buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Coordinates that two points or more have: (key, node, the tree's oldest point, the point before this one in age, base).
+    """Coordinates that two points or more have, a row for each point: (node, the oldest point that has it, base).
 
     Age is the document's id, to the 24 bits of a float; it only orders.
     """
@@ -214,15 +226,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, age, base = key[new], node[new], age[new], base[new]
         order = np.lexsort((node, age, key))
         key, node, base = key[order], node[order], base[order]
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(start)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         keep = np.repeat(size > 1, size)
         hub = np.repeat(node[first], size)[keep]
-        before = np.concatenate([[0], node[:-1]])[keep]
-        oldest = start[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(hub, mask=oldest), pa.array(before, mask=oldest), pa.array(base[keep])], ["key", "node", "hub", "before", "base"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(hub), pa.array(base[keep])], ["node", "hub", "base"])
 
 
 class RTree:
@@ -246,6 +254,20 @@ class RTree:
             levels.append((np.maximum.reduceat(box, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
         self.levels = levels
 
+    def near(self, point: int) -> np.ndarray:
+        """Indexes of the points whose bounded overlap with this one reaches what the threshold needs."""
+        p, q = THRESHOLD
+        own, n = self.points[point], int(self.sizes[point])
+        at = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            box, low, high = self.levels[level]
+            at = at[(q * high[at] >= p * n) & (p * low[at] <= q * n)]
+            at = at[np.minimum(box[at], own).sum(axis=1) >= _needed(low[at], n)]
+            if level:
+                at = (at[:, None] * self.leaf + np.arange(self.leaf)).reshape(-1)
+                at = at[at < len(self.levels[level - 1][0])]
+        return self.order[at]
+
     def pairs(self, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs (i, j) that the bound lets through; with ``group``, only pairs of different groups."""
         p, q = THRESHOLD
@@ -290,110 +312,120 @@ def _allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(axis=1) >= _needed(a.sum(axis=1), b.sum(axis=1))
 
 
-def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Plants an R-tree for each coordinate (rows come sorted by key) and returns the pairs of different classes it lets through.
+def _sent(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
 
-    A tree of up to LEAF points is one leaf; such trees are searched many at a
-    time, and a pair that several have is looked at once.
+def _trees(batches: Iterator[pa.RecordBatch], names: list[str], rows: int = 20_000) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[bytes]]]:
+    """Trees, many at a time: where each begins, the columns of its points and their vectors.
+
+    Rows come sorted by (hub, block), which name a tree or a part of one.
     """
+    held: list[tuple[list[np.ndarray], list[bytes]]] = []
+    size = 0
 
-    def sent(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    seen: set[int] = set()
-
-    def fresh(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Pairs that this task hasn't sent yet; it remembers a million."""
-        new = np.ones(len(a), bool)
-        if len(seen) > 1_000_000:
-            seen.clear()
-        for i, h in enumerate(mix64(np.minimum(a, b).view(np.uint64) * np.uint64(3) + np.maximum(a, b).view(np.uint64)).tolist()):
-            if h in seen:
-                new[i] = False
-            else:
-                seen.add(h)
-        return new
-
-    def met(i: np.ndarray, j: np.ndarray, vector: list[bytes], groups: np.ndarray) -> np.ndarray:
-        """Which pairs the bound lets through, each in the coarser groups of its two points."""
-        out, least = np.zeros(len(i), bool), np.minimum(groups[i], groups[j])
-        for g in np.unique(least).tolist():
-            for x in np.array_split(np.flatnonzero(least == g), max(1, int((least == g).sum()) // 8192)):
-                rows, at = np.unique(np.concatenate([i[x], j[x]]), return_inverse=True)
-                points = _vectors([vector[r] for r in rows.tolist()], g)
-                out[x] = _allowed(points[at[: len(x)]], points[at[len(x) :]])
-        return out
+    def joined() -> tuple[list[np.ndarray], list[bytes]]:
+        return [np.concatenate([h[0][i] for h in held]) for i in range(len(names) + 2)], [x for h in held for x in h[1]]
 
-    def searched(key: np.ndarray, node: np.ndarray, group: np.ndarray, vector: list[bytes]) -> Iterator[pa.RecordBatch]:
-        groups = _groups_of(vector)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        left, right = [], []
-        for n in np.unique(size[(size > 1) & (size <= LEAF)]).tolist():
-            i, j = np.triu_indices(n, 1)
-            at = first[size == n][:, None]
-            left.append((at + i).reshape(-1))
-            right.append((at + j).reshape(-1))
-        for at, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist()):
-            tree = RTree(_vectors(vector[at : at + n], int(groups[at : at + n].min())))
-            for i, j in tree.pairs(group[at : at + n]):
-                left.append(at + i)
-                right.append(at + j)
-        if not left:
-            return
-        i, j = np.concatenate(left), np.concatenate(right)
-        differ = group[i] != group[j]
-        i, j = i[differ], j[differ]
-        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        order = np.lexsort((b, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        i, j = i[order[new]], j[order[new]]
-        new = fresh(node[i], node[j])
-        i, j = i[new], j[new]
-        keep = met(i, j, vector, groups)
-        yield sent(node[i[keep]], node[j[keep]])
-
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
-    rows = 0
-
-    def all_held() -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        return (*[np.concatenate([h[i] for h in held]) for i in range(3)], [x for h in held for x in h[3]])
+    def starts(columns: list[np.ndarray]) -> np.ndarray:
+        hub, block = columns[:2]
+        return np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (block[1:] != block[:-1])]))
 
     for batch in batches:
         if not len(batch):
             continue
-        held.append((*[batch.column(c).to_numpy() for c in ("key", "node", "class")], batch.column("vector").to_pylist()))
-        rows += len(batch)
-        if rows >= 50_000 and held[0][0][0] != held[-1][0][-1]:
-            key, node, group, vector = all_held()
-            cut = int(np.searchsorted(key, key[-1], "left"))  # the last tree may go on
-            yield from searched(key[:cut], node[:cut], group[:cut], vector[:cut])
-            held, rows = [(key[cut:], node[cut:], group[cut:], vector[cut:])], len(key) - cut
+        held.append(([batch.column(c).to_numpy() for c in ("hub", "block", *names)], batch.column("vector").to_pylist()))
+        size += len(batch)
+        if size >= rows:
+            columns, vectors = joined()
+            first = starts(columns)
+            cut = int(first[-1])  # the last tree may go on
+            if cut:
+                yield first[:-1], [c[:cut] for c in columns[2:]], vectors[:cut]
+            held, size = [([c[cut:] for c in columns], vectors[cut:])], len(vectors) - cut
     if held:
-        yield from searched(*all_held())
-
+        columns, vectors = joined()
+        yield starts(columns), columns[2:], vectors
+
+
+def _leaf_pairs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of points within the trees that are one leaf."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(size[(size > 1) & (size <= LEAF)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        at = first[size == n][:, None]
+        left.append((at + i).reshape(-1))
+        right.append((at + j).reshape(-1))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _once(i: np.ndarray, j: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different points, each pair of points once."""
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return i[order[new & (a != b)]], j[order[new & (a != b)]]
+
+
+def _bound_met(i: np.ndarray, j: np.ndarray, vector: list[bytes], groups: np.ndarray) -> np.ndarray:
+    """Which pairs the bound lets through, each in the coarser groups of its two points."""
+    out, least = np.zeros(len(i), bool), np.minimum(groups[i], groups[j])
+    for g in np.unique(least).tolist():
+        for x in np.array_split(np.flatnonzero(least == g), max(1, int((least == g).sum()) // 8192)):
+            rows, at = np.unique(np.concatenate([i[x], j[x]]), return_inverse=True)
+            points = _vectors([vector[r] for r in rows.tolist()], g)
+            out[x] = _allowed(points[at[: len(x)]], points[at[len(x) :]])
+    return out
 
-#: Bits of the filter that keeps texts not needed from being shuffled; when more ids than it holds are needed it lets more through, no less.
-FILTER_BITS = 1 << 24
 
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first search: pairs that the trees let through and that join what may be linked.
 
-def _needed_rows(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``rows`` whose doc_id may be in ``ids``: a Bloom filter of two bits an id, 2 MB, is broadcast."""
-    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)])).alias("bit"))
-    found = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("set")).toArrow()
-    table = np.zeros(FILTER_BITS >> 6, np.int64)
-    table[found.column("word").to_numpy()] = found.column("set").to_numpy()
-    broadcast = rows.sparkSession.sparkContext.broadcast(table)
+    A tree of one leaf gives all its pairs.  In a larger one the oldest point is
+    a pivot: the tree is searched for all points that may be linked with it,
+    then from the oldest point not met yet, PIVOTS times at most; pairs without
+    a pivot are left to the second search.
+    """
+    for first, (node, age), vector in _trees(batches, ["node", "rep"]):
+        groups, size = _groups_of(vector), np.diff(np.append(first, len(node)))
+        i, j = _once(*_leaf_pairs(first, size), node)
+        met = _bound_met(i, j, vector, groups)
+        left, right = [i[met]], [j[met]]
+        for at, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist()):
+            tree = RTree(_vectors(vector[at : at + n], int(groups[at : at + n].min())))
+            open_, order = np.ones(n, bool), np.lexsort((node[at : at + n], age[at : at + n]))
+            for _ in range(PIVOTS):
+                if not open_.any():
+                    break
+                pivot = int(order[open_[order].argmax()])
+                found = tree.near(pivot)
+                found = found[open_[found] & (node[at + found] != node[at + pivot])]
+                open_[pivot] = open_[found] = False
+                left.append(np.full(len(found), at + pivot))
+                right.append(at + found)
+        i, j = _once(np.concatenate(left), np.concatenate(right), node)
+        yield _sent(node[i], node[j])
+
+
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second search: all pairs of different classes that the trees let through."""
+    for first, (node, group), vector in _trees(batches, ["node", "class"]):
+        groups = _groups_of(vector)
+        for at, end in zip(first.tolist(), np.append(first[1:], len(node)).tolist()):
+            tree = RTree(_vectors(vector[at:end], int(groups[at:end].min())))
+            for i, j in tree.pairs(group[at:end]):
+                i, j = _once(at + i, at + j, node)
+                yield _sent(node[i], node[j])
 
-    @F.pandas_udf("boolean")
-    def may_be(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.ones(len(x), bool)
-        for bit in (x.to_numpy(), y.to_numpy()):
-            out &= (broadcast.value[bit >> 6] >> (bit & 63) & 1).astype(bool)
-        return pd.Series(out)
 
-    return rows.filter(may_be(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)]))
+def _of_point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has the set that the point is; rows that repeat an id may have others."""
+    for batch in batches:
+        own = [_node(s) for s in split_sets(batch.column("text"))]
+        keep = pc.equal(batch.column("node"), pa.array(own, pa.int64()))
+        yield batch.filter(keep)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,16 +445,34 @@ def split_sets(column: pa.Array) -> Iterator[np.ndarray]:
         yield from shingle_sets(words, N)
 
 
+def _blocks_of(members: DataFrame) -> DataFrame:
+    """(hub, block, node, class) of the second search: a tree of up to BLOCK points is one block.
+
+    A larger one has its largest class in parts, each with each part of the
+    other points, and these parts with each other.  Where the largest class
+    stands beside others only pairs with it are looked for: there the others
+    pass for one class.
+    """
+    small = members.filter(f"k + others <= {BLOCK}").select("hub", F.lit(0).cast("long").alias("block"), "node", "class")
+    large = members.filter(f"k + others > {BLOCK}").withColumn("s", F.expr(f"(k + {BLOCK - 1}) div {BLOCK}")).withColumn("r", F.expr(f"(others + {BLOCK - 1}) div {BLOCK}"))
+    large = large.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("class") == F.col("most"), F.col("s")).otherwise(F.col("r"))))
+    own = large.filter("class = most").select("hub", F.explode(F.expr("transform(sequence(0L, r - 1), j -> 1 + part * r + j)")).alias("block"), "node", "class")
+    rest = large.filter("class <> most")
+    beside = rest.select("hub", F.explode(F.expr("transform(sequence(0L, s - 1), i -> 1 + i * r + part)")).alias("block"), "node", F.expr("~most").alias("class"))
+    among = rest.select("hub", F.explode(F.expr("transform(sequence(0L, r - 1), j -> -1 - (least(part, j) * r + greatest(part, j)))")).alias("block"), "node", "class")
+    return small.unionByName(own).unionByName(beside).unionByName(among)
+
+
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Class of each document under links of a Jaccard similarity of 0.75 or more.
 
     Returns one row for each row: ``id_col``, ``n_shingles`` and
     ``component_id``, the smallest id reachable by links.
 
-    Steps: profiles of all sets; equal sets become one point; coordinates that
-    points share; pairs that stand next to each other in a tree are verified
-    first and give classes; then each tree is searched for pairs of different
-    classes.  Pairs within a class need no verification, so a group of
+    Steps: profiles of all sets; equal sets become one point; points are dealt
+    to trees by the coordinates they share; the first search of the trees and
+    its verified links give classes; the second searches them for pairs of
+    different classes.  Pairs within a class need no verification, so a group of
     thousands of near copies costs about as many pairs as it has members, and
     still no pair of different classes is left out.
 
@@ -434,7 +484,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    profiles = scratch.cut(rows.mapInArrow(_profiles, "doc_id long, n long, node long, hi long, vector binary, fine binary, key long"))
+    profiles = scratch.cut(rows.mapInArrow(_profiles, "doc_id long, n long, node long, vector binary, fine binary, key long"))
     counts = np.zeros(SLOTS, np.int64)
     for r in spread(profiles.filter("key is not null").select("key", "vector"), "key").mapInArrow(_summed, "key long, counts binary").collect():
         counts[r["key"] * (SLOTS // PIECES) :][: SLOTS // PIECES] += np.frombuffer(r["counts"], np.int64)
@@ -444,7 +494,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     buckets = partitions(spark)
     entries = rows.filter("doc_id is not null").mapInArrow(_entries(known, buckets), "bucket int, keys binary, places binary, points binary")
-    shared = scratch.cut(to_partition(entries, "bucket").mapInArrow(_shared, "key long, node long, hub long, before long, base boolean"))
+    shared = scratch.cut(to_partition(entries, "bucket").mapInArrow(_shared, "node long, hub long, base boolean"))
     tidy(spark)
     # a partner has three quarters of a point's shingles at least
     p, q = THRESHOLD
@@ -452,39 +502,49 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     linkable = shared.groupBy("node").agg(F.count("*").alias("shares")).join(points.select("node", "n"), "node").filter(F.col("shares") >= enough)
     linkable = scratch.cut(linkable.select("node"))
     # the longer prefix has been for counting; one shared coordinate of the shorter is enough to meet
-    trees = scratch.cut(shared.filter("base").drop("base").join(linkable, "node"))
+    trees = scratch.cut(shared.filter("base").select("hub", "node").distinct().join(linkable, "node"))
     scratch.drop(shared)
-    vectors, fine = points.select("node", "vector"), points.select("node", "fine")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         """Bounds pairs by their fine vectors and verifies those left; only the texts of their documents are shuffled."""
+        fine = points.select("node", "fine")
         pairs = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("va")), "a").join(fine.select(F.col("node").alias("b"), F.col("fine").alias("vb")), "b")
         pairs = scratch.cut(pairs.select("a", "b", "va", "vb").mapInArrow(_bounded, "a long, b long"))
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = scratch.cut(nodes.join(points, "node").select("node", "rep"))
-        some = _needed_rows(rows, wanted, "rep")
+        some = maybe_in(rows, wanted, "rep")
         texts = some.join(wanted, some["doc_id"] == wanted["rep"]).select("node", F.col("_text").alias("text"))
-        texts = scratch.cut(texts.dropDuplicates(["node"]))
+        texts = scratch.cut(texts.mapInArrow(_of_point, "node long, text string").dropDuplicates(["node"]))
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         out = scratch.cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"))
         scratch.drop(texts, wanted, pairs)
         return out
 
-    # each point with its tree's oldest point, which may be what the others were copied from, and with the one before it
-    beside = trees.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(trees.select(F.col("before").alias("a"), F.col("node").alias("b")))
-    beside = beside.filter("a is not null").distinct().join(linkable.select(F.col("node").alias("a")), "a")
-    beside = beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = links_of(beside)
+    def planted(members: DataFrame, *columns: str) -> DataFrame:
+        """The trees' points with their vectors, a tree or block of one in one partition."""
+        with_vector = members.join(points.select("node", "rep", "vector"), "node")
+        return spread(with_vector, "hub", "block").select("hub", "block", "node", *columns, "vector").sortWithinPartitions("hub", "block")
+
+    sizes = scratch.cut(trees.groupBy("hub").agg(F.count("*").alias("m")).filter("m > 1"))
+    members = trees.join(sizes, "hub")
+    blocks = F.expr(f"(m + {BLOCK - 1}) div {BLOCK}")
+    dealt = members.select("hub", "node", F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    # the oldest point of a tree in blocks goes to all of them
+    of_large = members.filter(f"m > {BLOCK}").join(points.select("node", "rep"), "node")
+    oldest = of_large.groupBy("hub").agg(F.min(F.struct("rep", "node")).alias("o"), F.first("m").alias("m"))
+    oldest = oldest.select("hub", F.col("o.node").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    first = links_of(planted(dealt.unionByName(oldest).distinct(), "rep").mapInArrow(_covered, "a long, b long").distinct())
     classes = scratch.cut(components(scratch, first))
 
-    members = trees.select("key", "node", F.coalesce("hub", "node").alias("hub")).join(classes, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("class"))
-    open_keys = members.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
-    open_members = members.join(open_keys, "key").join(vectors, "node")
-    # trees with the same oldest point have mostly the same pairs, so four tasks get them
-    grown = spread(open_members, "hub", F.pmod("key", F.lit(4))).select("key", "node", "class", "vector").sortWithinPartitions("key")
-    second = links_of(grown.mapInArrow(_grown, "a long, b long").distinct())
-    scratch.drop(trees)
+    # trees of one leaf have been searched for all pairs
+    members = members.filter(f"m > {LEAF}").join(classes, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("class"))
+    of_class = members.groupBy("hub", "class").agg(F.count("*").alias("k"))
+    mixed = of_class.groupBy("hub").agg(F.count("*").alias("classes"), F.max(F.struct("k", "class")).alias("most"), F.sum("k").alias("m")).filter("classes > 1")
+    mixed = mixed.select("hub", F.col("most.class").alias("most"), F.col("most.k").alias("k"), (F.col("m") - F.col("most.k")).alias("others"))
+    members = scratch.cut(members.join(mixed, "hub"))
+    second = links_of(planted(_blocks_of(members), "class").mapInArrow(_crossed, "a long, b long").distinct())
+    scratch.drop(trees, members, sizes)
     links = first.unionByName(second)
 
     final = components(scratch, links)
