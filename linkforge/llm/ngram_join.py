@@ -38,7 +38,7 @@ N, THRESHOLD = 5, (75, 100)
 #: Groups of a point in the trees: four shingles or fewer a group on average, from GROUPS to TREE_GROUPS of them.
 GROUPS, TREE_GROUPS, LEAF = 128, 1024, 8
 #: Points of a tree that one task has at once; a larger tree is searched in blocks.  PIVOTS start the first search, which the second completes.
-BLOCK, PIVOTS = 2048, 64
+BLOCK, PIVOTS = 256, 64
 #: The longer a prefix, the more of its elements a link needs: one more for each EXTRA shingles.
 EXTRA = 12
 #: Slots in which shingles are counted for the common order, and in how many pieces the counts are summed; 2 MB are broadcast.

@@ -1,17 +1,24 @@
-"""Removal of repeated passages by relative Lempel-Ziv factors.
+"""Removal of repeated passages by relative Lempel-Ziv parsing.
 
-A document is parsed relative to a reference, the documents with smaller ids:
-a factor is the longest run of words, 50 at least, that stands in a reference
-document too.  The reference is indexed by 50-word windows in blocks that are
-dealt over the cluster; a window's entry names the smallest document that has
-it, and where.  The parse follows a factor through the index for as long as the
-next window goes on in the same place of the same reference document, and looks
-at every window across a factor's end too, so no covered word is missed.
+A document is parsed relative to a reference, the documents with smaller ids: a
+factor is the longest run of words, 50 at least, that goes on alike in a
+reference passage.  The parse is greedy: at the first word that begins a window
+of the reference it looks the window up, compares the words and goes on with
+them as far as they agree, then looks at the windows across the factor's end,
+so no covered word is missed, and parses on behind it.
+
+The reference is indexed by 50-word windows in blocks that are dealt over the
+cluster.  Windows that two documents have name the smallest document that has
+them; its passages, words and all, are sent to each block with a document that
+may need them, and are the reference of the documents there.
 
 A window is looked for only in blocks where it can be found: of the 31 runs of
 20 words in a window, that with the least hash is its anchor, and equal windows
 have equal anchors.  About one word in sixteen starts an anchor; windows whose
 anchor no second document has are not indexed.
+
+Words go by 64-bit hashes.  Windows are found by hashes too, but a word is
+removed only where the words of the passage were compared.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from linkforge.llm.common import Scratch, partitions, tidy, to_partition, whole_row
+from linkforge.llm.common import Scratch, maybe_in, partitions, tidy, to_partition, whole_row
 from linkforge.llm.words import Words, split, windows
 
 WINDOW, ANCHOR = 50, 20
@@ -132,15 +139,15 @@ def _member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return table[at] == values, at
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch | None, list[bytes]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("entries",)) -> Iterator[tuple[int, pa.RecordBatch | None, list[tuple[bytes, ...]]]]:
     """Slices of batches sorted by (block, kind): (block, documents or None, entries met in this slice)."""
     for batch in batches:
         block = batch.column("block").to_numpy()
         cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist() if len(block) else []
         for a, b in zip(cut, [*cut[1:], len(block)]):
             part = batch.slice(a, b - a)
-            mask = pc.is_valid(part.column("entries"))
-            entries = part.column("entries").filter(mask).to_pylist()
+            mask = pc.is_valid(part.column(names[0]))
+            entries = list(zip(*[part.column(c).filter(mask).to_pylist() for c in names]))
             docs = part.filter(pc.invert(mask))
             yield int(block[a]), docs if len(docs) else None, entries
 
@@ -160,7 +167,7 @@ def _candidate_windows(buckets: int):
             if docs is None:
                 continue
             if table is None or entries:
-                table = np.unique(np.frombuffer(b"".join(held), np.uint64))
+                table = np.unique(np.frombuffer(b"".join(x for x, in held), np.uint64))
             if not len(table):
                 continue
             ids = docs.column("doc_id").to_numpy()
@@ -186,47 +193,32 @@ def _candidate_windows(buckets: int):
     return f
 
 
-_ENTRY = np.dtype([("hash", np.uint64), ("doc", np.int64), ("first", np.int32)])
+_REQUEST = np.dtype([("hash", np.uint64), ("doc", np.int64), ("first", np.int32), ("target", np.int32)])
 
 
-def _reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The index: for windows of two documents or more the smallest, sent to all blocks that have the window."""
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For windows of two documents or more: the block of the smallest is asked to send its words to the blocks of the others."""
     for _, (w, home) in _gathered(batches, "bucket", ["windows", "homes"], [_WINDOW, np.int32]):
         order = np.lexsort((w["first"], w["doc"], w["hash"]))
         w, home = w[order], home[order]
         if not len(w):
             continue
         start = np.flatnonzero(np.concatenate([[True], w["hash"][1:] != w["hash"][:-1]]))
-        size = np.diff(np.append(start, len(w)))
-        last = start + size - 1
-        several = (np.maximum.reduceat(w["more"], start) > 0) | (w["doc"][last] != w["doc"][start])
-        out = np.empty(len(w), _ENTRY)
-        for c in _ENTRY.names:
-            out[c] = np.repeat(w[c][start], size)
-        keep = np.repeat(several, size)
-        out, home = out[keep], home[keep]
+        at = np.repeat(start, np.diff(np.append(start, len(w))))
+        # a block where the smallest document is alone needs nothing
+        needed = (w["doc"] != w["doc"][at]) | (w["more"] > 0)
+        out = np.empty(int(needed.sum()), _REQUEST)
+        out["hash"], out["doc"], out["first"], out["target"] = w["hash"][at][needed], w["doc"][at][needed], w["first"][at][needed], home[needed]
         if len(out):
-            yield _packed(home, [out], "block", ["entries"])
+            yield _packed(home[at][needed], [out], "block", ["entries"])
 
 
-def factors(hit: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Greedy factors of one document: (first word, words, reference document, its first word).
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reference passages for other blocks: heads (document, first word, words) and the words.
 
-    ``hit`` are the starts of the windows found, ``doc`` and ``first`` what the
-    index says of them.  A factor goes on while the next window follows in the
-    same reference; a window across its end that another reference has begins a
-    factor of its own.
+    Windows asked for that overlap go as one passage.
     """
-    new = np.ones(len(hit), bool)
-    new[1:] = (hit[1:] != hit[:-1] + 1) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)
-    start = np.flatnonzero(new)
-    last = np.append(start[1:], len(hit)) - 1
-    return np.stack([hit[start], hit[last] - hit[start] + WINDOW, doc[start], first[start]], axis=1) if len(hit) else np.zeros((0, 4), np.int64)
-
-
-def _parsed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Each document's factors, and what is left of it."""
-    at, held, table = None, [], np.zeros(0, _ENTRY)
+    at, held, table = None, [], None
     for block, docs, entries in _blocks(batches):
         if block != at:
             at, held, table = block, [], None
@@ -234,41 +226,128 @@ def _parsed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
         if docs is None:
             continue
         if table is None or entries:
-            table = np.frombuffer(b"".join(held), _ENTRY)
-            table = table[np.lexsort((table["first"], table["doc"], table["hash"]))]
-            # blocks send what they know of a window once a batch; the smallest document comes first
-            table = table[np.concatenate([[True], table["hash"][1:] != table["hash"][:-1]])] if len(table) else table
+            # blocks send what they know of a window once a batch
+            table = np.unique(np.frombuffer(b"".join(x for x, in held), _REQUEST))
+            table = table[np.lexsort((table["first"], table["target"], table["doc"]))]
+        if not len(table):
+            continue
+        ids = docs.column("doc_id").to_numpy()
+        sent: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for words in split(docs.column("_text"), lower=False):
+            own = ids[words.first : words.first + len(words)]
+            lo, hi = np.searchsorted(table["doc"], own, "left"), np.searchsorted(table["doc"], own, "right")
+            some = np.flatnonzero(hi > lo).tolist()
+            if not some:
+                continue
+            hashes = windows(words.hashes, WINDOW)
+            for i in some:
+                a, n = int(words.bounds[i]), int(words.bounds[i + 1] - words.bounds[i])
+                asked = table[lo[i] : hi[i]]
+                asked = asked[asked["first"] + WINDOW <= n]
+                # rows that repeat an id: the window has to be this one's
+                asked = asked[hashes[a + asked["first"]] == asked["hash"]]
+                if not len(asked):
+                    continue
+                first, target = asked["first"].astype(np.int64), asked["target"]
+                start = np.flatnonzero(np.concatenate([[True], (target[1:] != target[:-1]) | (first[1:] > first[:-1] + WINDOW)]))
+                last = np.append(start[1:], len(first)) - 1
+                for f, e, t in zip(first[start].tolist(), (first[last] + WINDOW).tolist(), target[start].tolist()):
+                    sent.setdefault(t, []).append((np.array([own[i], f, e - f], np.int64), words.hashes[a + f : a + e]))
+        if sent:
+            columns = [pa.array(list(sent), pa.int32()), *[pa.array([np.concatenate([x[k] for x in s]).tobytes() for s in sent.values()], pa.binary()) for k in (0, 1)]]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "heads", "words"])
+
+
+def _asked_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [np.unique(np.frombuffer(x, _REQUEST)["doc"]) for x in batch.column("entries").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)) if ids else [], pa.int64())], ["doc_id"])
+
+
+class Reference:
+    """Reference passages of a block, indexed by their 50-word windows."""
+
+    def __init__(self, segments: list[tuple[bytes, bytes]]):
+        heads = np.frombuffer(b"".join(h for h, _ in segments), np.int64).reshape(-1, 3)
+        self.words = np.frombuffer(b"".join(w for _, w in segments), np.uint64)
+        self.doc, self.first = heads[:, 0], heads[:, 1]
+        self.end = np.cumsum(heads[:, 2])
+        hashes = windows(self.words, WINDOW)
+        n = heads[:, 2] - WINDOW + 1
+        segment = np.repeat(np.arange(len(heads)), n)
+        place = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.end - heads[:, 2], n)
+        key, doc = hashes[place], self.doc[segment]
+        # the smallest document's passage stands for a window
+        order = np.lexsort((self.first[segment] + place, doc, key))
+        order = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(order) else order
+        self.key, self.segment, self.place = key[order], segment[order], place[order]
+
+    def found(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which windows may stand in a passage of a document smaller than their owner, and the entry of each."""
+        hit, at = _member(hashes, self.key)
+        if len(self.key):
+            hit &= self.doc[self.segment[at]] < owner
+        return hit, at
+
+    def parse(self, words: np.ndarray, hit: np.ndarray, entry: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Greedy factors of one document: (first word, words, reference document, its first word).
+
+        ``hit`` are the starts of the windows that may be found, in order,
+        ``entry`` where the index has them.
+        """
+        out, k = [], 0
+        while k < len(hit):
+            i, e = int(hit[k]), int(entry[k])
+            segment, place = int(self.segment[e]), int(self.place[e])
+            n = min(len(words) - i, int(self.end[segment]) - place)
+            differ = words[i : i + n] != self.words[place : place + n]
+            n = int(differ.argmax()) if differ.any() else n
+            if n < WINDOW:  # another window's hash
+                k += 1
+                continue
+            passage_start = int(self.end[segment - 1]) if segment else 0
+            out.append((i, n, int(self.doc[segment]), int(self.first[segment]) + place - passage_start))
+            k = int(np.searchsorted(hit, i + n - WINDOW + 1))
+        return out
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Each document's factors, and what is left of it."""
+    at, held, reference = None, [], None
+    for block, docs, segments in _blocks(batches, ("heads", "words")):
+        if block != at:
+            at, held, reference = block, [], None
+        held += segments
+        if docs is None:
+            continue
+        if reference is None or segments:
+            reference = Reference(held)
         known = pc.is_valid(docs.column("doc_id")).to_numpy(zero_copy_only=False)
         ids = pc.fill_null(docs.column("doc_id"), 0).to_numpy()
         n_words, n_removed, kept, spans = [], [], [], []
         for words in split(docs.column("_text"), lower=False):
             doc, first, hashes, _ = _window_index(words)
-            hit, where = _member(hashes, table["hash"])
             own = doc + words.first
-            hit &= known[own] & (table["doc"][where] < ids[own]) if len(table) else False
-            at_hit = np.flatnonzero(hit)
+            hit, entry = reference.found(hashes, ids[own])
+            at_hit = np.flatnonzero(hit & known[own])
             bounds = np.searchsorted(doc[at_hit], np.arange(len(words) + 1))
             for i in range(len(words)):
                 a, b = words.bounds[i], words.bounds[i + 1]
                 text = words.data[words.offsets[i] : words.offsets[i + 1]].tobytes()
                 pieces = text.split()
                 of = at_hit[bounds[i] : bounds[i + 1]]
-                n_words.append(int(b - a))
-                if not len(of):
-                    n_removed.append(0)
-                    kept.append(b" ".join(pieces))
-                    spans.append([])
-                    continue
-                found = factors(first[of], table["doc"][where[of]], table["first"][where[of]])
+                found = reference.parse(words.hashes[a:b], first[of], entry[of]) if len(of) else []
                 cover = np.zeros(b - a + 1, np.int64)
-                np.add.at(cover, found[:, 0], 1)
-                np.add.at(cover, found[:, 0] + found[:, 1], -1)
-                left = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
-                n_removed.append(int(b - a - len(left)))
-                kept.append(b" ".join([pieces[k] for k in left.tolist()]))
-                spans.append([{"first": int(x[0]), "words": int(x[1]), "ref_doc": int(x[2]), "ref_first": int(x[3])} for x in found])
+                for x in found:
+                    cover[x[0]] += 1
+                    cover[x[0] + x[1]] -= 1
+                left = np.flatnonzero(np.cumsum(cover[:-1]) == 0) if found else None
+                n_words.append(int(b - a))
+                n_removed.append(int(b - a - len(left)) if found else 0)
+                kept.append(b" ".join([pieces[k] for k in left.tolist()] if found else pieces))
+                spans.append([dict(zip(("first", "words", "ref_doc", "ref_first"), x)) for x in found])
         names = docs.schema.names
-        carried = [(c, docs.column(c)) for c in names if c not in ("block", "entries", "_text")]
+        carried = [(c, docs.column(c)) for c in names if c not in ("block", "heads", "words", "_text")]
         digests = [hashlib.sha256(k).hexdigest() for k in kept]
         span = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_first", pa.int32())]))
         more = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array([k.decode("utf-8", "replace") if with_text else None for k in kept], pa.string()), "factors": pa.array(spans, span)}
@@ -286,7 +365,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts have no words.  Rows without an id lose nothing and are no
     reference; rows that repeat an id are no reference for each other.  A
     passage that a third of all documents share is reported once for each batch
-    of rows on its way to the index, so no task gets a row for each document.
+    of rows on its way to the index and sent once to each block, so no task gets
+    a row for each document.
     An empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -302,19 +382,26 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tidy(spark)
 
     def beside(entries: DataFrame, docs: DataFrame) -> DataFrame:
-        """Documents and index entries of a block in one partition, the entries first."""
-        both = docs.withColumn("entries", F.lit(None).cast("binary")).unionByName(entries, allowMissingColumns=True)
-        return to_partition(both, "block").sortWithinPartitions("block", F.col("entries").isNull())
-
-    candidates = beside(shared, known.select("block", "doc_id", "_text")).mapInArrow(_candidate_windows(buckets), "bucket int, windows binary, homes binary")
-    index = scratch.cut(to_partition(candidates, "bucket").mapInArrow(_reference, "block int, entries binary"))
+        """Documents and entries of a block in one partition, the entries first."""
+        names = [c for c in entries.columns if c != "block"]
+        both = docs.select("*", *[F.lit(None).cast("binary").alias(c) for c in names]).unionByName(entries, allowMissingColumns=True)
+        return to_partition(both, "block").sortWithinPartitions("block", F.col(names[0]).isNull())
+
+    texts = known.select("block", "doc_id", "_text")
+    candidates = beside(shared, texts).mapInArrow(_candidate_windows(buckets), "bucket int, windows binary, homes binary")
+    asked = scratch.cut(to_partition(candidates, "bucket").mapInArrow(_requests, "block int, entries binary"))
     tidy(spark)
     scratch.drop(shared)
+    smallest = asked.mapInArrow(_asked_ids, "doc_id long").distinct()
+    segments = beside(asked, maybe_in(texts, scratch.cut(smallest), "doc_id")).mapInArrow(_segments, "block int, heads binary, words binary")
+    segments = scratch.cut(segments)
+    tidy(spark)
+    scratch.drop(asked)
     span = ArrayType(StructType().add("first", "integer").add("words", "integer").add("ref_doc", "long").add("ref_first", "integer"))
     schema = StructType([rows.schema["doc_id"], *[rows.schema[f"_k{i}"] for i in range(len(keep))]])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string").add("factors", span)
     docs = rows.select("block", "doc_id", "_text", *[f"_k{i}" for i in range(len(keep))])
-    out = beside(index, docs).mapInArrow(lambda batches: _parsed(batches, with_text), schema)
+    out = beside(segments, docs).mapInArrow(lambda batches: _parsed(batches, with_text), schema)
     return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept", "factors", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 
