@@ -112,12 +112,13 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     scratch = Scratch(spark)
     rows = scratch.cut(df.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")).withColumn("_h", F.xxhash64("_v")))
     good = _usable(rows.filter("_id is not null"), "_v")
-    # equal vectors have equal hashes; unequal ones with equal hashes would differ in _v, which is grouped by too
-    reps = scratch.cut(good.groupBy("_h", "_v").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")))
-    sizes = [r[0] for r in reps.select(F.size("_v")).distinct().collect()]
+    # a point for each distinct vector, whatever ids it has; its number is drawn once and written
+    points = good.groupBy("_h", "_v").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"))
+    points = scratch.cut(points.withColumn("node", F.monotonically_increasing_id()))
+    sizes = [r[0] for r in points.select(F.size("_v")).distinct().collect()]
     found = None
     for size in sizes:
-        here = reps.filter(F.size("_v") == size)
+        here = points.filter(F.size("_v") == size)
 
         def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -125,18 +126,17 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 peak = np.abs(x).max(axis=1, keepdims=True)
                 x = x / peak
                 own, near = cells(x / np.linalg.norm(x, axis=1, keepdims=True), seed)
-                ids = batch.column("rep").to_numpy()
                 keys = np.concatenate([own[:, :, None], near], axis=2)
                 home = np.zeros(keys.shape, bool)
                 home[:, :, 0] = True
                 each = keys.shape[1] * keys.shape[2]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, each)), pa.array(home.reshape(-1))], ["cell", "rep", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), each)), pa.array(home.reshape(-1))], ["cell", "node", "home"])
 
-        entries = scratch.cut(here.select("rep", "_v").mapInArrow(filed, "cell long, rep long, home boolean"))
-        homes = entries.filter("home").select("cell", F.col("rep").alias("a"))
-        pairs = homes.join(entries.select("cell", F.col("rep").alias("b")), "cell").filter("a <> b")
+        entries = scratch.cut(here.select("node", "_v").mapInArrow(filed, "cell long, node long, home boolean"))
+        homes = entries.filter("home").select("cell", F.col("node").alias("a"))
+        pairs = homes.join(entries.select("cell", F.col("node").alias("b")), "cell").filter("a <> b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(here.select(F.col("rep").alias("a"), F.col("_v").alias("_x")), "a").join(here.select(F.col("rep").alias("b"), F.col("_v").alias("_y")), "b")
+        both = pairs.join(here.select(F.col("node").alias("a"), F.col("_v").alias("_x")), "a").join(here.select(F.col("node").alias("b"), F.col("_v").alias("_y")), "b")
 
         def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -152,11 +152,13 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         found = spark.createDataFrame([], "a long, b long")
     links = scratch.cut(found)
     classes = components(scratch, links)
-    copies = reps.select(F.col("rep").alias("b"), "copies")
+    copies = points.select(F.col("node").alias("b"), "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    of_rep = reps.join(degree, reps["rep"] == degree["a"], "left").join(classes, reps["rep"] == classes["node"], "left")
-    of_rep = of_rep.select(F.col("_h").alias("_g"), F.col("_v").alias("_w"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.join(of_rep, (rows["_h"] == of_rep["_g"]) & (rows["_v"] == of_rep["_w"]) & rows["_id"].isNotNull(), "left")
+    of_point = points.join(degree, points["node"] == degree["a"], "left").join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    of_point = of_point.select("_h", "_v", "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("class"))
+    smallest = of_point.groupBy("class").agg(F.min("rep").alias("c"))
+    of_point = of_point.join(smallest, "class").select(F.col("_h").alias("_g"), F.col("_v").alias("_w"), "n", "c")
+    out = rows.join(of_point, (rows["_h"] == of_point["_g"]) & (rows["_v"] == of_point["_w"]) & rows["_id"].isNotNull(), "left")
     component = F.coalesce("c", "_id")
     return out.select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))
