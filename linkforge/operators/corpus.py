@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = "[SEP]"
@@ -23,9 +23,12 @@ def pack_words(df: DataFrame, id_col: str, text_col: str, length: int, drop_empt
     inside = Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.size("w") + 1).over(inside), F.lit(0))
     placed = rows.withColumn("o", offset).join(starts, "block").select((F.col("o") + F.col("before")).alias("o"), "w")
-    # the separator stands before each text but the first
-    words = placed.select("o", F.posexplode(F.concat(F.array(F.lit(SEPARATOR)), "w")).alias("p", "word")).select((F.col("o") + F.col("p") - 1).alias("at"), "word").filter("at >= 0")
-    chunks = words.groupBy(F.expr(f"at div {length}").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
+    # the separator stands before each text but the first; a text is cut where chunks end, and its pieces are shuffled, not its words
+    placed = placed.select((F.col("o") - 1).alias("o"), F.concat(F.array(F.lit(SEPARATOR)), "w").alias("w"))
+    placed = placed.select(F.greatest("o", F.lit(0)).alias("o"), F.when(F.col("o") < 0, F.expr("slice(w, 2, size(w))")).otherwise(F.col("w")).alias("w"))
+    piece = f"struct(c as chunk, greatest(o, c * {length}) as at, array_join(slice(w, cast(greatest(o, c * {length}) - o + 1 as int), cast(least((c + 1) * {length}, o + size(w)) - greatest(o, c * {length}) as int)), ' ') as piece)"
+    pieces = placed.filter("size(w) > 0").select(F.expr(f"inline(transform(sequence(o div {length}, (o + size(w) - 1) div {length}), c -> {piece}))"))
+    chunks = pieces.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ").alias("text"))
     if drop_empty:
         return chunks
     n = totals.agg(F.coalesce(F.sum("t") - 1, F.lit(0)).alias("n"))
@@ -35,7 +38,63 @@ def pack_words(df: DataFrame, id_col: str, text_col: str, length: int, drop_empt
 
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement, those whose draws are least: the same on every run."""
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col).limit(n)
+    return df.orderBy(_drawn(id_col, seed), id_col).limit(n)
+
+
+def sample_with_replacement(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
+    """n draws of rows, each from all: a column ``draw`` from 0 and the drawn row's columns; the same on every run.
+
+    A draw is a number below the number of rows, and rows are numbered by
+    sorting them once; a few draws are joined to all rows.
+    """
+    rows = df.count()
+    if not rows:
+        return df.select(F.lit(0).cast("long").alias("draw"), "*").limit(0)
+    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), F.lit("draw"))), 1, 15), 16, 10).cast("long"), F.lit(rows))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), drawn.alias("_place"))
+    return numbered(df, [F.col(id_col)], "_place").join(draws, "_place").select("draw", *df.columns)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, in an order; ranges of rows are sorted and counted, so no task has all.
+
+    The ranges' counts come to the driver, a number for each partition.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select("*", F.struct(*order).alias("_o")).repartitionByRange(parts, "_o").sortWithinPartitions("_o").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    ranged = ranged.persist()
+    counts = dict(ranged.groupBy("_part").count().collect())
+    before, total = {}, 0
+    for k in range(parts):
+        before[k] = total
+        total += counts.get(k, 0)
+    starts = F.element_at(F.array(*[F.lit(before[k]).cast("long") for k in range(parts)]), F.col("_part") + 1)
+    return ranged.withColumn(name, F.col("_at") + starts).drop("_o", "_part", "_at")
+
+
+def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
+    """All rows in an order that seed and id draw: the same on every run."""
+    return df.orderBy(_drawn(id_col, seed), id_col)
+
+
+def _drawn(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+
+
+def batches(df: DataFrame, id_col: str, size: int, seed: int = 0, drop_last: bool = True) -> DataFrame:
+    """Shuffled rows with the number of their batch of ``size``, from 0; the last one, if not full, is left out."""
+    out = numbered(df, [_drawn(id_col, seed), F.col(id_col)], "_place")
+    out = out.withColumn("batch", F.expr(f"_place div {size}"))
+    return (out.filter(F.col("batch") < df.count() // size) if drop_last else out).drop("_place")
+
+
+def prepare_corpus(df: DataFrame, id_col: str, text_col: str, max_length: int = 512, subset_size: int | None = None, pack: bool = True) -> DataFrame:
+    """(id, text) for training: the first ``subset_size`` chunks of ``max_length`` words, or with ``pack`` off the first rows as they are.
+
+    All of them without a ``subset_size``.  Chunks that hold nothing are left out.
+    """
+    rows = pack_words(df, id_col, text_col, max_length, drop_empty=True).withColumnRenamed("chunk", "id") if pack else df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows if subset_size is None else head(rows, "id", subset_size)
 
 
 def head(df: DataFrame, id_col: str, n: int) -> DataFrame:

@@ -14,6 +14,7 @@ from linkforge.operators import corpus, svd, tfidf
 from linkforge.operators.knn import edges, exact_knn, ivf_knn, knn
 from linkforge.operators.minhash import lsh_match_lists
 from linkforge.operators.tfidf import bm25_top_k
+from linkforge.operators.transformer import CharTransformer, embed_texts
 from linkforge.plans.strategy import ANCHOR_SHAPE, choose
 
 
@@ -74,3 +75,8 @@ def dedupe_embedded(df: DataFrame, id_col: str, text_col: str, embed: Callable[[
 
 def dedupe_bm25(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
     return bm25_top_k(df, df, id_col, text_col, id_col, text_col, k).filter("orig_idxs < match_idxs")
+
+
+def dedupe_char_transformer(df: DataFrame, id_col: str, text_col: str, model: CharTransformer, k: int = 5) -> DataFrame:
+    """By the mean embeddings of a character transformer."""
+    return dedupe_embedded(df, id_col, text_col, lambda rows, i, t: embed_texts(rows, i, t, model), k)

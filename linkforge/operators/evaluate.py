@@ -32,3 +32,8 @@ def search_metrics(scored: DataFrame) -> DataFrame:
     found = scored.agg(F.count("match_idxs").alias("pairs"), F.coalesce(F.sum("is_match"), F.lit(0)).alias("matches"), F.countDistinct("orig_idxs").alias("queries"))
     ratio = lambda by: F.round(F.try_divide(F.col("matches").cast("double"), F.col(by).cast("double")), 6)
     return found.select("pairs", "matches", "queries", ratio("pairs").alias("precision"), ratio("queries").alias("recall"))
+
+
+def write_metrics(metrics: DataFrame, path: str, **run: str | int | float) -> None:
+    """Appends a table of metrics, with what the run was as columns, to a folder of Parquet files."""
+    metrics.select(*[F.lit(v).alias(k) for k, v in sorted(run.items())], "*").write.mode("append").parquet(path)

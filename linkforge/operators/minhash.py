@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 PRIME = (1 << 31) - 1
 
 
+@lru_cache(1 << 18)
 def _hash32(text: str) -> int:
     return int(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
 
@@ -90,6 +91,76 @@ def lsh_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshold
     return found.join(left, "a").join(right, "b").select("orig_idxs", "match_idxs")
 
 
+def shingle_hashes(text: str, size: int = 4) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of so many characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = (h + codes[k : k + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
+
+
+#: Groups in which a set's hashes are counted to bound overlaps.
+GROUPS = 256
+
+
+def _needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Least overlap of sets of these sizes that reaches the similarity, by no more than rounding."""
+    return threshold / (1 + threshold) * (a + b) - 1e-9 * (a + b)
+
+
+def verified_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshold: float = 0.6, size: int = 4) -> DataFrame:
+    """(orig_idxs, match_idxs, similarity), orig < match, of rows that share a bucket and whose shingles' Jaccard similarity reaches the threshold.
+
+    Equal texts are one point.  Points that meet are bounded by counts of their
+    shingles in groups first, so whole sets go only where the similarity is in
+    reach.  Texts without shingles are in no pair.
+    """
+    rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    one = rows.groupBy("h", "text").agg(F.min("id").alias("rep")).filter(F.char_length("text") >= size)
+    filed = bands(signatures(one, "rep", "text", n, size), *band_shape(threshold, n))
+    met = filed.select("band", "bucket", F.col("id").alias("a")).join(filed.select("band", "bucket", F.col("id").alias("b")), ["band", "bucket"]).filter("a < b").select("a", "b").distinct()
+
+    @F.pandas_udf("binary")
+    def sets(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingle_hashes(t, size).tobytes())
+
+    @F.pandas_udf("binary")
+    def counts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.bincount((shingle_hashes(t, size) >> np.uint64(56)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+
+    @F.pandas_udf("boolean")
+    def in_reach(x: pd.Series, y: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(v), "<u4").reshape(len(v), -1).astype(np.int64) for v in (x, y))
+        return pd.Series(np.minimum(x, y).sum(axis=1) >= _needed(x.sum(axis=1), y.sum(axis=1), threshold)) if len(x) else pd.Series([], dtype=bool)
+
+    @F.pandas_udf("double")
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for v, w in zip(x, y):
+            v, w = np.frombuffer(v, np.uint64), np.frombuffer(w, np.uint64)
+            both = len(np.intersect1d(v, w, assume_unique=True))
+            out.append(both / (len(v) + len(w) - both))
+        return pd.Series(out, dtype="float64")
+
+    def beside(pairs: DataFrame, value: str) -> DataFrame:
+        values = one.select("rep", (counts if value == "c" else sets)("text").alias(value))
+        pairs = pairs.join(values.select(F.col("rep").alias("a"), F.col(value).alias("x")), "a")
+        return pairs.join(values.select(F.col("rep").alias("b"), F.col(value).alias("y")), "b")
+
+    near = beside(met, "c").filter(in_reach("x", "y")).select("a", "b")
+    alike = beside(near, "s").select("a", "b", jaccard("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold)
+    copies = rows.join(one.select(F.col("h").alias("h1"), F.col("text").alias("t1"), "rep"), (F.col("h") == F.col("h1")) & (F.col("text") == F.col("t1"))).select("rep", "id")
+    left, right = copies.select(F.col("rep").alias("a"), F.col("id").alias("i")), copies.select(F.col("rep").alias("b"), F.col("id").alias("j"))
+    across = alike.join(left, "a").join(right, "b").select(F.least("i", "j").alias("orig_idxs"), F.greatest("i", "j").alias("match_idxs"), "similarity")
+    within = left.join(right, F.col("a") == F.col("b")).filter("i < j").select(F.col("i").alias("orig_idxs"), F.col("j").alias("match_idxs"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(within)
+
+
 def lsh_match_lists(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshold: float = 0.6) -> DataFrame:
     """(orig_idxs, match_idxs) with all matches of a row as a sorted array, itself included."""
     return lsh_pairs(df, id_col, text_col, n, threshold).groupBy("orig_idxs").agg(F.sort_array(F.collect_set("match_idxs")).alias("match_idxs"))

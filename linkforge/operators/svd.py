@@ -23,10 +23,11 @@ class SvdModel:
     terms: dict[str, int]
     basis: np.ndarray
     values: np.ndarray
+    shared: int = 0  # rows that terms share by hash; 0 if each has its own
 
     def transform(self, weights: DataFrame) -> DataFrame:
         """(id, vector): the rows times the basis, that is U S for the rows fitted; new rows get the same basis."""
-        rows = _grouped(weights)
+        rows = _grouped(_folded(weights, self.shared))
         model = weights.sparkSession.sparkContext.broadcast(self)
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,22 +46,34 @@ class SvdModel:
         return np.array(w) @ self.basis[list(at)]
 
 
+def _folded(weights: DataFrame, shared: int) -> DataFrame:
+    """Terms by the row that they share."""
+    if not shared:
+        return weights
+    row = F.concat(F.lit("#"), F.pmod(F.xxhash64("term"), F.lit(shared)).cast("string"))
+    return weights.withColumn("term", row).groupBy("id", "term").agg(F.sum("weight").alias("weight"))
+
+
 def _grouped(weights: DataFrame) -> DataFrame:
     pairs = weights.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("x"))
     return pairs.select("id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
 
 
-def fit(weights: DataFrame, dim: int | None = None, passes: int = 4, extra: int = 10, most_terms: int = 2_000_000) -> SvdModel:
+def fit(weights: DataFrame, dim: int | None = None, passes: int = 7, extra: int = 10, most_terms: int = 2_000_000) -> SvdModel:
     """Leading right singular vectors of the matrix of weights.
 
     Each pass multiplies a block of terms x (dim + extra) by the matrix and its
     transpose; partitions return their sums.  The block is broadcast, and its
-    rows are the vocabulary, so a vocabulary of more than ``most_terms`` is
-    refused.  Signs are fixed by the largest component.
+    rows are the vocabulary.  Beyond ``most_terms`` terms they share rows by
+    hash, so the block is bounded; weights of terms that share a row are summed.
+    Signs are fixed by the largest component.
     """
-    found = sorted(r[0] for r in weights.select("term").distinct().limit(most_terms + 1).collect())
-    if len(found) > most_terms:
-        raise ValueError(f"more than {most_terms} terms; choose fewer n-grams")
+    every = weights.select("term").distinct()
+    n_terms = every.count()
+    shared = most_terms if n_terms > most_terms else 0
+    weights = _folded(weights, shared)
+    every = weights.select("term").distinct() if shared else every
+    found = sorted(r[0] for r in every.toLocalIterator())
     terms = {t: i for i, t in enumerate(found)}
     rows = _grouped(weights).cache()
     dim = min(dim or default_dim(len(terms)), len(terms), max(1, rows.count()))
@@ -90,4 +103,4 @@ def fit(weights: DataFrame, dim: int | None = None, passes: int = 4, extra: int
     basis = basis[:, :dim]
     signs = np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])
     rows.unpersist()
-    return SvdModel(terms, basis * np.where(signs == 0, 1, signs), values[:dim])
+    return SvdModel(terms, basis * np.where(signs == 0, 1, signs), values[:dim], shared)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from linkforge.functions import chars, fuzz, strsim, text, vectors
 from linkforge.operators import corpus, dedupe, evaluate, knn, minhash, tfidf
-from linkforge.plans.strategy import IvfShape
+from linkforge.operators.transformer import CharTransformer, Shape
+from linkforge.sources import address
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,10 +105,7 @@ def lsh_verified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verified(docs: DataFrame, perms: int) -> DataFrame:
-    pairs = minhash.lsh_pairs(docs, "doc_id", "text", perms, _LEVEL).filter("orig_idxs < match_idxs")
-    sets = docs.select("doc_id", text.shingle_udf(4, distinct=True)(F.col("text")).alias("s"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("orig_idxs"), F.col("s").alias("x")), "orig_idxs").join(sets.select(F.col("doc_id").alias("match_idxs"), F.col("s").alias("y")), "match_idxs")
-    return both.select("orig_idxs", "match_idxs", text.jaccard(F.col("x"), F.col("y")).alias("j")).filter(F.col("j") >= _LEVEL).select("orig_idxs", "match_idxs", F.round("j", 6).alias("similarity"))
+    return minhash.verified_pairs(docs, "doc_id", "text", perms, _LEVEL).withColumn("similarity", F.round("similarity", 6))
 
 
 _PROBE = _SIGNED.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark").replace("s AS (", "s2 AS (").replace("FROM s)", "FROM s2)").replace("h AS (", "h2 AS (").replace("LEFT JOIN h ON d.item_id = h.item_id", "LEFT JOIN h2 ON d.item_id = h2.item_id").replace("signed AS", "signed2 AS").replace("FROM signed)", "FROM signed2)").replace("banded AS", "banded2 AS").rpartition(", found AS")[0]
@@ -242,8 +240,9 @@ def cosine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours; cells follow the number of rows and probes the recall."""
     v = _vectors(spark, sf_dir)
-    return knn.ivf_knn(v, v, 5, IvfShape(32, 8), "l2")
+    return knn.ivf_knn(v, v, 5, metric="l2")
 
 
 # ---- string similarity
@@ -332,6 +331,123 @@ def eval_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.search_metrics(evaluate.score_pairs(knn_search(spark, sf_dir), labels))
 
 
+# recall on corrupted names: an index of all names, and each name once corrupted as a query or as one more row
+
+
+def _corrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzify(spark, sf_dir).select("id", F.col("fuzzed").alias("name"))
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name, label): names under twice their id, their corrupted copies under the number after it."""
+    names = _names(spark, sf_dir).select((F.col("id") * 2).alias("id"), "name", F.col("id").alias("label"))
+    return names.unionByName(_corrupted(spark, sf_dir).select((F.col("id") * 2 + 1).alias("id"), "name", F.col("id").alias("label")))
+
+
+_FUZZED = f"{_NAMES}, fuzzed AS (SELECT id, fuzzed AS name FROM ({fuzz.fuzzify_sql('names', 'id', 'name', 'fuzzed', 0.1, 1)}))"
+_DUPES = f"{_FUZZED}, both_ AS (SELECT id * 2 AS id, name, id AS label FROM names UNION ALL SELECT id * 2 + 1, name, id FROM fuzzed)"
+_SEARCHED = """SELECT count(j) AS pairs, coalesce(sum((i = j)::INT), 0)::BIGINT AS matches, count(DISTINCT i) AS queries, round(coalesce(sum((i = j)::INT), 0) / count(j), 6) AS "precision", round(coalesce(sum((i = j)::INT), 0) / count(DISTINCT i), 6) AS recall FROM hits"""
+_FULL_BANDS, _FULL_ROWS = minhash.band_shape(_LEVEL, _FULL_PERMS)
+
+
+def _banded(name: str, table: str) -> str:
+    """SQL for a band table of names at the full number of permutations."""
+    mins = ", ".join(f"coalesce(min((h * {a} + {b}) % {minhash.PRIME}), {minhash.PRIME})" for a, b in minhash.family(_FULL_PERMS))
+    return (
+        f"{name}_h AS (SELECT id, ('0x' || substr(md5(sh), 1, 8))::BIGINT % {minhash.PRIME} AS h FROM (SELECT DISTINCT id, substr(name, unnest(range(1, length(name) - 2)), 4) AS sh FROM {table} WHERE length(name) >= 4)), "
+        f"{name}_sig AS (SELECT t.id, [{mins}] AS sig FROM {table} t LEFT JOIN {name}_h h ON t.id = h.id GROUP BY t.id), "
+        f"{name} AS (SELECT id, b, array_to_string(sig[b * {_FULL_ROWS} + 1:b * {_FULL_ROWS} + {_FULL_ROWS}], ',') AS bucket FROM (SELECT id, sig, unnest(range({_FULL_BANDS})) AS b FROM {name}_sig))"
+    )
+
+
+@query(f"WITH {_FUZZED}, {_banded('x', 'fuzzed')}, {_banded('y', 'names')}, hits AS (SELECT f.id AS i, m.j FROM fuzzed f LEFT JOIN (SELECT DISTINCT x.id AS i, y.id AS j FROM x JOIN y ON x.b = y.b AND x.bucket = y.bucket) m ON f.id = m.i) {_SEARCHED}")
+def eval_search_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrupted names searched for among all names by MinHash banding."""
+    names = _names(spark, sf_dir)
+    index = minhash.lsh_index(names, "id", "name", _FULL_PERMS, _LEVEL)
+    found = minhash.lsh_search(index, _corrupted(spark, sf_dir), "id", "name", _FULL_PERMS, _LEVEL)
+    return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
+
+
+@query(f"""WITH {_DUPES}, {_banded('x', 'both_')}, hits AS (SELECT DISTINCT a.id AS i, b.id AS j FROM x a JOIN x b ON a.b = b.b AND a.bucket = b.bucket AND a.id <> b.id), m AS (SELECT count(*) AS pairs, coalesce(sum((i // 2 = j // 2)::INT), 0)::BIGINT AS matches FROM hits), g AS (SELECT count(*) AS n FROM names)
+SELECT pairs, matches, round(matches / pairs, 6) AS "precision", round(matches / n, 6) AS recall, round(matches / n, 6) AS pair_recall FROM m, g""")
+def eval_dedupe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and their corrupted copies by MinHash banding, both directions as the recall of this call counts them."""
+    rows = _both(spark, sf_dir)
+    found = minhash.lsh_pairs(rows, "id", "name", _FULL_PERMS, _LEVEL).filter("orig_idxs <> match_idxs")
+    return evaluate.dedupe_metrics(evaluate.score_pairs(found, rows), rows)
+
+
+def _weighted_search(grams: tuple[int, ...], weights: str, queries: str, product: str) -> str:
+    return f"""WITH {_FUZZED}, {_grams(grams)}, {_grams(grams).replace('names', 'fuzzed').replace('clean', 'clean2').replace('grams', 'grams2').replace('tf AS', 'tf2 AS')}, {weights}, {queries},
+c AS (SELECT a.id AS i, b.id AS j, round(sum({product}), 6) AS s FROM asked a JOIN held b ON a.term = b.term GROUP BY 1, 2),
+k AS (SELECT i, j FROM c QUALIFY row_number() OVER (PARTITION BY i ORDER BY s DESC, j) <= 5), hits AS (SELECT f.id AS i, k.j FROM fuzzed f JOIN k ON f.id = k.i) {_SEARCHED}"""
+
+
+@query(_weighted_search((2, 3), "idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM names)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term), held AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, tf.term, tf * idf AS w FROM tf JOIN idf ON tf.term = idf.term))",
+    "asked AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT id, tf2.term, tf * idf AS w FROM tf2 JOIN idf ON tf2.term = idf.term))", "a.w * b.w"))
+def eval_search_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrupted names searched for among all names by TF-IDF: the five nearest by the cosine, in the index's own weights."""
+    names = _names(spark, sf_dir)
+    model = tfidf.fit(names, "id", "name")
+    found = tfidf.products_top_k(model.transform(_corrupted(spark, sf_dir), "id", "name"), model.transform(names, "id", "name"), 5, False, "similarity")
+    return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
+
+
+@query(_weighted_search((2, 3, 4), "len AS (SELECT id, sum(tf) AS l FROM tf GROUP BY id), idf AS (SELECT term, ln(((SELECT count(*) FROM names) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf GROUP BY term), held AS (SELECT tf.id, tf.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / (SELECT avg(l) FROM len))) AS w FROM tf JOIN len ON tf.id = len.id JOIN idf ON tf.term = idf.term)",
+    "asked AS (SELECT id, term FROM tf2)", "b.w"))
+def eval_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrupted names searched for among all names by BM25."""
+    names = _names(spark, sf_dir)
+    found = tfidf.bm25_top_k(names, _corrupted(spark, sf_dir), "id", "name", "id", "name", 5)
+    return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
+
+
+@query(f"""WITH {_FUZZED}, anchors AS (SELECT name, row_number() OVER (ORDER BY md5(concat_ws('|', '0', id::VARCHAR)), id) AS k FROM names ORDER BY k LIMIT 16),
+held AS (SELECT n.id, list(jaro_winkler_similarity(n.name, a.name) ORDER BY k) AS v FROM names n CROSS JOIN anchors a GROUP BY n.id), asked AS (SELECT n.id, list(jaro_winkler_similarity(n.name, a.name) ORDER BY k) AS v FROM fuzzed n CROSS JOIN anchors a GROUP BY n.id),
+d AS (SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v) * list_distance(a.v, b.v), 6) AS d FROM asked a CROSS JOIN held b),
+k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10), hits AS (SELECT f.id AS i, k.j FROM fuzzed f JOIN k ON f.id = k.i WHERE d < 0.08) {_SEARCHED}""")
+def eval_search_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrupted names searched for among all names by their similarities to the same anchors, squared distances below the cutoff."""
+    names = _names(spark, sf_dir)
+    held, chosen = dedupe.anchor_vectors(names, "id", "name", 16)
+    asked = _corrupted(spark, sf_dir).select("id", strsim.similarity_vector(chosen)(F.col("name")).alias("vector"))
+    found = knn.knn(held, asked, 10, "l2sq", "exact").filter("distance < 0.08")
+    return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
+
+
+def _eval_dedupe(call) -> None:
+    @query()
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _both(spark, sf_dir)
+        return evaluate.dedupe_metrics(evaluate.score_pairs(call(rows, "id", "name"), rows), rows)
+
+    QUERIES[f"eval_{call.__name__}"] = QUERIES.pop("f")
+
+
+for _call in (dedupe.dedupe_knn, dedupe.dedupe_approx_knn, dedupe.dedupe_vectors, dedupe.dedupe_anchors):
+    _eval_dedupe(_call)
+
+
+def _search_compressed(spark: SparkSession, sf_dir: str, approximate: bool) -> DataFrame:
+    """Corrupted names among all names in the basis that the names were compressed with."""
+    names = _names(spark, sf_dir)
+    held, terms, model = dedupe.compressed_vectors(names, "id", "name", 64)
+    asked = model.transform(terms.transform(_corrupted(spark, sf_dir), "id", "name"))
+    found = knn.ivf_knn(held, asked, 10, metric="l2") if approximate else knn.knn(held, asked, 10, "l2", "exact")
+    return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
+
+
+@query()
+def eval_search_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search_compressed(spark, sf_dir, False)
+
+
+@query()
+def eval_search_approx_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search_compressed(spark, sf_dir, True)
+
+
 # ---- characters, bytes, packing
 
 _LENGTH = 64
@@ -421,6 +537,37 @@ def parse_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", text.parse_filename(F.col("url")).alias("location"))
 
 
+@query("""WITH f AS (SELECT c_nationkey, c_custkey, c_name FROM customer WHERE c_nationkey <> 3)
+SELECT 'addresses-' || c_nationkey || '-' || (c_custkey // 100) AS location, CASE WHEN c_custkey % 7 = 0 THEN 'None' ELSE c_custkey::VARCHAR END || ' ' || c_name AS address FROM f
+WHERE EXISTS (SELECT 1 FROM f g WHERE g.c_nationkey = f.c_nationkey AND g.c_custkey // 100 = f.c_custkey // 100 AND g.c_custkey % 7 <> 0)""")
+def address_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses from GeoJSON texts made of customers, a hundred ids at most a file; some lack numbers, one nation streets."""
+    customer = _table(spark, sf_dir, "customer")
+    number = F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey").cast("string"))
+    street = F.when(F.col("c_nationkey") != 3, F.col("c_name"))
+    feature = F.struct(F.struct(number.alias("number"), street.alias("street")).alias("properties"))
+    path = F.concat(F.lit("/srv/data/addresses/"), F.col("c_nationkey").cast("string"), F.lit("/"), F.expr("c_custkey div 100").cast("string"), F.lit(".geojson"))
+    files = customer.groupBy(path.alias("path")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("content"))
+    return address.parse_addresses(files)
+
+
+@query("SELECT draw, min(p_partkey) AS p_partkey FROM (SELECT range AS draw, ('0x' || substr(md5(concat_ws('|', '0', range::VARCHAR, 'draw')), 1, 15))::BIGINT % (SELECT count(*) FROM part) AS place FROM range(128)) d JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS nth FROM part) p ON p.nth = d.place GROUP BY draw")
+def sample_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.sample_with_replacement(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 128)
+
+
+@query("SELECT p_partkey, place // 64 AS batch FROM (SELECT p_partkey, row_number() OVER (ORDER BY md5(concat_ws('|', '0', p_partkey::VARCHAR)), p_partkey) - 1 AS place, count(*) OVER () AS n FROM part) WHERE place // 64 < n // 64")
+def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in shuffled batches of 64, the last one left out unless full."""
+    return corpus.batches(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 64)
+
+
+@query("""WITH w AS (SELECT string_agg(text, ' [SEP] ' ORDER BY doc_id) AS t FROM documents), l AS (SELECT string_split(t, ' ') AS l FROM w)
+SELECT i AS id, array_to_string(l[i * 512 + 1:i * 512 + 512], ' ') AS text FROM (SELECT l, unnest(range(0, (len(l) + 511) // 512)) AS i FROM l)""")
+def prepare_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.prepare_corpus(_table(spark, sf_dir, "documents"), "doc_id", "text", 512)
+
+
 # ---- compositions without SQL
 
 
@@ -448,3 +595,9 @@ def dedupe_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedupe_byte_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _token_table(spark)
     return dedupe.dedupe_embedded(_names(spark, sf_dir), "id", "name", lambda df, i, t: dedupe.byte_bag(df, i, t, table))
+
+
+@query()
+def dedupe_char_transformer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates by embeddings of a character transformer with seeded weights, small enough to run everywhere."""
+    return dedupe.dedupe_char_transformer(_names(spark, sf_dir), "id", "name", CharTransformer(Shape(32, 2, 2, 64)))
