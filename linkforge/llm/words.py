@@ -49,6 +49,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
+def byte_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """Polynomial hashes, not mixed, of pieces of a buffer of bytes."""
+    up, down = _powers(len(data))
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=total[1:])
+    return (total[ends] - total[starts]) * down[starts]
+
+
 @dataclass
 class Words:
     """Words of the documents ``first`` to ``first + len(bounds) - 1`` of a batch.
@@ -94,7 +103,6 @@ def split(column: pa.Array, lower: bool, chunk_bytes: int = CHUNK_BYTES, separat
         column = column.combine_chunks()
     data, offsets = _strings(column)
     n, first = len(column), 0
-    table = _BYTE_LOWER if lower else _BYTE
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + chunk_bytes, "right")) - 1
         last = min(n, max(last, first + 1))
@@ -114,11 +122,7 @@ def split(column: pa.Array, lower: bool, chunk_bytes: int = CHUNK_BYTES, separat
             inner = at[(at > 0) & (at < size)]
             stop[inner - 1] = True
             ends = np.flatnonzero(~space & stop) + 1
-            up, down = _powers(size)
-            total = np.empty(size + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(table[part] * up[:size], out=total[1:])
-            hashes = mix64((total[ends] - total[starts]) * down[starts])
+            hashes = mix64(byte_sums(part, starts, ends, lower))
         else:
             starts = ends = np.zeros(0, np.int64)
             hashes = np.zeros(0, np.uint64)

@@ -302,43 +302,3 @@ def test_html(spark):
     got = {r["page_id"]: r for r in html.extract_text(pages.withColumn("text", F.lit(1))).collect()}
     assert got[2]["text"] == "" and got[None]["n_chars"] == 0 and got[5]["n_chars"] == 199_999 and got[6]["text"] == "q"
     assert html.extract_text(pages.limit(0)).count() == 0
-
-
-def test_toxicity_counts_are_exact(spark):
-    """Ratios are those of the real words' counts; a bigram that wasn't counted gets none, whatever slot it would share."""
-    rng = np.random.default_rng(3)
-    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 400), int(i % 3 == 0)) for i in range(300)]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    model = toxicity.train_toxicity(docs.repartition(3), spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int"))
-    counts = {}
-    for i, t, x in rows:
-        if zlib.crc32(str(i).encode()) % 5 > 1:
-            for pair in itertools.pairwise(["", *t.split()]):
-                counts.setdefault(pair, [0, 0])[1 - x] += 1
-    ends, heads = {}, {}
-    for (h, w), c in counts.items():
-        for k in (0, 1):
-            ends.setdefault(w, [0, 0, 0])[k] += c[k] > 0
-            heads.setdefault(h, [0, 0, 0, 0])[k] += c[k]
-            heads[h][2 + k] += min(c[k], 3)
-        ends[w][2] += 1
-    n, left = [sum(e[k] for e in ends.values()) for k in (0, 1)], [sum(min(e[k], 3) for e in ends.values()) for k in (0, 1)]
-    shared = {w: (e[2] + 1) / (len(counts) + len(ends) + 1) for w, e in ends.items()}
-    p = {w: [(max(0, e[k] - 3) + left[k] * shared[w]) / n[k] for k in (0, 1)] for w, e in ends.items()}
-    word = {w: np.log(p[w][0] / p[w][1]) - np.log(left[0] / n[0]) + np.log(left[1] / n[1]) for w in ends}
-    seen = {}
-    for (h, w), c in counts.items():
-        back = [(heads[h][2 + k] + 0.5) / (heads[h][k] + 0.5) * p[w][k] for k in (0, 1)]
-        q = [max(0, c[k] - 3) / (heads[h][k] + 0.5) + back[k] for k in (0, 1)]
-        seen[h, w] = np.log(q[0] / back[0]) - np.log(q[1] / back[1])
-    assert len(model.bigram) == sum(max(c) > 3 for c in counts.values()) and len(model.word) == sum(max(e[:2]) > 3 for e in ends.values())
-    for _, t, _ in rows[:40]:
-        w = [*t.split(), "w1", "never", "w2"]
-        x = model.features(*next(toxicity.tokens(pa.array([" ".join(w)]))))[0]
-        assert x[1] == pytest.approx(np.mean([word.get(a, 0) for a in w]), abs=1e-5)
-        assert x[0] - x[1] == pytest.approx(np.mean([seen.get(a, 0) for a in itertools.pairwise(["", *w])]), abs=1e-5)
-    # as many bigrams as a table of 2^21 slots would mix up: none that wasn't counted gets a ratio
-    other = next(toxicity.tokens(pa.array([" ".join(f"z{i}" for i in range(300_000))])))
-    keys = rng.integers(0, 2**63, 2_000_000, dtype=np.uint64)
-    full = toxicity.ToxicityModel(np.sort(keys), np.ones(len(keys), np.float32), np.sort(keys), np.ones(len(keys), np.float32), model.weights)
-    assert not full.features(*other)[:, :-1].any()
