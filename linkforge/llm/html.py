@@ -2,12 +2,16 @@
 
 A page is read into blocks of text.  Each block has a path: the block-level
 tags from the root to it.  For each path the lengths, the punctuation and the
-linked text of its blocks are summed and divided by their number; a path's
-ratios are smoothed with those of the paths around it (its container), text and
+linked text of its blocks are summed and divided by their number; text and
 punctuation ratios are fused into one weight, and paths whose weight reaches a
-share of the best one are content.  Elements that can't be content (menus,
-footers, forms, scripts, adverts and so on, by tag, role or class) are left out
-before; an article or main element, where there is one, bounds the rest.
+share of the best one carry content.  The element that holds most of their text
+is the article.  Its paths' ratios are smoothed with its own, so that a short
+heading, a list or a table counts as what it stands in, and those that reach a
+share of it are returned.
+
+Marks that authors leave (tags, roles and names of menus, footers, adverts,
+comments and so on, or of articles) become part of the path and only scale its
+weight; a page without any is read by its ratios alone.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ _BLOCK = frozenset(
 )
 _CLOSES_P = _BLOCK - frozenset("html head body td th tr tbody thead tfoot caption option optgroup legend summary".split())
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_NEVER = frozenset("head nav footer aside form button select dialog svg math canvas audio video object menu datalist".split())
+_NEVER = frozenset("head button select svg math canvas audio video object datalist".split())
+_MARKED = frozenset("nav footer aside form dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 #: Words of class or id names that mark what isn't an article's text.
 _NAMES = frozenset(
@@ -41,8 +46,15 @@ _NAMES = frozenset(
 )
 _HEADERS = frozenset({"header"})
 _PUNCTUATION = re.compile(r"[.,;:!?\"'()…、。，！？；：¿¡–—]")
-#: Share of the best path's weight from which a path is content, and share of linked text beyond which it isn't.
-WEIGHT_SHARE, LINK_SHARE = 0.1, 0.6
+#: Share of the best path's weight from which a path carries content, and of the article's from which one in it is returned.
+STRONG_SHARE, WEIGHT_SHARE = 0.2, 0.1
+#: Share of the content's text that the article holds at least.
+ARTICLE_SHARE = 0.7
+#: What an author's mark scales a path's weight by.
+NOT_CONTENT, CONTENT = 0.02, 3.0
+#: A path in the article whose text is nearly all linked, short and hardly has punctuation is a menu.
+MENU_LINKED, MENU_LENGTH = 0.9, 30
+_HOLDERS = frozenset(["", *"html body main article section div center td form".split()])
 
 
 @dataclass
@@ -50,41 +62,54 @@ class Block:
     path: str
     text: str
     linked: int
-    inside: bool  # of an article or main element
+    node: int  # the block-level element it stands in
+
+
+@dataclass
+class Page:
+    """Blocks in page order, and the block-level elements: tag and parent of each, the root first."""
+
+    blocks: list[Block]
+    tags: list[str]
+    parents: list[int]
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html_lib.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(source)} if source.strip(" /\n\t") else {}
 
 
-def _boilerplate(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    if tag in _NEVER or tag in _HEADERS and not inside:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
-    if attributes.get("role", "").lower() in _ROLES:
-        return True
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
+
+
+def _mark(tag: str, attributes: dict[str, str], inside: bool) -> str:
+    """``!`` for an element that its author marks as something other than the article, ``+`` for an article's own."""
+    role = attributes.get("role", "").lower()
+    if tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody":
+        return "+"
+    if tag in _MARKED or tag in _HEADERS and not inside or role in _ROLES:
+        return "!"
+    if not attributes or tag in ("html", "body"):
+        return ""
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
-    return bool(words & _NAMES) or not inside and bool(words & _HEADERS)
+    return "!" if words & _NAMES or not inside and words & _HEADERS else ""
 
 
-def read_blocks(page: str) -> list[Block]:
-    """Blocks of text in page order, white space collapsed, without those in elements that can't be content."""
-    out: list[Block] = []
+def read_blocks(page: str) -> Page:
+    """Blocks of text in page order, white space collapsed, without what a browser doesn't show as text."""
+    out = Page([], [""], [-1])
     text: list[str] = []
     linked = 0
-    # tag, left out, inside an article, path, within a link
-    stack: list[tuple[str, bool, bool, str, bool]] = [("", False, False, "", False)]
+    # tag, left out, inside an article, path, within a link, nearest block-level element
+    stack: list[tuple[str, bool, bool, str, bool, int]] = [("", False, False, "", False, 0)]
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(stack[-1][3], joined, linked, stack[-1][2]))
+                out.blocks.append(Block(stack[-1][3], joined, linked, stack[-1][5]))
             text.clear()
         linked = 0
 
@@ -153,55 +178,97 @@ def read_blocks(page: str) -> list[Block]:
         if tag in _VOID or source.endswith("/") and tag not in _BLOCK:
             continue
         attributes = _attributes(source)
-        _, dropped, inside, path, link = stack[-1]
-        gone = dropped or _boilerplate(tag, attributes, inside)
-        inside = inside or tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
-        stack.append((tag, gone, inside, f"{path}/{tag}" if tag in _BLOCK else path, link or tag == "a"))
+        _, dropped, inside, path, link, node = stack[-1]
+        mark = _mark(tag, attributes, inside)
+        if tag in _BLOCK:
+            out.tags.append(tag)
+            out.parents.append(node)
+            node = len(out.tags) - 1
+        path = f"{path}/{tag if tag in _BLOCK else ''}{mark}" if tag in _BLOCK or mark else path
+        stack.append((tag, dropped or tag in _NEVER or _hidden(attributes), inside or mark == "+", path, link or tag == "a", node))
     flush()
     return out
 
 
-def content_paths(blocks: list[Block]) -> set[str]:
-    """The paths that are content."""
-    sums: dict[str, list[float]] = {}
+@dataclass
+class Ratios:
+    """Sums over the blocks of a path, or over any set of blocks."""
+
+    n: int = 0
+    text: int = 0
+    punctuation: int = 0
+    linked: int = 0
+
+    def add(self, block: Block) -> None:
+        self.n += 1
+        self.text += len(block.text)
+        self.punctuation += len(_PUNCTUATION.findall(block.text))
+        self.linked += block.linked
+
+    def fused(self) -> float:
+        """Text ratio, raised by the punctuation ratio and lowered by the share of linked text."""
+        return self.text / self.n * (1 + self.punctuation / self.n) ** 0.5 * max(0.0, 1 - self.linked / self.text)
+
+
+def _scale(path: str) -> float:
+    """What the marks in a path do to its weight."""
+    return NOT_CONTENT if "!" in path else CONTENT if "+" in path else 1.0
+
+
+def _article(page: Page, strong: set[str]) -> int:
+    """The innermost element that holds, in elements of its own, most of the text of the strong paths; an article's own mark counts more."""
+    n = len(page.tags)
+    own, below = [0.0] * n, [0.0] * n
+    for b in page.blocks:
+        if b.path in strong:
+            own[b.node] += len(b.text) * _scale(b.path)
+    for k in range(n - 1, 0, -1):
+        below[page.parents[k]] += own[k] + below[k]
+    total = own[0] + below[0]
+    found = next((k for k in range(n - 1, -1, -1) if page.tags[k] in _HOLDERS and below[k] >= ARTICLE_SHARE * total), 0)
+    # what stands beside it in the same article, or in the same element short of the whole page, is of it
+    at = found
+    while page.tags[at] not in ("", "html", "body"):
+        if page.tags[at] in ("article", "main"):
+            return at
+        at = page.parents[at]
+    return found
+
+
+def content_blocks(page: Page) -> list[Block]:
+    """The blocks that the tag-path ratios select, in page order."""
+    sums: dict[str, Ratios] = {}
+    for b in page.blocks:
+        sums.setdefault(b.path, Ratios()).add(b)
+    weights = {p: s.fused() * _scale(p) for p, s in sums.items()}
+    best = max((w for p, w in weights.items() if "!" not in p), default=0.0)
+    if not best:
+        return []
+    strong = {p for p, w in weights.items() if w >= STRONG_SHARE * best}
+    article = _article(page, strong)
+    inside = [False] * len(page.tags)
+    for k in range(len(inside)):
+        inside[k] = k == article or k > 0 and inside[page.parents[k]]
+    blocks = [b for b in page.blocks if inside[b.node]]
+    here: dict[str, Ratios] = {}
+    whole = Ratios()
     for b in blocks:
-        s = sums.setdefault(b.path, [0, 0.0, 0.0, 0.0])
-        s[0] += 1
-        s[1] += len(b.text)
-        s[2] += len(_PUNCTUATION.findall(b.text))
-        s[3] += b.linked
-    # sums of the subtree below each path; inside an article a path is smoothed with all its containers, elsewhere with the nearest
-    around: dict[str, list[float]] = {}
-    for path, s in sums.items():
-        while path:
-            path = path.rpartition("/")[0]
-            a = around.setdefault(path, [0, 0.0, 0.0, 0.0])
-            for i in range(4):
-                a[i] += s[i]
-    inside = all(b.inside for b in blocks)
-    weights = {}
-    for path, s in sums.items():
-        chain, above = [s], path.rpartition("/")[0]
-        while True:
-            chain.append(around.get(above, s))
-            if not inside or not above:
-                break
-            above = above.rpartition("/")[0]
-        text = sum(c[1] / c[0] for c in chain) / len(chain)
-        punctuation = sum(c[2] / c[0] for c in chain) / len(chain)
-        linked = s[3] / max(1, s[1])
-        weights[path] = text * (1 + punctuation) ** 0.5 if linked <= LINK_SHARE else 0.0
-    best = max(weights.values(), default=0)
-    return {p for p, w in weights.items() if w > 0 and w >= WEIGHT_SHARE * best}
+        here.setdefault(b.path, Ratios()).add(b)
+        if b.path in strong:
+            whole.add(b)
+    level = whole.fused()
+
+    def smoothed(path: str, s: Ratios) -> float:
+        menu = s.linked >= MENU_LINKED * s.text and s.text < MENU_LENGTH * s.n and 2 * s.punctuation < s.n
+        return (s.fused() + level) / 2 * (NOT_CONTENT if "!" in path or menu else 1.0)
+
+    kept = {p for p, s in here.items() if smoothed(p, s) >= WEIGHT_SHARE * level}
+    return [b for b in blocks if b.path in kept]
 
 
 def main_text(page: str | None) -> str:
     """The article's text: a block a line, in page order; empty for a page without any."""
-    blocks = read_blocks(page or "")
-    inside = [b for b in blocks if b.inside]
-    blocks = inside or blocks
-    paths = content_paths(blocks)
-    return "\n".join(b.text for b in blocks if b.path in paths)
+    return "\n".join(b.text for b in content_blocks(read_blocks(page or "")))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
