@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from linkforge.llm.common import Scratch
+from linkforge.llm.common import Scratch, small_batches
 from linkforge.llm.prefix import with_running_totals
+from linkforge.llm.sstable import encoder
 
 N_BUCKETS, TOKEN_BUDGET = 16, 65_536
 #: Lengths are binned by their leading bits: 1024 to 2047 exact, longer ones within a thousandth; at most 512 bins for each doubling.
@@ -71,7 +76,7 @@ def length_bounds(lengths: DataFrame, column: str, n_buckets: int = N_BUCKETS) -
     return best_bounds(np.array([r["length"] for r in found], np.float64), np.array([r["n"] for r in found]), n_buckets)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_tokens: Column | None = None, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_tokens: Column | None = None, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET, keep: list[str] | None = None) -> DataFrame:
     """Puts every row into a length bucket and, inside it, into a batch of at most ``budget`` padded tokens.
 
     Returns for each row: ``id_col``, ``n_tokens`` (``byte_tokens`` unless
@@ -79,21 +84,55 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_tokens
     which its rows are padded), ``batch`` (from 0 in each bucket, in the order
     of length and id) and ``slot`` (from 0 in each batch).  A batch holds
     budget // width rows, one at least: a row longer than the budget is a
-    batch of its own and is neither cut nor dropped.
+    batch of its own and is neither cut nor dropped.  The columns ``keep``
+    follow.
 
     Null texts have length 1; null ids come first; equal lengths go by id,
     rows alike in both by a hash; an empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession)
-    rows = scratch.cut(df.select(F.col(id_col).alias("_id"), (byte_tokens(text_col) if n_tokens is None else n_tokens.cast("long")).alias("n_tokens")))
+    keep = keep or []
+    kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
+    rows = scratch.cut(df.select(F.col(id_col).alias("_id"), (byte_tokens(text_col) if n_tokens is None else n_tokens.cast("long")).alias("n_tokens"), *kept))
     bounds = length_bounds(rows, "n_tokens", n_buckets)
     bucket, width = F.lit(len(bounds) - 1), F.lit(bounds[-1] if bounds else 0)
     for k in range(len(bounds) - 2, -1, -1):
         inside = F.col("n_tokens") <= bounds[k]
         bucket, width = F.when(inside, F.lit(k)).otherwise(bucket), F.when(inside, F.lit(bounds[k])).otherwise(width)
-    rows = rows.select("_id", "n_tokens", bucket.cast("int").alias("bucket"), width.cast("long").alias("width"))
+    names = [f"_k{i}" for i in range(len(keep))]
+    rows = rows.select("_id", "n_tokens", bucket.cast("int").alias("bucket"), width.cast("long").alias("width"), *names)
     rows = with_running_totals(scratch, rows, ["bucket", "n_tokens", "_id"], ["bucket"])
     per = F.greatest(F.lit(1), F.expr(f"{int(budget)} div width"))
-    return rows.select(F.col("_id").alias(id_col), "n_tokens", "bucket", "width", (F.col("row_index") - F.pmod("row_index", per)).alias("_first"), "row_index", per.alias("_per")).select(
-        id_col, "n_tokens", "bucket", "width", F.expr("_first div _per").alias("batch"), (F.col("row_index") - F.col("_first")).alias("slot")
-    )
+    rows = rows.select(F.col("_id").alias(id_col), "n_tokens", "bucket", "width", (F.col("row_index") - F.pmod("row_index", per)).alias("_first"), "row_index", per.alias("_per"), *names)
+    return rows.select(id_col, "n_tokens", "bucket", "width", F.expr("_first div _per").alias("batch"), (F.col("row_index") - F.col("_first")).alias("slot"), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
+    """(id_col, n_tokens) of every row, and its text: token ids of the whole text and an end id; a null text has the end id alone."""
+    small_batches(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer)
+        for batch in batches:
+            texts, n, a = [t or "" for t in batch.column("_text").to_pylist()], [], 0
+            while a < len(texts):  # some megabyte at a time, however long the texts are
+                b, size = a, 0
+                while b < len(texts) and (b == a or size < slice_bytes):
+                    size += len(texts[b])
+                    b += 1
+                n += [len(ids) // own.width + 1 for ids in own.encode(texts[a:b])]
+                a = b
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), *([batch.column("_text")] if with_text else [])], schema.names)
+
+    schema = StructType([rows.schema["_id"]]).add("n_tokens", "long")
+    if with_text:
+        schema = schema.add("_text", "string")
+    out = rows.mapInArrow(f, schema)
+    return out.select(F.col("_id").alias(id_col), "n_tokens", *([F.col("_text").alias(text_col)] if with_text else []))
+
+
+def pack_texts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
+    """``pack`` by the tokens of a tokenizer of the tokenizers library, with the text as the last column if asked for."""
+    counted = token_counts(df, tokenizer, id_col, text_col, with_text)
+    return pack(counted, id_col, text_col, F.col("n_tokens"), n_buckets, budget, [text_col] if with_text else None)

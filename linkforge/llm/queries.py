@@ -31,54 +31,63 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document under near copies: doc_id, n_shingles, component_id."""
     small_batches(spark)
-    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the attention model: doc_id, held_out, score, predicted."""
     small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law of sizes: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     shards = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), N_SHARDS)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written and read back: doc_id, start, n_tokens, ids_crc32."""
     manifest = sstable.write_tables(_table(spark, sf_dir, "documents"), tokenizer_path())
     return sstable.read_tables(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated passages: doc_id, n_words, n_removed, kept_sha256."""
     small_batches(spark)
     found = substring.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: page_id, url, text, n_chars."""
     small_batches(spark)
     return html.extract_text(_table(spark, sf_dir, "pages"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buckets and batches of all documents: doc_id, n_tokens, bucket, width, batch, slot."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    """Buckets and batches of all documents by their tokens (those of op5): doc_id, n_tokens, bucket, width, batch, slot."""
+    return packing.pack_texts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector: vec_id, n_links, component_id, kept."""
     small_batches(spark)
     return embed_lattice.link_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the Kneser-Ney models: doc_id, held_out, score, predicted."""
     small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -285,7 +285,8 @@ def write_tables(df: DataFrame, tokenizer: str, out_dir: str | None = None, id_c
     small_batches(spark)
     out_dir = out_dir or f"{shared_dir(spark)}/sstables-{uuid.uuid4().hex}"
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # a hash of the text parts rows that share an id, or have none
+    rows = rows.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("_text")).sortWithinPartitions("doc_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
