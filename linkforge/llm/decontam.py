@@ -5,8 +5,9 @@ of its steps writes the word it stands at, going on to the next word or not as
 a random function of the step and the word says; windows at a small edit
 distance are written as strings at a small Hamming distance, because the walks
 meet again after an edit.  Bit-sampling LSH reads a few steps of what was
-written as a key, several times for several walks.  Windows and items that share a
-key are verified by the exact edit distance.
+written as a key, several times for several walks: as often as it takes, by
+measurement, to find the target's share of items of the benchmark's lengths.
+Windows and items that share a key are verified by the exact edit distance.
 
 All windows have one size, PIECE words: an item is cut into pieces of it, one
 every STRIDE words, so that an item with edits all over still has pieces with
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,12 @@ from linkforge.llm.words import split as split_words
 #: Share of an item's words that may be edited, rounded down.
 EDIT_SHARE = 0.2
 PIECE, STRIDE = 12, 2
-#: Random walks, keys read from each, steps in a key.  ``recall()`` gives what they reach.
-WALKS, KEYS, STEPS = 3, 3, 5
+#: Share of items, edited as much as is allowed, that are to be found.
+TARGET_RECALL = 0.98
+#: Repetitions, the cheapest first: random walks, and keys read from each; and the steps in a key.
+REPETITIONS, STEPS = ((2, 3), (3, 3), (3, 4), (4, 4), (5, 4), (6, 5), (8, 6), (12, 6)), 5
 #: Items of fewer words are found by unedited runs of their words.
-WALKED_WORDS = 17
+WALKED_WORDS = 20
 #: Words of items searched for in one scan of the documents; a larger benchmark takes several.
 BLOCK_WORDS = 4_000_000
 _SYMBOL_BITS, _FILTER_BITS = 12, 20
@@ -57,18 +61,35 @@ class Items:
     piece_at: np.ndarray
     walked: bool
     runs: list[int]
+    repetitions: tuple[int, int]
 
 
-def _random(seed: int = 5) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+def _random(repetitions: tuple[int, int], seed: int = 5) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
     """The walks' tables (step x symbol: whether to go on) and the sampled steps of each key."""
-    rng = np.random.default_rng(seed)
-    walks = [rng.integers(0, 2, (PIECE, 1 << _SYMBOL_BITS), dtype=np.uint8).astype(np.int32) for _ in range(WALKS)]
     # one step from each of STEPS equal stretches, so that a key reads words from the whole window
     ends = np.linspace(0, PIECE, STEPS + 1).astype(int)
-    steps = [[np.array([rng.integers(a, b) for a, b in zip(ends[:-1], ends[1:])]) for _ in range(KEYS)] for _ in range(WALKS)]
+    walks, steps = [], []
+    for w in range(repetitions[0]):
+        rng = np.random.default_rng((seed, w))
+        walks.append(rng.integers(0, 2, (PIECE, 1 << _SYMBOL_BITS), dtype=np.uint8).astype(np.int32))
+        steps.append([np.array([rng.integers(a, b) for a, b in zip(ends[:-1], ends[1:])]) for _ in range(repetitions[1])])
     return walks, steps
 
 
+@lru_cache
+def repetitions_for(lengths: tuple[int, ...], target: float = TARGET_RECALL) -> tuple[int, int]:
+    """The fewest repetitions that find the target's share of items of each of these lengths after as many edits as are allowed."""
+    for shape in REPETITIONS[:-1]:
+        if all(recall(EDIT_SHARE, n, 400, repetitions=shape) >= target for n in lengths):
+            return shape
+    return REPETITIONS[-1]
+
+
+def hardest(lengths: set[int]) -> tuple[int, ...]:
+    """Of lengths of items the ones to measure: short ones, and of each five the one that may have a further edit."""
+    return tuple(sorted({min(40, max(WALKED_WORDS, n - n % 5)) for n in lengths if n >= WALKED_WORDS}))
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,7 +128,7 @@ def allowed(n: int) -> int:
     return int(EDIT_SHARE * n)
 
 
-def index_items(ids: list[int], texts: list[str | None], seed: int = 5) -> Items:
+def index_items(ids: list[int], texts: list[str | None], target: float = TARGET_RECALL) -> Items:
     """Items of all lengths but 0, indexed."""
     words, kept = [], []
     for part in split(pa.array(texts, pa.string())):
@@ -116,11 +137,12 @@ def index_items(ids: list[int], texts: list[str | None], seed: int = 5) -> Items
             if len(h):
                 words.append(h.copy())
                 kept.append(ids[part.first + i])
-    return index_words(kept, words, seed)
+    return index_words(kept, words, target)
 
 
-def index_words(ids: list[int], words: list[np.ndarray], seed: int = 5) -> Items:
-    """Pieces of the long items under the keys of all walks, and runs of the short ones."""
+def index_words(ids: list[int], words: list[np.ndarray], target: float = TARGET_RECALL, repetitions: tuple[int, int] | None = None) -> Items:
+    """Pieces of the long items under the keys of all walks, as many as the target recall needs, and runs of the short ones."""
+    repetitions = repetitions or repetitions_for(hardest({len(h) for h in words}), target)
     pieces, owner, offset = [], [], []
     runs: dict[int, list[tuple[np.uint64, int, int]]] = {}
     for i, h in enumerate(words):
@@ -136,7 +158,7 @@ def index_words(ids: list[int], words: list[np.ndarray], seed: int = 5) -> Items
     keys, owners = [], []
     if pieces:
         flat = np.concatenate([*pieces, np.zeros(PIECE, np.uint64)])
-        for key in _keys(_symbols(flat), np.arange(len(pieces), dtype=np.int32) * PIECE, *_random(seed)):
+        for key in _keys(_symbols(flat), np.arange(len(pieces), dtype=np.int32) * PIECE, *_random(repetitions)):
             order = np.argsort(key, kind="stable")
             keys.append(key[order])
             owners.append(order)
@@ -147,7 +169,7 @@ def index_words(ids: list[int], words: list[np.ndarray], seed: int = 5) -> Items
         owners.append(order + len(owner))
         owner += item.tolist()
         offset += at.tolist()
-    return Items(np.array(ids, np.int64), words, keys, owners, np.array(owner, np.int64), np.array(offset, np.int64), bool(pieces), sorted(runs))
+    return Items(np.array(ids, np.int64), words, keys, owners, np.array(owner, np.int64), np.array(offset, np.int64), bool(pieces), sorted(runs), repetitions)
 
 
 def _streams(hashes: np.ndarray, items: Items, drawn: tuple) -> Iterator[np.ndarray]:
@@ -225,7 +247,7 @@ def _filters(items: Items) -> list[np.ndarray]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", target: float = TARGET_RECALL) -> Iterator[Items]:
     """Indexed items in blocks of about BLOCK_WORDS words, which bounds what a scan broadcasts."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i is not null and t is not null").distinct()
     ids, texts, size = [], [], 0
@@ -234,17 +256,19 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         texts.append(r["t"])
         size += len(r["t"]) // 6
         if size >= BLOCK_WORDS:
-            yield index_items(ids, texts)
+            yield index_items(ids, texts, target)
             ids, texts, size = [], [], 0
     if ids:
-        yield index_items(ids, texts)
+        yield index_items(ids, texts, target)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", target: float = TARGET_RECALL) -> DataFrame:
     """(id_col, item_col, distance, first_word) of the benchmark items that documents contain.
 
     An item of n words is contained if some run of a document's words, lower
-    case, is within EDIT_SHARE * n word edits of it.  ``first_word`` says about
+    case, is within EDIT_SHARE * n word edits of it.  Of items with as many
+    edits the share ``target`` is found, of those with fewer more; short ones
+    are all found.  ``first_word`` says about
     where.  Null and empty texts contain nothing; rows without an id are left
     out; rows that repeat an id give one row for each item; items that repeat
     an id are one item with several texts; null items, items without words and
@@ -253,12 +277,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text")).filter("doc_id is not null")
     out = spark.createDataFrame([], "doc_id long, item_id long, distance int, first_word int")
-    for items in item_blocks(benchmark, item_col, item_text_col):
+    for items in item_blocks(benchmark, item_col, item_text_col, target):
         index = spark.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
-            filters, drawn = _filters(own), _random()
+            filters, drawn = _filters(own), _random(own.repetitions)
             for batch in batches:
                 ids, found = batch.column("doc_id").to_numpy(), []
                 for words in split(batch.column("_text")):
@@ -271,17 +295,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return best.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "_b.distance", "_b.first_word")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text contains no benchmark item; nothing is shuffled."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", target: float = TARGET_RECALL) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text contains no benchmark item; nothing is shuffled.
+
+    Null and empty texts contain none and stay; rows are judged one by one, so
+    null and repeated ids need no rule; an empty benchmark drops nothing.
+    """
     spark, names = docs.sparkSession, docs.columns
     out = docs.select(F.col(text_col).cast("string").alias("_text"), whole_row(docs).alias("_row"))
     schema = out.schema
-    for items in item_blocks(benchmark, item_col, item_text_col):
+    for items in item_blocks(benchmark, item_col, item_text_col, target):
         index = spark.sparkContext.broadcast(items)
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
-            filters, drawn = _filters(own), _random()
+            filters, drawn = _filters(own), _random(own.repetitions)
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 for words in split(batch.column("_text")):
@@ -292,25 +320,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return out.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
-def recall(edits: float, n: int = 40, trials: int = 400, seed: int = 1) -> float:
-    """Measured share of items of n random words found after edits * n random word edits."""
+def recall(edits: float, n: int = 40, trials: int = 400, seed: int = 1, repetitions: tuple[int, int] | None = None) -> float:
+    """Measured share of items of n random words found after edits * n random word edits, with the repetitions that items of this length get unless given."""
     rng = np.random.default_rng(seed)
-    hit = 0
-    for _ in range(trials):
-        item = mix64(rng.integers(1, 2**62, n, dtype=np.uint64))
+    drawn = lambda k: mix64(rng.integers(1, 2**62, k, dtype=np.uint64))
+    items, texts = [drawn(n) for _ in range(trials)], []
+    for item in items:
         text = list(item)
         for _ in range(int(edits * n)):
             kind, at = rng.integers(3), int(rng.integers(len(text)))
-            word = mix64(rng.integers(1, 2**62, 1, dtype=np.uint64))[0]
-            if kind == 0:
-                text[at] = word
-            elif kind == 1:
-                text.insert(at, word)
-            else:
-                del text[at]
-        around = mix64(rng.integers(1, 2**62, 60, dtype=np.uint64))
-        h = np.concatenate([around[:30], np.array(text, np.uint64), around[30:]])
-        none = np.zeros(0, np.int64)
-        items = index_words([0], [item])
-        hit += bool(find(Words(0, none, none, np.array([0, len(h)]), none, none, h), items, _filters(items), _random()))
-    return hit / trials
+            text[at : at + (kind < 2)] = list(drawn(int(kind != 1)))
+        texts.append(np.concatenate([drawn(30), np.array(text, np.uint64), drawn(30)]))
+    none, bounds = np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    index = index_words(list(range(trials)), items, repetitions=repetitions)
+    found = find(Words(0, none, none, bounds, none, none, np.concatenate(texts)), index, _filters(index), _random(index.repetitions))
+    return len({d for d, i, *_ in found if d == i}) / trials
