@@ -108,7 +108,7 @@ def _node(s: np.ndarray) -> int:
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: size, digest and count vectors of its set; and the partition's counts of shingles by slot, in pieces."""
-    names = ["doc_id", "n", "node", "vector", "fine", "key"]
+    names = ["doc_id", "text_hash", "n", "node", "vector", "fine", "key"]
     counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
         rows: list[tuple[int, int, bytes, bytes]] = []
@@ -124,11 +124,11 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
         k = len(rows)
         columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:2]], *[pa.array(c, pa.binary()) for c in columns[2:]], pa.nulls(k, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(c, pa.int64()) for c in columns[:2]], *[pa.array(c, pa.binary()) for c in columns[2:]], pa.nulls(k, pa.int64())], names)
     if counts.any():
         empty = pa.nulls(PIECES, pa.int64())
         pieces = pa.array([x.astype("<u4" if counts.max() < 1 << 32 else "<u8").tobytes() for x in np.split(counts, PIECES)], pa.binary())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, pieces, pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pieces, pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int64())], names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,8 +466,9 @@ def _blocks_of(members: DataFrame) -> DataFrame:
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Class of each document under links of a Jaccard similarity of 0.75 or more.
 
-    Returns one row for each row: ``id_col``, ``n_shingles`` and
-    ``component_id``, the smallest id reachable by links.
+    Returns one row for each row: ``id_col``, ``n_shingles``,
+    ``component_id``, the smallest id reachable by links, and ``text_hash``,
+    which tells rows that repeat an id apart.
 
     Steps: profiles of all sets; equal sets become one point; points are dealt
     to trees by the coordinates they share; the first search of the trees and
@@ -484,12 +485,13 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    profiles = scratch.cut(rows.mapInArrow(_profiles, "doc_id long, n long, node long, vector binary, fine binary, key long"))
+    hashed = rows.withColumn("text_hash", F.xxhash64("_text"))
+    profiles = scratch.cut(hashed.mapInArrow(_profiles, "doc_id long, text_hash long, n long, node long, vector binary, fine binary, key long"))
     counts = np.zeros(SLOTS, np.int64)
     for r in spread(profiles.filter("key is not null").select("key", "vector"), "key").mapInArrow(_summed, "key long, counts binary").collect():
         counts[r["key"] * (SLOTS // PIECES) :][: SLOTS // PIECES] += np.frombuffer(r["counts"], np.int64)
     known = spark.sparkContext.broadcast(counts)
-    sets = profiles.filter("key is null").select("doc_id", "n", "node", "vector", "fine")
+    sets = profiles.filter("key is null").select("doc_id", "text_hash", "n", "node", "vector", "fine")
     points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("fine").alias("fine")))
 
     buckets = partitions(spark)
@@ -552,14 +554,15 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     smallest = of_point.groupBy("class").agg(F.min("rep").alias("component_id"))
     named = of_point.join(smallest, "class").select(F.col("node").alias("_node"), F.col("component_id").alias("_class"))
     out = sets.join(named, (sets["node"] == named["_node"]) & (sets["n"] > 0) & sets["doc_id"].isNotNull(), "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_class", "doc_id").alias("component_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_class", "doc_id").alias("component_id"), "text_hash")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that with the smallest id, all columns as they are; rows without an id stay.
 
-    Of rows that repeat an id all stay if that id is a class's smallest.
+    Rows that repeat an id stay or go by their own text: all whose class has
+    that id as its smallest stay.
     """
     classes = ngram_join(docs, id_col, text_col)
-    gone = classes.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone = classes.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_hash"]), "left_anti")

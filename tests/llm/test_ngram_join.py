@@ -27,7 +27,7 @@ def classes(rows):
 
 def found(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted(tuple(r) for r in ngram_join.ngram_join(docs).collect())
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs).collect())
 
 
 def test_repeated_ids(spark):
@@ -39,7 +39,14 @@ def test_repeated_ids(spark):
         assert got == classes(rows) and {r[2] for r in got} == {5}
 
 
-@pytest.mark.parametrize("block", [2048, 16])
+def test_drop_by_text(spark):
+    """Of two texts under one id only the near copy of an older one goes."""
+    a, b = words(60, 1), words(60, 2)
+    docs = spark.createDataFrame([(1, " ".join(a)), (5, " ".join([*a[:-1], "z"])), (5, " ".join(b)), (6, None), (7, "")], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in ngram_join.drop_near_copies(docs).collect()} == {(1, " ".join(a)), (5, " ".join(b)), (6, None), (7, "")}
+
+
+@pytest.mark.parametrize("block", [256, 16])
 def test_groups_and_chains(spark, monkeypatch, block):
     """A large group of near copies, a chain of copies of copies, texts that share a passage only; in one block and in many."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
