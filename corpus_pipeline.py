@@ -14,36 +14,59 @@ from pyspark.sql import functions as F
 
 from linkforge.llm import decontam, ngram_join, packing, quality, substring
 from linkforge.llm.common import Scratch, small_batches
+from linkforge.llm.queries import tokenizer_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects."""
+    """Drops the documents that the classifier rejects.
+
+    Rows are judged one by one: null and empty texts by the score of an empty
+    passage, repeated rows and null ids each by their own text.  Without labels
+    of both kinds nothing is dropped; an empty table stays empty.
+    """
     small_batches(spark)
     return quality.filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest id."""
+    """Keeps of each group of near copies the document with the smallest id.
+
+    Null and empty texts have no copies and stay; so do rows without an id; of
+    rows that repeat an id all stay if it is a group's smallest.
+    """
     small_batches(spark)
     return ngram_join.drop_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out passages of 50 words or more that a document with a smaller id has; n_chars follows the text."""
+    """Cuts out passages of 50 words or more that a document with a smaller id has; n_chars follows the text.
+
+    A document that loses all its words goes.  Null and empty texts and rows
+    without an id stay as they are; rows that repeat an id are no reference for
+    each other.
+    """
     small_batches(spark)
     out = substring.cut_repeats(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item."""
+    """Drops the documents that contain a benchmark item.
+
+    Null and empty texts contain none and stay; rows are judged one by one,
+    with an id or without; an empty benchmark drops nothing.
+    """
     small_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and token-budget batches of what is left."""
-    return packing.pack(docs)
+    """Length buckets and token-budget batches of what is left, with the text: doc_id, n_tokens, bucket, width, batch, slot, text.
+
+    Null and empty texts have their end id alone; equal lengths go by id, rows
+    alike in both by a hash; every row is in one batch.
+    """
+    return packing.pack_texts(docs, tokenizer_path(), with_text=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -54,7 +77,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: The learnt classifier and the dynamic programme aren't expressible in SQL; tests compare the stages with brute force.
+#: The learnt classifier and the dynamic programme aren't expressible in SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
