@@ -1,7 +1,7 @@
 """Near duplicates among embeddings by E8 lattice hashing.
 
-Each table projects the unit vectors to two blocks of 8 dimensions and decodes
-each block to its nearest point of the E8 lattice; the two points are a cell.
+Each table projects the unit vectors to three blocks of 8 dimensions and decodes
+each block to its nearest point of the E8 lattice; the three points are a cell.
 A vector is filed in its own cell and looks into its own cell and the cells
 next to it: those whose point differs by the minimal lattice vectors nearest to
 what decoding left over.  Pairs that meet are verified by cosine in double
@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import Scratch, components, spread
+from linkforge.llm.common import Scratch, components
 from linkforge.llm.words import mix64
 
-BLOCKS, TABLES, PROBES, SCALE = 2, 16, 8, 0.7
+BLOCKS, TABLES, PROBES, SCALE = 3, 20, 8, 0.6
 
 
 def decode_e8(x: np.ndarray) -> np.ndarray:

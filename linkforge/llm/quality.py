@@ -107,6 +107,21 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, bounds: np.ndarray) -> tup
     return _sigmoid(bag @ w["out"] + w["out_b"]), alpha, code, t, s, bag
 
 
+def _gradients(w: dict[str, np.ndarray], x: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean logistic loss of the bags."""
+    starts, sizes = bounds[:-1], np.diff(bounds)
+    p, alpha, code, t, s, bag = _forward(w, x, bounds)
+    d = (p - y) / len(y)
+    d_bag_rows = np.repeat(d[:, None] * w["out"], sizes, axis=0)
+    d_alpha = (d_bag_rows * code).sum(axis=1)
+    d_e = alpha * (d_alpha - np.repeat(np.add.reduceat(alpha * d_alpha, starts), sizes))
+    d_ts = d_e[:, None] * w["a"]
+    d_t, d_s = d_ts * s * (1 - t * t), d_ts * t * s * (1 - s)
+    d_code = alpha[:, None] * d_bag_rows + d_t @ w["v"].T + d_s @ w["u"].T
+    d_pre = d_code * (1 - code * code)
+    return {"encode": x.T @ d_pre, "encode_b": d_pre.sum(axis=0), "v": code.T @ d_t, "u": code.T @ d_s, "a": (t * s).T @ d_e, "out": bag.T @ d, "out_b": d.sum()}
+
+
 def fit_attention(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, hidden: int = 16, gate: int = 8, epochs: int = 200, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> AttentionModel:
     """Adam on the mean logistic loss over all bags at once; deterministic."""
     rng = np.random.default_rng(seed)
@@ -116,20 +131,9 @@ def fit_attention(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray,
     shapes = {"encode": (x.shape[1], hidden), "encode_b": (hidden,), "v": (hidden, gate), "u": (hidden, gate), "a": (gate,), "out": (hidden,), "out_b": ()}
     w = {k: (rng.standard_normal(s) * (0.0 if k.endswith("_b") else (s[0] if s else 1) ** -0.5)).astype(np.float32) for k, s in shapes.items()}
     m, v = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}
-    starts, sizes = bounds[:-1], np.diff(bounds)
     y = labels.astype(np.float32)
     for step in range(1, epochs + 1):
-        p, alpha, code, t, s, bag = _forward(w, x, bounds)
-        d = (p - y) / len(y)
-        d_bag = d[:, None] * w["out"]
-        d_bag_rows = np.repeat(d_bag, sizes, axis=0)
-        d_alpha = (d_bag_rows * code).sum(axis=1)
-        d_e = alpha * (d_alpha - np.repeat(np.add.reduceat(alpha * d_alpha, starts), sizes))
-        d_ts = d_e[:, None] * w["a"]
-        d_t, d_s = d_ts * s * (1 - t * t), d_ts * t * s * (1 - s)
-        d_code = alpha[:, None] * d_bag_rows + d_t @ w["v"].T + d_s @ w["u"].T
-        d_pre = d_code * (1 - code * code)
-        grads = {"encode": x.T @ d_pre, "encode_b": d_pre.sum(axis=0), "v": code.T @ d_t, "u": code.T @ d_s, "a": (t * s).T @ d_e, "out": bag.T @ d, "out_b": d.sum()}
+        grads = _gradients(w, x, bounds, y)
         for k, g in grads.items():
             g = g + decay * w[k] if not k.endswith("_b") else g
             m[k] = 0.9 * m[k] + 0.1 * g

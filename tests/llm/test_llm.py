@@ -267,6 +267,33 @@ def test_quality(spark, odd_docs):
 
 
 def test_attention_gradient():
+    """Gradients against differences of the loss, passage by passage weighed anew."""
+    rng = np.random.default_rng(1)
+    bounds, y = np.array([0, 2, 3, 7]), np.array([1.0, 0.0, 1.0])
+    x = rng.standard_normal((7, 4))
+    w = {k: rng.standard_normal(s) for k, s in {"encode": (4, 3), "encode_b": (3,), "v": (3, 2), "u": (3, 2), "a": (2,), "out": (3,), "out_b": ()}.items()}
+
+    def loss():
+        total = 0.0
+        for a, b, label in zip(bounds[:-1], bounds[1:], y):
+            code = np.tanh(x[a:b] @ w["encode"] + w["encode_b"])
+            e = np.exp((np.tanh(code @ w["v"]) / (1 + np.exp(-(code @ w["u"])))) @ w["a"])
+            z = (e / e.sum()) @ code @ w["out"] + w["out_b"]
+            total += np.log1p(np.exp(z)) - label * z
+        return total / len(y)
+
+    for k, g in quality._gradients(w, x, bounds, y).items():
+        for at in np.ndindex(w[k].shape):
+            kept, value = w[k], []
+            for step in (1e-5, -1e-5):
+                w[k] = kept.copy()
+                w[k][at] += step
+                value.append(loss())
+            w[k] = kept
+            assert (value[0] - value[1]) / 2e-5 == pytest.approx(g[at], abs=1e-6)
+
+
+def test_attention_learns():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 5, 60)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
