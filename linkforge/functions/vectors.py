@@ -33,7 +33,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """The vector at length 1; components null if it is zero."""
-    return F.transform(a, lambda x: F.try_divide(x.cast("double"), norm(a)))
+    # in an array of one, the length is computed once a row and not for each component
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.try_divide(x.cast("double"), n))), 1)
 
 
 def pad_to_multiple(a: Column, of: int = 8) -> Column:

@@ -101,6 +101,7 @@ def head(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.orderBy(id_col).limit(n)
 
 
-def running_mean(df: DataFrame, order_col: str, value_col: str, width: int = 499) -> DataFrame:
-    """The mean of the last ``width`` values at each step."""
-    return df.withColumn("mean", F.avg(value_col).over(Window.orderBy(order_col).rowsBetween(-(width - 1), 0)))
+def running_mean(df: DataFrame, order_col: str, value_col: str, width: int = 499, run_col: str | None = None) -> DataFrame:
+    """The mean of the last ``width`` values at each step, of each run if a column tells runs apart; a run is one task's."""
+    within = Window.partitionBy(run_col) if run_col else Window.partitionBy()
+    return df.withColumn("mean", F.avg(value_col).over(within.orderBy(order_col).rowsBetween(-(width - 1), 0)))

@@ -74,20 +74,30 @@ def bands(signed: DataFrame, bands: int, rows: int) -> DataFrame:
     return signed.select("id", F.inline(each)).select("band", "bucket", "id")
 
 
-def lsh_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshold: float = 0.6, size: int = 4) -> DataFrame:
-    """(orig_idxs, match_idxs) of rows that share a bucket, both directions and each with itself.
+def lsh_groups(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshold: float = 0.6, size: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of distinct texts that share a bucket, both directions and each with itself, and (rep, id): the rows of each text.
 
-    Equal texts are banded once and put back after the join, so copies don't
-    fill the buckets.
+    A text goes by the smallest id that has it.  Both tables grow with the rows,
+    where the pairs of all rows grow with the square of a group of copies.
     """
     rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     one = rows.groupBy("h", "text").agg(F.min("id").alias("id"))
     filed = bands(signatures(one, "id", "text", n, size), *band_shape(threshold, n))
     found = filed.select("band", "bucket", F.col("id").alias("a")).join(filed.select("band", "bucket", F.col("id").alias("b")), ["band", "bucket"]).select("a", "b").distinct()
-    copies = rows.join(one.select(F.col("h").alias("h1"), F.col("text").alias("t1"), F.col("id").alias("rep")), (F.col("h") == F.col("h1")) & (F.col("text") == F.col("t1"))).select("rep", "id")
-    left = copies.select(F.col("rep").alias("a"), F.col("id").alias("orig_idxs"))
-    right = copies.select(F.col("rep").alias("b"), F.col("id").alias("match_idxs"))
+    members = rows.join(one.select(F.col("h").alias("h1"), F.col("text").alias("t1"), F.col("id").alias("rep")), (F.col("h") == F.col("h1")) & (F.col("text") == F.col("t1"))).select("rep", "id")
+    return found, members
+
+
+def lsh_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshold: float = 0.6, size: int = 4) -> DataFrame:
+    """(orig_idxs, match_idxs) of rows that share a bucket, both directions and each with itself.
+
+    Equal texts are banded once and put back after the join, so copies don't
+    fill the buckets.
+    """
+    found, members = lsh_groups(df, id_col, text_col, n, threshold, size)
+    left = members.select(F.col("rep").alias("a"), F.col("id").alias("orig_idxs"))
+    right = members.select(F.col("rep").alias("b"), F.col("id").alias("match_idxs"))
     return found.join(left, "a").join(right, "b").select("orig_idxs", "match_idxs")
 
 

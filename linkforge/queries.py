@@ -281,7 +281,12 @@ def anchor_simvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("id", F.posexplode("vector").alias("anchor", "s")).select("id", F.col("anchor").cast("long").alias("anchor"), F.round("s", 6).alias("similarity"))
 
 
-@query()
+@query(f"""WITH {_NAMES}, anchors AS (SELECT name, row_number() OVER (ORDER BY md5(concat_ws('|', '0', id::VARCHAR)), id) AS k FROM names ORDER BY k LIMIT 128),
+raw AS (SELECT n.id, list(jaro_winkler_similarity(n.name, a.name) ORDER BY k) AS v FROM names n CROSS JOIN anchors a GROUP BY n.id),
+held AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM raw WHERE list_dot_product(v, v) > 0),
+d AS (SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v) * list_distance(a.v, b.v), 6) AS d FROM held a CROSS JOIN held b),
+k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10)
+SELECT i AS orig_idxs, j AS match_idxs, d AS distance FROM k WHERE i < j AND d < 0.1""")
 def dedupe_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.dedupe_anchors(_names(spark, sf_dir), "id", "name")
 
@@ -416,6 +421,20 @@ def eval_search_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
 
 
+_BAGS = "bag{0} AS (SELECT id, unnest(list_append(list_transform(range(0, octet_length(encode(name))), lambda i: ('0x' || substr(hex(encode(name)), i * 2 + 1, 2))::INT + 3), 1)) AS t FROM {1}), mean{0} AS (SELECT id, j, avg(((t * 31 + j * 17) % 101) / 101) AS x FROM (SELECT id, t, unnest(range(0, 8)) AS j FROM bag{0}) GROUP BY 1, 2), vec{0} AS (SELECT id, list(x ORDER BY j) AS v FROM mean{0} GROUP BY id)"
+
+
+@query(f"""WITH {_FUZZED}, {_BAGS.format(1, 'fuzzed')}, {_BAGS.format(2, 'names')},
+d AS (SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v) * list_distance(a.v, b.v), 6) AS d FROM vec1 a CROSS JOIN vec2 b),
+k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10), hits AS (SELECT f.id AS i, k.j FROM fuzzed f JOIN k ON f.id = k.i) {_SEARCHED}""")
+def eval_search_byte_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrupted names searched for among all names by mean embeddings of their bytes."""
+    names, table = _names(spark, sf_dir), _token_table(spark)
+    held, asked = (dedupe.byte_bag(df, "id", "name", table) for df in (names, _corrupted(spark, sf_dir)))
+    found = knn.knn(held, asked, 10, "l2sq", "exact")
+    return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
+
+
 def _eval_dedupe(call) -> None:
     @query()
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -591,7 +610,13 @@ def dedupe_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.dedupe_vectors(_names(spark, sf_dir), "id", "name")
 
 
-@query()
+@query("""WITH names AS (SELECT min(p_partkey) AS id, concat_ws(' ', p_name, p_brand, p_type) AS name FROM part GROUP BY 2),
+b AS (SELECT id, unnest(list_append(list_transform(range(0, octet_length(encode(name))), lambda i: ('0x' || substr(hex(encode(name)), i * 2 + 1, 2))::INT + 3), 1)) AS t FROM names),
+p AS (SELECT id, t, unnest(range(0, 8)) AS j FROM b), m AS (SELECT id, j, avg(((t * 31 + j * 17) % 101) / 101) AS x FROM p GROUP BY 1, 2),
+held AS (SELECT id, list(x ORDER BY j) AS v FROM m GROUP BY id),
+d AS (SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v) * list_distance(a.v, b.v), 6) AS d FROM held a CROSS JOIN held b),
+k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 5)
+SELECT i AS orig_idxs, j AS match_idxs, d AS distance FROM k WHERE i < j""")
 def dedupe_byte_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _token_table(spark)
     return dedupe.dedupe_embedded(_names(spark, sf_dir), "id", "name", lambda df, i, t: dedupe.byte_bag(df, i, t, table))

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linkforge.functions import strsim, vectors
 from linkforge.functions.chars import encode
 from linkforge.operators import corpus, dedupe, evaluate, knn, minhash, svd, tfidf
-from linkforge.operators.transformer import CharTransformer, Shape, embed_texts
+from linkforge.operators.transformer import CharTransformer, Shape, embed_texts, softmax
 from linkforge.sources import address, embedding_table
 
 
@@ -43,6 +44,15 @@ def test_verified_pairs(spark):
     assert all(got[p] == pytest.approx(want[p]) for p in got) and len(got) >= 0.9 * len(want) and (60, 61) in got
 
 
+def test_groups_of_copies(spark):
+    """A text that many rows have is one member of a pair; all pairs of rows come from these and the members."""
+    texts = ["the same text here"] * 30 + ["the same text her"] * 2 + ["quite another string"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found, members = minhash.lsh_groups(rows, "id", "t")
+    assert found.count() <= 9 and {(r["rep"], r["id"]) for r in members.collect()} == {(texts.index(t), i) for i, t in enumerate(texts)}
+    assert minhash.lsh_pairs(rows, "id", "t").count() == 32 * 32 + 1
+
+
 def test_ivf_reaches_its_recall(spark):
     """Cells follow the number of rows and probes the recall, on vectors without any clusters."""
     x = np.random.default_rng(1).standard_normal((1500, 24))
@@ -98,6 +108,8 @@ def test_corpora(spark):
     assert corpus.sample_with_replacement(rows.limit(0), "id", 5).count() == 0
     steps = spark.createDataFrame([(i, float(i)) for i in range(20)], "step long, loss double")
     assert [r["mean"] for r in corpus.running_mean(steps, "step", "loss", 3).orderBy("step").collect()][-2:] == [17.0, 18.0]
+    two = steps.withColumn("run", F.col("step") % 2)
+    assert {r["step"]: r["mean"] for r in corpus.running_mean(two, "step", "loss", 2, "run").collect()}[19] == 18.0
 
 
 def test_addresses_from_texts(spark):
@@ -118,6 +130,29 @@ def test_embedding_tables(spark, tmp_path):
     assert {r["k"] for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {5, 10}
 
 
+def test_jaro_winkler_many(spark):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcé "), int(n))) for n in rng.integers(0, 12, 300)] + ["MARTHA", "DIXON", "日本語", "\U0001f600x"]
+    other = ["".join(rng.choice(list("abcé "), int(n))) for n in rng.integers(0, 12, 300)] + ["MARHTA", "DICKSONX", "日本", "x\U0001f600"]
+    for rows in (7, 4096):
+        assert strsim.jaro_winkler_many(words, other, rows) == pytest.approx([strsim.jaro_winkler(a, b) for a, b in zip(words, other)], abs=1e-12)
+    assert len(strsim.jaro_winkler_many([], [])) == 0 and strsim.jaro_winkler_many(["", "a"], ["", ""]).tolist() == [0, 0]
+    df = spark.createDataFrame([(0, "MARTHA", "MARHTA"), (1, None, "x"), (2, "a", None), (3, "", "")], "id long, a string, b string").coalesce(1)
+    got = {r["id"]: r["s"] for r in df.select("id", strsim.jaro_winkler_udf()("a", "b").alias("s")).collect()}
+    assert got == {0: pytest.approx(0.961111, abs=1e-6), 1: None, 2: None, 3: 0}
+    got = {r["id"]: r["v"] for r in df.select("id", strsim.similarity_vector(["MARHTA", "x"])("a").alias("v")).collect()}
+    assert got[1] is None and got[0] == pytest.approx([0.961111, 0], abs=1e-6)
+
+
+def test_vector_functions(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [1.0] * 8), (3, [1.0] * 9)], "id long, v array<double>")
+    got = {r["id"]: r for r in df.select("id", vectors.pad_to_multiple(F.col("v")).alias("p"), vectors.normalize(F.col("v")).alias("n")).collect()}
+    assert [len(got[i]["p"]) for i in (1, 2, 3)] == [8, 8, 16] and got[1]["p"][2:] == [0.0] * 6
+    assert got[1]["n"] == pytest.approx([0.6, 0.8]) and sum(x * x for x in got[3]["n"]) == pytest.approx(1)
+    x = np.array([[1.0, 2.0, 3.0], [1000.0, 1000.0, 1000.0]])
+    assert softmax(x).sum(axis=1) == pytest.approx([1, 1]) and softmax(x)[0] == pytest.approx(np.exp(x[0]) / np.exp(x[0]).sum())
+
+
 def forward(model, ids):
     """The same network for one row, number by number."""
     w, s = model.w, model.shape
