@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import whole_row
+from linkforge.llm.common import released, whole_row
 from linkforge.llm.words import Words, mix64, windows
 from linkforge.llm.words import split as split_words
 
@@ -290,7 +290,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 columns = list(zip(*found)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "distance", "first_word"])
 
-        out = out.unionByName(rows.mapInArrow(scan, "doc_id long, item_id long, distance int, first_word int"))
+        out = out.unionByName(rows.mapInArrow(released(scan), "doc_id long, item_id long, distance int, first_word int"))
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "first_word")).alias("_b"))
     return best.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "_b.distance", "_b.first_word")
 
@@ -316,7 +316,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     keep[[words.first + d for d, *_ in find(words, own, filters, drawn)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(clean, schema)
+        out = out.mapInArrow(released(clean), schema)
     return out.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 

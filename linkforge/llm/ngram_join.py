@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import Scratch, components, maybe_in, partitions, spread, tidy, to_partition
+from linkforge.llm.common import Scratch, components, maybe_in, partitions, released, spread, tidy, to_partition
 from linkforge.llm.words import shingle_sets, split
 
 N, THRESHOLD = 5, (75, 100)
@@ -486,17 +486,17 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = Scratch(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("_text"))
-    profiles = scratch.cut(hashed.mapInArrow(_profiles, "doc_id long, text_hash long, n long, node long, vector binary, fine binary, key long"))
+    profiles = scratch.cut(hashed.mapInArrow(released(_profiles), "doc_id long, text_hash long, n long, node long, vector binary, fine binary, key long"))
     counts = np.zeros(SLOTS, np.int64)
-    for r in spread(profiles.filter("key is not null").select("key", "vector"), "key").mapInArrow(_summed, "key long, counts binary").collect():
+    for r in spread(profiles.filter("key is not null").select("key", "vector"), "key").mapInArrow(released(_summed), "key long, counts binary").collect():
         counts[r["key"] * (SLOTS // PIECES) :][: SLOTS // PIECES] += np.frombuffer(r["counts"], np.int64)
     known = spark.sparkContext.broadcast(counts)
     sets = profiles.filter("key is null").select("doc_id", "text_hash", "n", "node", "vector", "fine")
     points = scratch.cut(sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vector").alias("vector"), F.first("fine").alias("fine")))
 
     buckets = partitions(spark)
-    entries = rows.filter("doc_id is not null").mapInArrow(_entries(known, buckets), "bucket int, keys binary, places binary, points binary")
-    shared = scratch.cut(to_partition(entries, "bucket").mapInArrow(_shared, "node long, hub long, base boolean"))
+    entries = rows.filter("doc_id is not null").mapInArrow(released(_entries(known, buckets)), "bucket int, keys binary, places binary, points binary")
+    shared = scratch.cut(to_partition(entries, "bucket").mapInArrow(released(_shared), "node long, hub long, base boolean"))
     tidy(spark)
     # a partner has three quarters of a point's shingles at least
     p, q = THRESHOLD
@@ -511,15 +511,15 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         """Bounds pairs by their fine vectors and verifies those left; only the texts of their documents are shuffled."""
         fine = points.select("node", "fine")
         pairs = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("va")), "a").join(fine.select(F.col("node").alias("b"), F.col("fine").alias("vb")), "b")
-        pairs = scratch.cut(pairs.select("a", "b", "va", "vb").mapInArrow(_bounded, "a long, b long"))
+        pairs = scratch.cut(pairs.select("a", "b", "va", "vb").mapInArrow(released(_bounded), "a long, b long"))
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = scratch.cut(nodes.join(points, "node").select("node", "rep"))
         some = maybe_in(rows, wanted, "rep")
         texts = some.join(wanted, some["doc_id"] == wanted["rep"]).select("node", F.col("_text").alias("text"))
-        texts = scratch.cut(texts.mapInArrow(_of_point, "node long, text string").dropDuplicates(["node"]))
+        texts = scratch.cut(texts.mapInArrow(released(_of_point), "node long, text string").dropDuplicates(["node"]))
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        out = scratch.cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"))
+        out = scratch.cut(both.select("a", "b", "ta", "tb").mapInArrow(released(_verified), "a long, b long"))
         scratch.drop(texts, wanted, pairs)
         return out
 
@@ -536,7 +536,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of_large = members.filter(f"m > {BLOCK}").join(points.select("node", "rep"), "node")
     oldest = of_large.groupBy("hub").agg(F.min(F.struct("rep", "node")).alias("o"), F.first("m").alias("m"))
     oldest = oldest.select("hub", F.col("o.node").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    first = links_of(planted(dealt.unionByName(oldest).distinct(), "rep").mapInArrow(_covered, "a long, b long").distinct())
+    first = links_of(planted(dealt.unionByName(oldest).distinct(), "rep").mapInArrow(released(_covered), "a long, b long").distinct())
     classes = scratch.cut(components(scratch, first))
 
     # trees of one leaf have been searched for all pairs
@@ -545,7 +545,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mixed = of_class.groupBy("hub").agg(F.count("*").alias("classes"), F.max(F.struct("k", "class")).alias("most"), F.sum("k").alias("m")).filter("classes > 1")
     mixed = mixed.select("hub", F.col("most.class").alias("most"), F.col("most.k").alias("k"), (F.col("m") - F.col("most.k")).alias("others"))
     members = scratch.cut(members.join(mixed, "hub"))
-    second = links_of(planted(_blocks_of(members), "class").mapInArrow(_crossed, "a long, b long").distinct())
+    second = links_of(planted(_blocks_of(members), "class").mapInArrow(released(_crossed), "a long, b long").distinct())
     scratch.drop(trees, members, sizes)
     links = first.unionByName(second)
 

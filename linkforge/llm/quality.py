@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from linkforge.llm.common import whole_row
+from linkforge.llm.common import released, whole_row
 from linkforge.llm.labels import bounded_sample, held_out, labelled
 from linkforge.llm.words import split
 
@@ -161,7 +161,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(at, n).cast(pa.string()), batch.column("label").slice(at, n), pa.array(bags, pa.binary())], ["id", "label", "bag"])
                 at += n
 
-    found = sorted(rows.mapInArrow(encoded, "id string, label int, bag binary").collect(), key=lambda r: (r["id"], r["bag"]))
+    found = sorted(rows.mapInArrow(released(encoded), "id string, label int, bag binary").collect(), key=lambda r: (r["id"], r["bag"]))
     y = np.array([r["label"] for r in found])
     if len(set(y.tolist())) < 2:
         return None
@@ -193,7 +193,7 @@ def score_quality(docs: DataFrame, model: AttentionModel | None, id_col: str = "
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     schema = StructType([f for f in rows.schema.fields if f.name != "_text"]).add("score", "double").add("predicted", "integer")
-    out = rows.mapInArrow(scored, schema)
+    out = rows.mapInArrow(released(scored), schema)
     return out.select(F.col("_id").alias(id_col), "held_out", "score", "predicted", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import os
 import re
 import struct
 import uuid
@@ -196,6 +197,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, most: int = 500_000):
+        # a worker has one core, and each thread of the library holds memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

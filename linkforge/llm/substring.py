@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from linkforge.llm.common import Scratch, maybe_in, partitions, tidy, to_partition, whole_row
+from linkforge.llm.common import Scratch, maybe_in, partitions, released, tidy, to_partition, whole_row
 from linkforge.llm.words import Words, split, windows
 
 WINDOW, ANCHOR = 50, 20
@@ -377,8 +377,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     known = rows.filter("doc_id is not null")
-    anchors = known.select("block", "_text").mapInArrow(_anchors(buckets), "bucket int, anchors binary, homes binary, many binary")
-    shared = scratch.cut(to_partition(anchors, "bucket").mapInArrow(_shared_anchors, "block int, entries binary"))
+    anchors = known.select("block", "_text").mapInArrow(released(_anchors(buckets)), "bucket int, anchors binary, homes binary, many binary")
+    shared = scratch.cut(to_partition(anchors, "bucket").mapInArrow(released(_shared_anchors), "block int, entries binary"))
     tidy(spark)
 
     def beside(entries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -388,12 +388,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return to_partition(both, "block").sortWithinPartitions("block", F.col(names[0]).isNull())
 
     texts = known.select("block", "doc_id", "_text")
-    candidates = beside(shared, texts).mapInArrow(_candidate_windows(buckets), "bucket int, windows binary, homes binary")
-    asked = scratch.cut(to_partition(candidates, "bucket").mapInArrow(_requests, "block int, entries binary"))
+    candidates = beside(shared, texts).mapInArrow(released(_candidate_windows(buckets)), "bucket int, windows binary, homes binary")
+    asked = scratch.cut(to_partition(candidates, "bucket").mapInArrow(released(_requests), "block int, entries binary"))
     tidy(spark)
     scratch.drop(shared)
-    smallest = asked.mapInArrow(_asked_ids, "doc_id long").distinct()
-    segments = beside(asked, maybe_in(texts, scratch.cut(smallest), "doc_id")).mapInArrow(_segments, "block int, heads binary, words binary")
+    smallest = asked.mapInArrow(released(_asked_ids), "doc_id long").distinct()
+    segments = beside(asked, maybe_in(texts, scratch.cut(smallest), "doc_id")).mapInArrow(released(_segments), "block int, heads binary, words binary")
     segments = scratch.cut(segments)
     tidy(spark)
     scratch.drop(asked)
@@ -401,7 +401,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = StructType([rows.schema["doc_id"], *[rows.schema[f"_k{i}"] for i in range(len(keep))]])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string").add("factors", span)
     docs = rows.select("block", "doc_id", "_text", *[f"_k{i}" for i in range(len(keep))])
-    out = beside(segments, docs).mapInArrow(lambda batches: _parsed(batches, with_text), schema)
+    out = beside(segments, docs).mapInArrow(released(lambda batches: _parsed(batches, with_text)), schema)
     return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept", "factors", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 
