@@ -17,6 +17,10 @@ from linkforge.llm.common import Scratch, small_batches
 from linkforge.llm.queries import tokenizer_path
 
 
+#: Parts of texts that an encoder of the last stage remembers: few, since its workers hold what the stages before left too.
+REMEMBERED_PARTS = 60_000
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects.
 
@@ -66,7 +70,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have their end id alone; equal lengths go by id, rows
     alike in both by a hash; every row is in one batch.
     """
-    return packing.pack_texts(docs, tokenizer_path(), with_text=True)
+    return packing.pack_texts(docs, tokenizer_path(), with_text=True, remember=REMEMBERED_PARTS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
