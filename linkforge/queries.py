@@ -117,7 +117,7 @@ def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.lsh_search(index, _table(spark, sf_dir, "benchmark"), "item_id", "text", _PERMS, _LEVEL)
 
 
-# the same with as many permutations as the reference has by default, which the SQL can't follow
+# the same with as many permutations as operators take by default, which the SQL can't follow
 
 
 _FULL_PERMS = 128
@@ -255,17 +255,9 @@ def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select("id", "name")
 
 
-@query(f"WITH {_P} SELECT a.id AS orig_idxs, b.id AS match_idxs, round(jaro_winkler_similarity(a.name, b.name), 6) AS similarity FROM p a JOIN p b ON a.id < b.id AND substr(a.name, 1, 1) = substr(b.name, 1, 1)")
+@query(f"WITH {_P} SELECT a.id AS orig_idxs, b.id AS match_idxs, round(jaro_winkler_similarity(a.name, b.name), 6) AS similarity FROM p a JOIN p b ON a.id < b.id")
 def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _short(spark, sf_dir)
-    a, b = p.select(F.col("id").alias("orig_idxs"), F.col("name").alias("x"), F.substring("name", 1, 1).alias("f")), p.select(F.col("id").alias("match_idxs"), F.col("name").alias("y"), F.substring("name", 1, 1).alias("f"))
-    pairs = a.join(b, "f").filter("orig_idxs < match_idxs")
-    return pairs.select("orig_idxs", "match_idxs", F.round(strsim.jaro_winkler_udf()("x", "y"), 6).alias("similarity"))
-
-
-@query()
-def jaro_winkler_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every name with all names, in blocks by blocks; the query above has names of the same first character only."""
+    """Every name with all names, in blocks by blocks."""
     n = spark.sparkContext.defaultParallelism
     p = _short(spark, sf_dir).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -502,7 +494,7 @@ def mlm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", masked.alias("m")).select("conv_id", "turn", F.array_join(F.col("m.input_ids").cast("array<string>"), ",").alias("input_ids"), F.array_join(F.col("m.labels").cast("array<string>"), ",").alias("labels"))
 
 
-# whole turns: a row for each chunk of the reference's length
+# whole turns: a row for each chunk of the full length
 
 
 _CHUNK = 512
