@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge.llm import decontam, embed_lattice, html, ngram_join, packing, quality, sharding, sstable, substring, toxicity
+from linkforge.llm import alignment, decontam, embed_lattice, html, ngram_join, packing, pieces, quality, sharding, sstable, substring, toxicity, whitening
 from linkforge.llm.common import small_batches
 from linkforge.llm.sql import ORACLES
 
@@ -24,6 +24,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks of all benchmark items in all documents: doc_id, item_id, distance, first_word."""
     small_batches(spark)
@@ -86,6 +92,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the four leading components: vec_id, component, n, deviation, whitened, explained, identity_error."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256, n_covered, spans_crc32."""
+    return pieces.piece_digests(_table(spark, sf_dir, "documents"), piece_model_path())
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' tokens of every document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_best_a."""
+    return alignment.align_corpus(_table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -94,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_decontaminate, op2_ngram_join, op3_quality, op4_shards, op5_sstable, op6_substring, op7_html, op8_packing, op9_embeddings, op10_toxicity]
+    ops = [op1_decontaminate, op2_ngram_join, op3_quality, op4_shards, op5_sstable, op6_substring, op7_html, op8_packing, op9_embeddings, op10_toxicity, op11_whitening, op12_pieces, op13_alignment]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
