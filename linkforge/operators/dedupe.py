@@ -11,11 +11,15 @@ from linkforge.functions.chars import byte_ids
 from linkforge.functions.strsim import jaro_winkler, similarity_vector
 from linkforge.functions.vectors import normalize
 from linkforge.operators import corpus, svd, tfidf
-from linkforge.operators.knn import edges, exact_knn, ivf_knn, knn
+from linkforge.operators.knn import edges, exact_knn
 from linkforge.operators.minhash import lsh_match_lists
+from linkforge.operators.neighbour_graph import nn_descent
+from linkforge.operators.product_quantiser import ivf_pq_knn
+from linkforge.operators.pruned_knn import pruned_knn
+from linkforge.operators.scratch import written
 from linkforge.operators.tfidf import bm25_top_k
 from linkforge.operators.transformer import CharTransformer, embed_texts
-from linkforge.plans.strategy import ANCHOR_SHAPE, choose
+from linkforge.plans.strategy import ANCHOR_PARTS, ANCHOR_SHAPE, VECTOR_PARTS, IvfShape, choose
 
 
 def compressed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int | None = None) -> tuple[DataFrame, tfidf.TfidfModel, svd.SvdModel]:
@@ -31,19 +35,28 @@ def dedupe_lsh(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshol
 
 
 def dedupe_knn(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
-    vectors = compressed_vectors(df, id_col, text_col, 64)[0].cache()
-    return edges(exact_knn(vectors, vectors, k, "l2"))
+    """Exact neighbours; cells that the triangle inequality rules out are left out."""
+    vectors = written(compressed_vectors(df, id_col, text_col, 64)[0])
+    return edges(pruned_knn(vectors, vectors, k, "l2"))
 
 
 def dedupe_approx_knn(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
-    vectors = compressed_vectors(df, id_col, text_col, 64)[0].cache()
-    return edges(ivf_knn(vectors, vectors, k, metric="l2"))
+    """Neighbours by NN-descent."""
+    vectors = written(compressed_vectors(df, id_col, text_col, 64)[0])
+    near = nn_descent(vectors, k).neighbours(k)
+    return edges(near.withColumn("distance", F.round(F.sqrt("distance"), 6)))
 
 
-def dedupe_vectors(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
-    """Squared distances; exact or by inverted lists as the planner says."""
-    vectors = compressed_vectors(df, id_col, text_col)[0].cache()
-    return edges(knn(vectors, vectors, k, "l2sq"))
+def nearest(vectors: DataFrame, k: int, parts: int, shape: IvfShape | None = None, strategy: str = "auto") -> DataFrame:
+    """Squared distances: exact, or from inverted lists of product codes (``pq``); by the planner's number of rows unless told."""
+    if strategy == "auto":
+        strategy = "exact" if choose(vectors.count()) == "exact" else "pq"
+    return exact_knn(vectors, vectors, k) if strategy == "exact" else ivf_pq_knn(vectors, vectors, k, parts, shape)
+
+
+def dedupe_vectors(df: DataFrame, id_col: str, text_col: str, k: int = 5, strategy: str = "auto") -> DataFrame:
+    """Squared distances of the vectors at full length."""
+    return edges(nearest(written(compressed_vectors(df, id_col, text_col)[0]), k, VECTOR_PARTS, IvfShape(), strategy))
 
 
 def anchor_vectors(df: DataFrame, id_col: str, text_col: str, anchors: int = 128, seed: int = 0, scorer: Callable[[str, str], float] = jaro_winkler) -> tuple[DataFrame, list[str]]:
@@ -52,11 +65,12 @@ def anchor_vectors(df: DataFrame, id_col: str, text_col: str, anchors: int = 128
     return df.select(F.col(id_col).alias("id"), similarity_vector(chosen, scorer)(F.col(text_col)).alias("vector")), chosen
 
 
-def dedupe_anchors(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.1, k: int = 10, anchors: int = 128, seed: int = 0) -> DataFrame:
-    vectors, _ = anchor_vectors(df, id_col, text_col, anchors, seed)
-    vectors = vectors.filter(F.exists("vector", lambda x: x > 0)).select("id", normalize(F.col("vector")).alias("vector")).cache()
-    found = exact_knn(vectors, vectors, k) if choose(vectors.count()) == "exact" else ivf_knn(vectors, vectors, k, ANCHOR_SHAPE)
-    return edges(found, cutoff)
+def dedupe_anchors(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.1, k: int = 10, anchors: int = 128, seed: int = 0, strategy: str = "auto") -> DataFrame:
+    """By similarities to anchors; a string like none of them has no matches."""
+    # written before a filter on them, which would otherwise move below the comparisons and into what made the strings
+    vectors = written(anchor_vectors(df, id_col, text_col, anchors, seed)[0])
+    vectors = vectors.filter(F.exists("vector", lambda x: x > 0)).select("id", normalize(F.col("vector")).alias("vector"))
+    return edges(nearest(vectors, k, ANCHOR_PARTS, ANCHOR_SHAPE, strategy), cutoff)
 
 
 def byte_bag(df: DataFrame, id_col: str, text_col: str, table: DataFrame) -> DataFrame:
@@ -67,10 +81,9 @@ def byte_bag(df: DataFrame, id_col: str, text_col: str, table: DataFrame) -> Dat
     return mean.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("vector"))
 
 
-def dedupe_embedded(df: DataFrame, id_col: str, text_col: str, embed: Callable[[DataFrame, str, str], DataFrame], k: int = 5) -> DataFrame:
+def dedupe_embedded(df: DataFrame, id_col: str, text_col: str, embed: Callable[[DataFrame, str, str], DataFrame], k: int = 5, strategy: str = "auto") -> DataFrame:
     """With any embedder from (table, id column, text column) to (id, vector)."""
-    vectors = embed(df, id_col, text_col).cache()
-    return edges(knn(vectors, vectors, k, "l2sq"))
+    return edges(nearest(written(embed(df, id_col, text_col)), k, VECTOR_PARTS, IvfShape(), strategy))
 
 
 def dedupe_bm25(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkforge.functions.vectors import l2sq
+from linkforge.operators.cells import cell_join, file_by_cell
 from linkforge.operators.grid import grid
 from linkforge.plans.strategy import EXACT_BYTES, IvfShape, choose
 
@@ -29,6 +27,54 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def block_neighbours(asked: pa.Table, held: pa.Table, k: int, metric: str) -> pa.Table:
+    """(orig_idxs, match_idxs, distance) of the k nearest held rows (id, vector) of each asked row, ties by id."""
+
+    def distances(q: np.ndarray, y: np.ndarray, square: np.ndarray) -> np.ndarray:
+        d = 1 - np.einsum("qd,qkd->qk", q, y) if metric == "cosine" else np.sqrt(square) if metric == "l2" else square
+        return np.round(d, 6)
+
+    out = [pa.RecordBatch.from_arrays([asked["id"].combine_chunks()[:0], held["id"].combine_chunks()[:0], pa.array([], pa.float64())], ["orig_idxs", "match_idxs", "distance"])]
+    if not len(asked) or not len(held):
+        return pa.Table.from_batches(out)
+    held = held.sort_by("id")
+    ids, x = held["id"].to_numpy(), _prepared(_matrix(held["vector"]), metric)
+    norms = (x**2).sum(axis=1)
+    q, own = _prepared(_matrix(asked["vector"]), metric), asked["id"].combine_chunks()
+    for a in range(0, len(q), 256):
+        part = q[a : a + 256]
+        rough = part @ x.T
+        rough *= -2
+        rough += (part**2).sum(axis=1)[:, None]
+        rough += norms
+        top = min(len(ids), k + 16)
+        near = np.argpartition(rough, top - 1, axis=1)[:, :top]
+        # differences again for the near ones: the expanded form loses digits
+        square = ((part[:, None, :] - x[near]) ** 2).sum(axis=2)
+        d = distances(part, x[near], square)
+        order = np.lexsort((ids[near], d), axis=1)[:, :k]
+        d, match = np.take_along_axis(d, order, axis=1), np.take_along_axis(ids[near], order, axis=1)
+        if top < len(ids):
+            # rows left out may tie with the last one kept, by six places and the digits lost
+            last = np.partition(square, k - 1, axis=1)[:, k - 1]
+            last = last + 4e-6 * (1 + np.sqrt(last)) + 1e-12 * ((part**2).sum(axis=1) + norms.max())
+            for r in np.flatnonzero(np.take_along_axis(rough, near, axis=1).max(axis=1) <= last):
+                all_near = np.flatnonzero(rough[r] <= last[r])
+                y = x[all_near][None]
+                own_d = distances(part[r : r + 1], y, ((part[r] - y) ** 2).sum(axis=2))[0]
+                order = np.lexsort((ids[all_near], own_d))[:k]
+                d[r], match[r] = own_d[order], ids[all_near][order]
+        of = own.slice(a, len(part)).take(pa.array(np.repeat(np.arange(len(part)), d.shape[1])))
+        out.append(pa.RecordBatch.from_arrays([of, pa.array(match.reshape(-1)), pa.array(d.reshape(-1))], ["orig_idxs", "match_idxs", "distance"]))
+    return pa.Table.from_batches(out)
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query's matches, ties by id."""
+    rank = F.row_number().over(Window.partitionBy("orig_idxs").orderBy("distance", "match_idxs"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
 def exact_knn(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", block_bytes: int = EXACT_BYTES) -> DataFrame:
     """(orig_idxs, match_idxs, distance): the k nearest index rows (id, vector) of each query row (id, vector), ties by id.
 
@@ -37,50 +83,9 @@ def exact_knn(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq"
     are all compared, however many.
     """
     dim = index.select(F.max(F.size("vector"))).first()[0] or 1
-
-    def distances(q: np.ndarray, y: np.ndarray, square: np.ndarray) -> np.ndarray:
-        d = 1 - np.einsum("qd,qkd->qk", q, y) if metric == "cosine" else np.sqrt(square) if metric == "l2" else square
-        return np.round(d, 6)
-
-    def f(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = [pa.RecordBatch.from_arrays([asked["id"].combine_chunks()[:0], held["id"].combine_chunks()[:0], pa.array([], pa.float64())], ["orig_idxs", "match_idxs", "distance"])]
-        if not len(asked) or not len(held):
-            return pa.Table.from_batches(out)
-        held = held.sort_by("id")
-        ids, x = held["id"].to_numpy(), _prepared(_matrix(held["vector"]), metric)
-        norms = (x**2).sum(axis=1)
-        q, own = _prepared(_matrix(asked["vector"]), metric), asked["id"].combine_chunks()
-        for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            rough = part @ x.T
-            rough *= -2
-            rough += (part**2).sum(axis=1)[:, None]
-            rough += norms
-            top = min(len(ids), k + 16)
-            near = np.argpartition(rough, top - 1, axis=1)[:, :top]
-            # differences again for the near ones: the expanded form loses digits
-            square = ((part[:, None, :] - x[near]) ** 2).sum(axis=2)
-            d = distances(part, x[near], square)
-            order = np.lexsort((ids[near], d), axis=1)[:, :k]
-            d, match = np.take_along_axis(d, order, axis=1), np.take_along_axis(ids[near], order, axis=1)
-            if top < len(ids):
-                # rows left out may tie with the last one kept, by six places and the digits lost
-                last = np.partition(square, k - 1, axis=1)[:, k - 1]
-                last = last + 4e-6 * (1 + np.sqrt(last)) + 1e-12 * ((part**2).sum(axis=1) + norms.max())
-                for r in np.flatnonzero(np.take_along_axis(rough, near, axis=1).max(axis=1) <= last):
-                    all_near = np.flatnonzero(rough[r] <= last[r])
-                    y = x[all_near][None]
-                    own_d = distances(part[r : r + 1], y, ((part[r] - y) ** 2).sum(axis=2))[0]
-                    order = np.lexsort((ids[all_near], own_d))[:k]
-                    d[r], match[r] = own_d[order], ids[all_near][order]
-            of = own.slice(a, len(part)).take(pa.array(np.repeat(np.arange(len(part)), d.shape[1])))
-            out.append(pa.RecordBatch.from_arrays([of, pa.array(match.reshape(-1)), pa.array(d.reshape(-1))], ["orig_idxs", "match_idxs", "distance"]))
-        return pa.Table.from_batches(out)
-
     kinds = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
-    best = grid(queries.select("id", "vector"), index.select("id", "vector"), f, f"orig_idxs {kinds[0]}, match_idxs {kinds[1]}, distance double", max(1, block_bytes // (8 * dim)))
-    rank = F.row_number().over(Window.partitionBy("orig_idxs").orderBy("distance", "match_idxs"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    best = grid(queries.select("id", "vector"), index.select("id", "vector"), lambda asked, held: block_neighbours(asked, held, k, metric), f"orig_idxs {kinds[0]}, match_idxs {kinds[1]}, distance double", max(1, block_bytes // (8 * dim)))
+    return merged(best, k)
 
 
 def kmeans(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
@@ -129,32 +134,11 @@ def ivf_knn(index: DataFrame, queries: DataFrame, k: int, shape: IvfShape | None
         centres, probes = ivf_shape(x, index.count(), k, recall)
     else:
         centres, probes = kmeans(x, shape.cells), shape.probes
-    held = queries.sparkSession.sparkContext.broadcast(centres)
-
-    def filed(n: int):
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = held.value
-            m = min(n, len(c))
-            for batch in batches:
-                x = _matrix(batch.column("vector"))
-                d = (c**2).sum(axis=1) - 2 * x @ c.T
-                near = np.argpartition(d, m - 1, axis=1)[:, :m] if len(x) else np.zeros((0, m), np.int64)
-                of = pa.array(np.repeat(np.arange(len(batch)), m))
-                yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), batch.column("id").take(of), batch.column("vector").take(of)], ["cell", "id", "vector"])
-
-        return f
-
-    def table(df: DataFrame, n: int) -> DataFrame:
-        df = df.select("id", F.col("vector").cast("array<double>").alias("vector"))
-        return df.mapInArrow(filed(n), f"cell int, id {dict(df.dtypes)['id']}, vector array<double>")
-
-    a = table(index, 1).select("cell", F.col("id").alias("match_idxs"), F.col("vector").alias("y"))
-    b = table(queries, probes).select("cell", F.col("id").alias("orig_idxs"), F.col("vector").alias("x"))
-    distance = l2sq(F.col("x"), F.col("y"))
-    distance = F.sqrt(distance) if metric == "l2" else distance
-    scored = b.join(a, "cell").select("orig_idxs", "match_idxs", F.round(distance, 6).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("orig_idxs").orderBy("distance", "match_idxs"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    near = file_by_cell(index, centres, 1)
+    asked = file_by_cell(queries, centres, probes)
+    kinds = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
+    found = cell_join(asked, near, lambda q, x: block_neighbours(q, x, k, metric), f"orig_idxs {kinds[0]}, match_idxs {kinds[1]}, distance double")
+    return merged(found, k)
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", strategy: str = "auto") -> DataFrame:

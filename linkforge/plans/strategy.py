@@ -20,6 +20,8 @@ class IvfShape:
 
 #: Shape for similarity vectors to anchors.
 ANCHOR_SHAPE = IvfShape(256, 16)
+#: Bytes of a product code, for vectors of names and for similarities to anchors.
+VECTOR_PARTS, ANCHOR_PARTS = 32, 8
 
 
 def choose(rows: int, limit: int = EXACT_ROWS) -> str:

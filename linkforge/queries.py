@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkforge.functions import chars, fuzz, strsim, text, vectors
-from linkforge.operators import corpus, dedupe, evaluate, knn, minhash, tfidf
+from linkforge.operators import corpus, dedupe, evaluate, knn, minhash, neighbour_graph, product_quantiser, pruned_knn, tfidf
+from linkforge.operators.scratch import written
 from linkforge.operators.transformer import CharTransformer, Shape
 from linkforge.sources import address
 
@@ -245,6 +246,33 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.ivf_knn(v, v, 5, metric="l2")
 
 
+@query(_near("list_distance(a.v, b.v)"))
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours from the cells that the triangle inequality leaves."""
+    v = _vectors(spark, sf_dir)
+    return pruned_knn.pruned_knn(v, v, 5, "l2")
+
+
+@query()
+def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours by NN-descent."""
+    return neighbour_graph.nn_descent(_vectors(spark, sf_dir), 10).neighbours(10)
+
+
+@query()
+def knn_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set, ids that 20 divides, searched for along the graph of the other rows."""
+    v = _vectors(spark, sf_dir)
+    return neighbour_graph.graph_search(neighbour_graph.nn_descent(v.filter("id % 20 <> 0"), 10), v.filter("id % 20 = 0"), 10)
+
+
+@query()
+def knn_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours from inverted lists of product codes of 16 bytes a vector."""
+    v = _vectors(spark, sf_dir)
+    return product_quantiser.ivf_pq_knn(v, v, 5, 16)
+
+
 # ---- string similarity
 
 
@@ -280,7 +308,7 @@ d AS (SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v) * list_distance
 k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10)
 SELECT i AS orig_idxs, j AS match_idxs, d AS distance FROM k WHERE i < j AND d < 0.1""")
 def dedupe_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.dedupe_anchors(_names(spark, sf_dir), "id", "name")
+    return dedupe.dedupe_anchors(_names(spark, sf_dir), "id", "name", strategy="exact")
 
 
 # ---- corruption
@@ -332,7 +360,8 @@ def eval_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzify(spark, sf_dir).select("id", F.col("fuzzed").alias("name"))
+    # written, since the corruption of a character is an expression that others would be nested in
+    return written(fuzzify(spark, sf_dir).select("id", F.col("fuzzed").alias("name")))
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,25 +456,43 @@ def eval_search_byte_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
 
 
-def _eval_dedupe(call) -> None:
-    @query()
-    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _both(spark, sf_dir)
-        return evaluate.dedupe_metrics(evaluate.score_pairs(call(rows, "id", "name"), rows), rows)
+def _dedupe_metrics(spark: SparkSession, sf_dir: str, call, **options) -> DataFrame:
+    rows = _both(spark, sf_dir)
+    return evaluate.dedupe_metrics(evaluate.score_pairs(call(rows, "id", "name", **options), rows), rows)
+
+
+@query()
+def eval_dedupe_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dedupe_metrics(spark, sf_dir, dedupe.dedupe_knn)
+
 
-    QUERIES[f"eval_{call.__name__}"] = QUERIES.pop("f")
+@query()
+def eval_dedupe_approx_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dedupe_metrics(spark, sf_dir, dedupe.dedupe_approx_knn)
+
+
+@query()
+def eval_dedupe_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dedupe_metrics(spark, sf_dir, dedupe.dedupe_vectors)
 
 
-for _call in (dedupe.dedupe_knn, dedupe.dedupe_approx_knn, dedupe.dedupe_vectors, dedupe.dedupe_anchors):
-    _eval_dedupe(_call)
+@query(f"""WITH {_DUPES}, anchors AS (SELECT name, row_number() OVER (ORDER BY md5(concat_ws('|', '0', id::VARCHAR)), id) AS k FROM both_ ORDER BY k LIMIT 128),
+raw AS (SELECT n.id, list(jaro_winkler_similarity(n.name, a.name) ORDER BY k) AS v FROM both_ n CROSS JOIN anchors a GROUP BY n.id),
+held AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM raw WHERE list_dot_product(v, v) > 0),
+d AS (SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v) * list_distance(a.v, b.v), 6) AS d FROM held a CROSS JOIN held b),
+k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10), hits AS (SELECT i, j FROM k WHERE i < j AND d < 0.1),
+m AS (SELECT count(*) AS pairs, coalesce(sum((i // 2 = j // 2)::INT), 0)::BIGINT AS matches FROM hits), g AS (SELECT count(*) AS n FROM names)
+SELECT pairs, matches, round(matches / pairs, 6) AS "precision", round(matches / n, 6) AS recall, round(matches / n, 6) AS pair_recall FROM m, g""")
+def eval_dedupe_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dedupe_metrics(spark, sf_dir, dedupe.dedupe_anchors, strategy="exact")
 
 
 def _search_compressed(spark: SparkSession, sf_dir: str, approximate: bool) -> DataFrame:
     """Corrupted names among all names in the basis that the names were compressed with."""
     names = _names(spark, sf_dir)
     held, terms, model = dedupe.compressed_vectors(names, "id", "name", 64)
-    asked = model.transform(terms.transform(_corrupted(spark, sf_dir), "id", "name"))
-    found = knn.ivf_knn(held, asked, 10, metric="l2") if approximate else knn.knn(held, asked, 10, "l2", "exact")
+    held, asked = written(held), written(model.transform(terms.transform(_corrupted(spark, sf_dir), "id", "name")))
+    found = neighbour_graph.graph_search(neighbour_graph.nn_descent(held, 10), asked, 10) if approximate else pruned_knn.pruned_knn(held, asked, 10, "l2")
     return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
 
 
@@ -611,7 +658,7 @@ k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d
 SELECT i AS orig_idxs, j AS match_idxs, d AS distance FROM k WHERE i < j""")
 def dedupe_byte_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _token_table(spark)
-    return dedupe.dedupe_embedded(_names(spark, sf_dir), "id", "name", lambda df, i, t: dedupe.byte_bag(df, i, t, table))
+    return dedupe.dedupe_embedded(_names(spark, sf_dir), "id", "name", lambda df, i, t: dedupe.byte_bag(df, i, t, table), strategy="exact")
 
 
 @query()
