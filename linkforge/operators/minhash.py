@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkforge.operators.scratch import written
+
 PRIME = (1 << 31) - 1
 
 
@@ -89,6 +91,33 @@ def lsh_groups(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshol
     return found, members
 
 
+#: Members of a bucket that one task pairs with as many others.
+BUCKET_ROWS = 2000
+
+
+def signature_groups(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshold: float = 0.6, size: int = 4, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(orig_idxs, match_idxs), orig < match, of signatures that share a bucket, and (rep, id): the rows of each signature under its least id.
+
+    Rows of one signature share every bucket, so two rows share one exactly if
+    they are of one representative or theirs are a pair.  Copies, and all texts
+    without shingles, whose signature is the same, are therefore a row each and
+    not the square of their number.  A bucket of many signatures is dealt into
+    blocks of ``bucket_rows`` that meet each other in tasks of their own.
+    """
+    signed = written(signatures(df.filter(F.col(id_col).isNotNull()), id_col, text_col, n, size).withColumn("_h", F.xxhash64("signature")))
+    one = written(signed.groupBy("_h", "signature").agg(F.min("id").alias("rep")))
+    filed = written(bands(one.withColumnRenamed("rep", "id"), *band_shape(threshold, n)))
+    blocks = filed.groupBy("band", "bucket").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("_n"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    dealt = filed.join(blocks, ["band", "bucket"]).withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    left = dealt.select("band", "bucket", "_p", each.alias("_q"), F.col("id").alias("orig_idxs"))
+    right = dealt.toDF(*dealt.columns).select("band", "bucket", each.alias("_p"), F.col("_p").alias("_q"), F.col("id").alias("match_idxs"))
+    pairs = left.join(right, ["band", "bucket", "_p", "_q"]).filter("orig_idxs < match_idxs").select("orig_idxs", "match_idxs").distinct()
+    o = one.select(F.col("_h").alias("_g"), F.col("signature").alias("_s"), "rep")
+    members = signed.join(o, (F.col("_h") == F.col("_g")) & (F.col("signature") == F.col("_s"))).select("rep", "id")
+    return pairs, members
+
+
 def lsh_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 128, threshold: float = 0.6, size: int = 4) -> DataFrame:
     """(orig_idxs, match_idxs) of rows that share a bucket, both directions and each with itself.
 

@@ -120,12 +120,17 @@ def cosine_top_k(weights: DataFrame, k: int = 5) -> DataFrame:
     return products_top_k(weights, weights, k, True, "similarity")
 
 
-def bm25_top_k(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 5, k1: float = 1.5, b: float = 0.75, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """(orig_idxs, match_idxs, score) of each query's k best rows by BM25 over character n-grams."""
+def bm25_weights(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75, sizes: tuple[int, ...] = (2, 3, 4)) -> tuple[DataFrame, DataFrame]:
+    """(id, term, weight) of queries and of the index, whose sums of products are BM25 scores over character n-grams."""
     tf = term_counts(index, id_col, text_col, sizes)
     length = tf.groupBy("id").agg(F.sum("tf").alias("len"))
     n, mean = length.agg(F.count("*"), F.avg("len")).first()
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     damped = tf.join(length, "id").join(idf, "term").select("id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))).alias("weight"))
-    asked = term_counts(queries, query_id, query_text, sizes).select("id", "term", F.lit(1.0).alias("weight"))
-    return products_top_k(asked, damped, k, False, "score")
+    return term_counts(queries, query_id, query_text, sizes).select("id", "term", F.lit(1.0).alias("weight")), damped
+
+
+def bm25_top_k(index: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 5, k1: float = 1.5, b: float = 0.75, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """(orig_idxs, match_idxs, score) of each query's k best rows by BM25 over character n-grams."""
+    asked, held = bm25_weights(index, queries, id_col, text_col, query_id, query_text, k1, b, sizes)
+    return products_top_k(asked, held, k, False, "score")

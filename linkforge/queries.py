@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkforge.functions import chars, fuzz, strsim, text, vectors
-from linkforge.operators import corpus, dedupe, evaluate, knn, minhash, neighbour_graph, product_quantiser, pruned_knn, tfidf
+from linkforge.operators import block_max, corpus, dedupe, evaluate, knn, minhash, neighbour_graph, product_quantiser, pruned_knn, string_join, tfidf
 from linkforge.operators.scratch import written
 from linkforge.operators.transformer import CharTransformer, Shape
 from linkforge.sources import address
@@ -198,6 +198,21 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.bm25_top_k(names, names, "id", "name", "id", "name", 5)
 
 
+@query(ORACLES["tfidf_cosine_topk"])
+def tfidf_bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar names from blocks whose bounds reach the fifth score."""
+    names = _names(spark, sf_dir)
+    weights = written(tfidf.fit(names, "id", "name").transform(names, "id", "name"))
+    return block_max.top_products(weights, weights, 5, True).rows.withColumnRenamed("score", "similarity")
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    asked, held = tfidf.bm25_weights(names, names, "id", "name", "id", "name")
+    return block_max.top_products(written(asked), written(held), 5, False).rows
+
+
 # ---- nearest neighbours
 
 _E = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -295,6 +310,12 @@ def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("orig_idxs", "match_idxs", F.round(strsim.jaro_winkler_udf()("x", "y"), 6).alias("similarity"))
 
 
+@query(f"WITH {_NAMES} SELECT a.id AS orig_idxs, b.id AS match_idxs, round(jaro_winkler_similarity(a.name, b.name), 6) AS similarity FROM names a JOIN names b ON a.id < b.id WHERE jaro_winkler_similarity(a.name, b.name) >= 0.95")
+def jaro_winkler_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a similarity of 0.95 or more; bounds leave out most others."""
+    return string_join.jaro_winkler_join(_names(spark, sf_dir), "id", "name", 0.95).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"WITH {_P}, a AS (SELECT name, row_number() OVER (ORDER BY md5(concat_ws('|', '0', id::VARCHAR)), id) AS k FROM p ORDER BY k LIMIT 16) SELECT p.id, a.k - 1 AS anchor, round(jaro_winkler_similarity(p.name, a.name), 6) AS similarity FROM p CROSS JOIN a")
 def anchor_simvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, _ = dedupe.anchor_vectors(_short(spark, sf_dir), "id", "name", 16)
@@ -386,6 +407,34 @@ def _banded(name: str, table: str) -> str:
     )
 
 
+# all permutations on names, where SQL can follow: signatures' representatives, their pairs and their rows
+
+_REPS = f"{_NAMES}, {_banded('y', 'names')}, reps AS (SELECT id, min(id) OVER (PARTITION BY sig) AS rep FROM y_sig)"
+
+
+@query(f"WITH {_NAMES}, {_banded('y', 'names')} SELECT id, array_to_string(sig, ',') AS signature FROM y_sig")
+def minhash_signature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.signatures(_names(spark, sf_dir), "id", "name", _FULL_PERMS).withColumn("signature", _joined("signature"))
+
+
+@query(f"WITH {_REPS} SELECT DISTINCT a.id AS orig_idxs, b.id AS match_idxs FROM y a JOIN y b ON a.b = b.b AND a.bucket = b.bucket AND a.id < b.id JOIN reps x ON x.id = a.id AND x.rep = a.id JOIN reps z ON z.id = b.id AND z.rep = b.id")
+def lsh_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different signatures of names that share a bucket."""
+    return minhash.signature_groups(_names(spark, sf_dir), "id", "name", _FULL_PERMS, _LEVEL)[0]
+
+
+@query(f"WITH {_REPS} SELECT rep, id FROM reps")
+def lsh_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each signature of names."""
+    return minhash.signature_groups(_names(spark, sf_dir), "id", "name", _FULL_PERMS, _LEVEL)[1]
+
+
+@query()
+def lsh_representatives_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different signatures of documents that share a bucket, each with the least id that has it."""
+    return minhash.signature_groups(_documents(spark, sf_dir), "doc_id", "text", _FULL_PERMS, _LEVEL)[0]
+
+
 @query(f"WITH {_FUZZED}, {_banded('x', 'fuzzed')}, {_banded('y', 'names')}, hits AS (SELECT f.id AS i, m.j FROM fuzzed f LEFT JOIN (SELECT DISTINCT x.id AS i, y.id AS j FROM x JOIN y ON x.b = y.b AND x.bucket = y.bucket) m ON f.id = m.i) {_SEARCHED}")
 def eval_search_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrupted names searched for among all names by MinHash banding."""
