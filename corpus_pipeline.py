@@ -18,7 +18,17 @@ from linkforge.llm.queries import tokenizer_path
 
 
 #: Parts of texts that an encoder of the last stage remembers: few, since its workers hold what the stages before left too.
-REMEMBERED_PARTS = 60_000
+REMEMBERED_PARTS = 30_000
+#: Bytes of an Arrow batch: texts of one length stand together after packing, so a batch by rows alone may hold the longest.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by rows and by bytes; settings of the caller's stay."""
+    small_batches(spark)
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "67108864")
+    if spark.conf.get(key, default[0]) in default:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +38,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     passage, repeated rows and null ids each by their own text.  Without labels
     of both kinds nothing is dropped; an empty table stays empty.
     """
-    small_batches(spark)
+    bounded_batches(spark)
     return quality.filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -38,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts have no copies and stay; so do rows without an id; of
     rows that repeat an id all stay if it is a group's smallest.
     """
-    small_batches(spark)
+    bounded_batches(spark)
     return ngram_join.drop_near_copies(docs)
 
 
@@ -49,7 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     without an id stay as they are; rows that repeat an id are no reference for
     each other.
     """
-    small_batches(spark)
+    bounded_batches(spark)
     out = substring.cut_repeats(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
 
@@ -60,7 +70,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts contain none and stay; rows are judged one by one,
     with an id or without; an empty benchmark drops nothing.
     """
-    small_batches(spark)
+    bounded_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -70,6 +80,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have their end id alone; equal lengths go by id, rows
     alike in both by a hash; every row is in one batch.
     """
+    bounded_batches(spark)
     return packing.pack_texts(docs, tokenizer_path(), with_text=True, remember=REMEMBERED_PARTS)
 
 
