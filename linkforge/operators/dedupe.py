@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkforge.functions.chars import byte_ids
 from linkforge.functions.strsim import jaro_winkler, similarity_vector
 from linkforge.functions.vectors import normalize
-from linkforge.operators import corpus, svd, tfidf
+from linkforge.operators import block_svd, corpus, svd, tfidf
 from linkforge.operators.knn import edges, exact_knn
 from linkforge.operators.minhash import lsh_match_lists
 from linkforge.operators.neighbour_graph import nn_descent
@@ -22,11 +22,15 @@ from linkforge.operators.transformer import CharTransformer, embed_texts
 from linkforge.plans.strategy import ANCHOR_PARTS, ANCHOR_SHAPE, VECTOR_PARTS, IvfShape, choose
 
 
-def compressed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int | None = None) -> tuple[DataFrame, tfidf.TfidfModel, svd.SvdModel]:
+#: Terms up to which the decomposition's block stands on one machine; beyond, it is a table.
+BLOCK_TERMS = 90_000
+
+
+def compressed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int | None = None) -> tuple[DataFrame, tfidf.TfidfModel, svd.SvdModel | block_svd.BlockSvd]:
     """(id, vector) by TF-IDF and SVD, and the models that embed further strings alike."""
     terms = tfidf.fit(df, id_col, text_col)
     weights = terms.transform(df, id_col, text_col)
-    model = svd.fit(weights, dim)
+    model = svd.fit(weights, dim) if terms.idf.count() <= BLOCK_TERMS else block_svd.fit_blocks(written(weights), dim)
     return model.transform(weights), terms, model
 
 

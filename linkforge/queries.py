@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from linkforge.functions import chars, fuzz, strsim, text, vectors
 from linkforge.operators import block_max, corpus, dedupe, evaluate, knn, minhash, neighbour_graph, product_quantiser, pruned_knn, string_join, tfidf
-from linkforge.operators.scratch import written
+from linkforge.operators.band_index import BandIndex
+from linkforge.operators.scratch import shared_folder, written
 from linkforge.operators.transformer import CharTransformer, Shape
 from linkforge.sources import address
 
@@ -444,6 +446,15 @@ def eval_search_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
 
 
+@query(f"WITH {_FUZZED}, {_banded('x', 'fuzzed')}, {_banded('y', 'names')} SELECT f.id AS orig_idxs, m.j AS match_idxs FROM fuzzed f LEFT JOIN (SELECT DISTINCT x.id AS i, y.id AS j FROM x JOIN y ON x.b = y.b AND x.bucket = y.bucket) m ON f.id = m.i")
+def lsh_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrupted names searched for in a kept index, made of the names with even ids and added to with the others."""
+    names = written(_names(spark, sf_dir))
+    index = BandIndex.create(names.filter("id % 2 = 0"), "id", "name", f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", _FULL_PERMS, _LEVEL)
+    index.insert(names.filter("id % 2 = 1"), "id", "name")
+    return index.search(_corrupted(spark, sf_dir), "id", "name")
+
+
 @query(f"""WITH {_DUPES}, {_banded('x', 'both_')}, hits AS (SELECT DISTINCT a.id AS i, b.id AS j FROM x a JOIN x b ON a.b = b.b AND a.bucket = b.bucket AND a.id <> b.id), m AS (SELECT count(*) AS pairs, coalesce(sum((i // 2 = j // 2)::INT), 0)::BIGINT AS matches FROM hits), g AS (SELECT count(*) AS n FROM names)
 SELECT pairs, matches, round(matches / pairs, 6) AS "precision", round(matches / n, 6) AS recall, round(matches / n, 6) AS pair_recall FROM m, g""")
 def eval_dedupe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
