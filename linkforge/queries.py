@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkforge.functions import chars, fuzz, strsim, text, vectors
+from linkforge.functions import chars, fuzz, strsim, table_functions, text, vectors
 from linkforge.operators import block_max, corpus, dedupe, evaluate, knn, minhash, neighbour_graph, product_quantiser, pruned_knn, string_join, tfidf
 from linkforge.operators.band_index import BandIndex
 from linkforge.operators.scratch import shared_folder, written
@@ -446,6 +446,26 @@ def eval_search_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
 
 
+@query(f"WITH {_NAMES}, {_banded('y', 'names')}, c AS (SELECT DISTINCT a.id AS i, b.id AS j FROM y a JOIN y b ON a.b = b.b AND a.bucket = b.bucket AND a.id < b.id) SELECT i AS orig_idxs, j AS match_idxs, round(jaro_winkler_similarity(x.name, z.name), 6) AS similarity FROM c JOIN names x ON x.id = i JOIN names z ON z.id = j WHERE jaro_winkler_similarity(x.name, z.name) >= 0.9")
+def sql_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that share a bucket and are similar, in SQL with the table functions."""
+    f = table_functions.register(spark)
+    return spark.sql(
+        f"""WITH b AS (SELECT * FROM {f["bands"]}(TABLE(SELECT id, name AS text FROM {{names}}))),
+        c AS (SELECT DISTINCT x.id AS orig_idxs, y.id AS match_idxs FROM b x JOIN b y ON x.band = y.band AND x.bucket = y.bucket AND x.id < y.id)
+        SELECT orig_idxs, match_idxs, round(score, 6) AS similarity FROM {f["pairs"]}(TABLE(
+          SELECT c.orig_idxs, c.match_idxs, p.name AS a, q.name AS b FROM c JOIN {{names}} p ON p.id = c.orig_idxs JOIN {{names}} q ON q.id = c.match_idxs))""",
+        names=written(_names(spark, sf_dir)),
+    )
+
+
+@query(f"WITH {_NAMES} SELECT id, unnest(range(1, length(name) - 2))::INT AS place, substr(name, unnest(range(1, length(name) - 2)), 4) AS shingle FROM names WHERE length(name) >= 4")
+def sql_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of names by a table function in SQL."""
+    f = table_functions.register(spark)
+    return spark.sql(f'SELECT n.id, s.place, s.shingle FROM {{names}} n, LATERAL {f["shingles"]}(n.name, 4) s', names=_names(spark, sf_dir))
+
+
 @query(f"WITH {_FUZZED}, {_banded('x', 'fuzzed')}, {_banded('y', 'names')} SELECT f.id AS orig_idxs, m.j AS match_idxs FROM fuzzed f LEFT JOIN (SELECT DISTINCT x.id AS i, y.id AS j FROM x JOIN y ON x.b = y.b AND x.bucket = y.bucket) m ON f.id = m.i")
 def lsh_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrupted names searched for in a kept index, made of the names with even ids and added to with the others."""
