@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkforge.operators.scratch import written
+
 SEPARATOR = "[SEP]"
 
 
@@ -62,7 +64,7 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.select("*", F.struct(*order).alias("_o")).repartitionByRange(parts, "_o").sortWithinPartitions("_o").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    ranged = ranged.persist()
+    ranged = written(ranged)  # so that a lost executor's rows are dealt as they were
     counts = dict(ranged.groupBy("_part").count().collect())
     before, total = {}, 0
     for k in range(parts):
@@ -101,7 +103,17 @@ def head(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.orderBy(id_col).limit(n)
 
 
-def running_mean(df: DataFrame, order_col: str, value_col: str, width: int = 499, run_col: str | None = None) -> DataFrame:
-    """The mean of the last ``width`` values at each step, of each run if a column tells runs apart; a run is one task's."""
-    within = Window.partitionBy(run_col) if run_col else Window.partitionBy()
-    return df.withColumn("mean", F.avg(value_col).over(within.orderBy(order_col).rowsBetween(-(width - 1), 0)))
+def running_mean(df: DataFrame, order_col: str, value_col: str, width: int = 499, run_col: str | None = None, block: int = 100_000) -> DataFrame:
+    """The mean of the last ``width`` values at each step, of each run if a column tells runs apart.
+
+    Rows are numbered in order and worked on in blocks, each with the last rows
+    of the one before, so no task has a whole run.
+    """
+    block = max(block, width)
+    keys = [F.col(c) for c in (run_col, order_col) if c]
+    rows = numbered(df, keys, "_place").withColumn("_block", F.expr(f"_place div {block}"))
+    # the rows that the next block's first ones look back on go there too
+    ends = F.col("_place") % block > block - width
+    both = rows.withColumn("_to", F.explode(F.when(ends, F.array("_block", F.col("_block") + 1)).otherwise(F.array("_block"))))
+    within = Window.partitionBy("_to", *([run_col] if run_col else [])).orderBy("_place").rowsBetween(-(width - 1), 0)
+    return both.withColumn("mean", F.avg(value_col).over(within)).filter("_to = _block").drop("_place", "_block", "_to")

@@ -108,8 +108,11 @@ def test_corpora(spark):
     assert corpus.sample_with_replacement(rows.limit(0), "id", 5).count() == 0
     steps = spark.createDataFrame([(i, float(i)) for i in range(20)], "step long, loss double")
     assert [r["mean"] for r in corpus.running_mean(steps, "step", "loss", 3).orderBy("step").collect()][-2:] == [17.0, 18.0]
+    for block in (3, 7):  # a block's first rows look back on the one before
+        assert {r["step"]: r["mean"] for r in corpus.running_mean(steps, "step", "loss", 3, block=block).collect()} == {i: np.mean(range(max(0, i - 2), i + 1)) for i in range(20)}
     two = steps.withColumn("run", F.col("step") % 2)
-    assert {r["step"]: r["mean"] for r in corpus.running_mean(two, "step", "loss", 2, "run").collect()}[19] == 18.0
+    for block in (100, 4):
+        assert {r["step"]: r["mean"] for r in corpus.running_mean(two, "step", "loss", 2, "run", block).collect()} == {i: float(max(i - 1, i % 2)) for i in range(20)}
 
 
 def test_addresses_from_texts(spark):
