@@ -20,6 +20,11 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
 
 
+def finite(df: DataFrame) -> DataFrame:
+    """Rows with a vector all of whose components are numbers and finite."""
+    return df.filter(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))))
+
+
 def lists_of(x: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column of a matrix's rows."""
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1), kind))

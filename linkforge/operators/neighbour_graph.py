@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkforge.operators.cells import finite
 from linkforge.operators.scratch import Tables
 
 #: Points of a bucket of the first graph, partitions into buckets, projections of each.
@@ -141,7 +142,7 @@ class NeighbourGraph:
 
 def _points(index: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors under the least id that has each, and the ids of each."""
-    rows = index.filter("id is not null and vector is not null and size(vector) > 0").select("id", "vector").withColumn("_h", F.xxhash64("vector"))
+    rows = finite(index.filter("id is not null").select("id", "vector")).withColumn("_h", F.xxhash64("vector"))
     points = tables.written(rows.groupBy("_h", "vector").agg(F.min("id").alias("rep")))
     p = points.select(F.col("_h").alias("_g"), F.col("vector").alias("_w"), "rep")
     members = tables.written(rows.join(p, (F.col("_h") == F.col("_g")) & (F.col("vector") == F.col("_w"))).select("rep", "id"))
@@ -155,7 +156,7 @@ def nn_descent(index: DataFrame, k: int = 10, width: int | None = None, sample:
     round meets ``sample`` of those whose neighbour it is, drawn by hash: a
     point that is near to very many makes no list longer.  It ends when a round
     brings fewer than ``delta`` of all edges, or after ``rounds``.  Rows without
-    an id or a vector have no neighbours; an empty table gives an empty graph.
+    an id or a vector of finite components have no neighbours; an empty table gives an empty graph.
     """
     spark = index.sparkSession
     tables = Tables(spark)
@@ -213,7 +214,7 @@ def graph_search(graph: NeighbourGraph, queries: DataFrame, k: int = 10, width:
     """
     tables = Tables(queries.sparkSession)
     width = width or max(graph.width, 3 * k)
-    asked = tables.written(queries.filter("id is not null and vector is not null and size(vector) > 0").select("id", F.col("vector").alias("x")))
+    asked = tables.written(finite(queries.filter("id is not null").select("id", "vector")).withColumnRenamed("vector", "x"))
     kinds = dict(asked.dtypes)["id"], dict(graph.points.dtypes)["id"]
     held = graph.points.select(F.col("id").alias("nb"), F.col("vector").alias("y"))
     filed = graph.buckets.filed(graph.points).select("bucket", F.col("id").alias("nb"))

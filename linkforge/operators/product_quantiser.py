@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkforge.operators.cells import cell_join, file_by_cell, rows_of, squares
+from linkforge.operators.cells import cell_join, file_by_cell, finite, rows_of, squares
 from linkforge.operators.knn import ivf_shape, kmeans, merged
 from linkforge.operators.scratch import Tables
 from linkforge.plans.strategy import IvfShape
@@ -87,7 +87,7 @@ def ivf_pq_knn(index: DataFrame, queries: DataFrame, k: int, parts: int = 8, sha
     ``codes`` can be kept and given again.
     """
     tables = Tables(index.sparkSession)
-    index, queries = (df.select("id", "vector").filter("vector is not null and size(vector) > 0") for df in (index, queries))
+    index, queries = (finite(df.select("id", "vector")) for df in (index, queries))
     kinds = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
     schema = f"orig_idxs {kinds[0]}, match_idxs {kinds[1]}, distance double"
     quantiser = quantiser or fit_quantiser(index, parts, shape, k, recall)

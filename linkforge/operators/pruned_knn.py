@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.operators.cells import cell_join, file_by_cell, rows_of, squares
+from linkforge.operators.cells import cell_join, file_by_cell, finite, rows_of, squares
 from linkforge.operators.knn import _prepared, block_neighbours, kmeans, merged
 from linkforge.operators.scratch import Tables
 
@@ -43,11 +43,12 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
 
     As many pivots as the root of the rows, 1024 at most, are fitted on a sample
     of 20,000 rows at most; which they are changes what is compared, not what is
-    found.  Vectors must have one length.  Rows without a vector are left out.
+    found.  Vectors must have one length.  Rows without a vector, or with one that
+    holds a null or a component that isn't finite, are left out.
     """
     spark = index.sparkSession
     tables = Tables(spark)
-    index, queries = (df.select("id", "vector").filter("vector is not null") for df in (index, queries))
+    index, queries = (finite(df.select("id", "vector")) for df in (index, queries))
     kinds = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
     schema = f"orig_idxs {kinds[0]}, match_idxs {kinds[1]}, distance double"
     n_rows, n_queries = index.count(), queries.count()

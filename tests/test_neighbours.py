@@ -52,11 +52,13 @@ def test_nn_descent(spark, kind):
 def test_graph_of_copies_and_odd_rows(spark):
     """A vector that half of all rows have is one point; each of its rows has the least ids of them."""
     x = np.concatenate([CLUSTERED[:60], CLUSTERED[:1].repeat(60, axis=0)])
-    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)] + [(None, [0.0] * 12), (500, None), (501, [])]
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)] + [(None, [0.0] * 12), (500, None), (501, []), (502, [float("nan")] * 12), (503, [None, *[1.0] * 11])]
     v = spark.createDataFrame(rows, "id long, vector array<double>")
     graph = neighbour_graph.nn_descent(v, 5)
     assert graph.points.count() == 60 and graph.members.count() == 120
     assert {(a, b) for a, b in found(graph.neighbours(5)) if a in (0, 119)} == {(a, b) for a in (0, 119) for b in (0, 60, 61, 62, 63)}
+    clean = v.filter("id < 500")
+    assert found(pruned_knn.pruned_knn(v.filter("id is not null"), v.filter("id is not null"), 5)) == found(exact_knn(clean, clean, 5))
     few = neighbour_graph.nn_descent(v.filter("id < 2"), 5)
     assert found(few.neighbours(5)) == {(0, 0), (0, 1), (1, 0), (1, 1)}
     none = neighbour_graph.nn_descent(v.limit(0), 5)
