@@ -512,14 +512,26 @@ def eval_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_FUZZED}, anchors AS (SELECT name, row_number() OVER (ORDER BY md5(concat_ws('|', '0', id::VARCHAR)), id) AS k FROM names ORDER BY k LIMIT 16),
 held AS (SELECT n.id, list(jaro_winkler_similarity(n.name, a.name) ORDER BY k) AS v FROM names n CROSS JOIN anchors a GROUP BY n.id), asked AS (SELECT n.id, list(jaro_winkler_similarity(n.name, a.name) ORDER BY k) AS v FROM fuzzed n CROSS JOIN anchors a GROUP BY n.id),
 d AS (SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v) * list_distance(a.v, b.v), 6) AS d FROM asked a CROSS JOIN held b),
-k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10), hits AS (SELECT f.id AS i, k.j FROM fuzzed f JOIN k ON f.id = k.i WHERE d < 0.08) {_SEARCHED}""")
+k AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10), hits AS (SELECT f.id AS i, k.j FROM fuzzed f LEFT JOIN k ON f.id = k.i AND d < 0.08) {_SEARCHED}""")
 def eval_search_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrupted names searched for among all names by their similarities to the same anchors, squared distances below the cutoff."""
-    names = _names(spark, sf_dir)
-    held, chosen = dedupe.anchor_vectors(names, "id", "name", 16)
-    asked = _corrupted(spark, sf_dir).select("id", strsim.similarity_vector(chosen)(F.col("name")).alias("vector"))
-    found = knn.knn(held, asked, 10, "l2sq", "exact").filter("distance < 0.08")
-    return evaluate.search_metrics(evaluate.score_pairs(found, names.withColumn("label", F.col("id"))))
+    return _anchor_search(spark, sf_dir, 16, 0.08)
+
+
+def _anchor_search(spark: SparkSession, sf_dir: str, anchors: int, cutoff: float) -> DataFrame:
+    names, corrupted = written(_names(spark, sf_dir)), _corrupted(spark, sf_dir)
+    held, chosen = dedupe.anchor_vectors(names, "id", "name", anchors)
+    asked = corrupted.select("id", strsim.similarity_vector(chosen)(F.col("name")).alias("vector"))
+    found = knn.knn(written(held), written(asked), 10, "l2sq", "exact").filter(F.col("distance") < cutoff)
+    # a name without a match below the cutoff is one that wasn't found
+    every = corrupted.select(F.col("id").alias("orig_idxs")).join(found, "orig_idxs", "left")
+    return evaluate.search_metrics(evaluate.score_pairs(every, names.withColumn("label", F.col("id"))))
+
+
+@query(ORACLES["eval_search_anchors"].replace("LIMIT 16", "LIMIT 128").replace("d < 0.08", "d < 0.3"))
+def eval_search_anchors_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with as many anchors as the operator takes by default, and the wider cutoff that names need with them."""
+    return _anchor_search(spark, sf_dir, 128, 0.3)
 
 
 _BAGS = "bag{0} AS (SELECT id, unnest(list_append(list_transform(range(0, octet_length(encode(name))), lambda i: ('0x' || substr(hex(encode(name)), i * 2 + 1, 2))::INT + 3), 1)) AS t FROM {1}), mean{0} AS (SELECT id, j, avg(((t * 31 + j * 17) % 101) / 101) AS x FROM (SELECT id, t, unnest(range(0, 8)) AS j FROM bag{0}) GROUP BY 1, 2), vec{0} AS (SELECT id, list(x ORDER BY j) AS v FROM mean{0} GROUP BY id)"
