@@ -4,7 +4,9 @@ Index rows are filed under the nearest of a set of pivots, with their distance
 to it.  A query is compared with its own cell first; the k-th distance found
 there bounds what it is looking for, and of the other cells only those go on
 whose rows can be as near: by the ring of distances around their pivot, or by
-the plane between their pivot and the query's.
+the plane between their pivot and the query's.  Small cells that lie together
+are sent as one block, to which a query goes once, so where nothing can be left
+out no more is moved than by comparing all with all.
 """
 
 from __future__ import annotations
@@ -17,17 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.operators.cells import cell_join, file_by_cell, finite, rows_of, squares
+from linkforge.operators.cells import BLOCK_ROWS, cell_join, file_by_cell, finite, rows_of, squares
 from linkforge.operators.knn import _prepared, block_neighbours, kmeans, merged
 from linkforge.operators.scratch import Tables
 
 #: Most pivots, and rows that they are fitted on.
 PIVOTS, SAMPLE = 1024, 20_000
+#: From this share of a block's pairs on it is compared whole.
+WHOLE_SHARE = 0.3
 
 
 @dataclass
 class PrunedNeighbours:
-    """``rows``: (orig_idxs, match_idxs, distance); ``compared``: (cell, queries, rows) of the cells looked into; ``all_pairs``: what a join without pruning compares."""
+    """``rows``: (orig_idxs, match_idxs, distance); ``compared``: (pairs) of each query and block looked into; ``all_pairs``: what a join without pruning compares."""
 
     rows: DataFrame
     compared: DataFrame
@@ -35,7 +39,7 @@ class PrunedNeighbours:
 
     def share(self) -> float:
         """Pairs compared by pairs there are."""
-        return (self.compared.agg(F.sum(F.col("queries") * F.col("rows"))).first()[0] or 0) / max(1, self.all_pairs)
+        return (self.compared.agg(F.sum("pairs")).first()[0] or 0) / max(1, self.all_pairs)
 
 
 def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", pivots: int | None = None, seed: int = 0) -> PrunedNeighbours:
@@ -55,7 +59,7 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
     sample = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     if not len(sample):
         none = spark.createDataFrame([], schema)
-        return PrunedNeighbours(none, spark.createDataFrame([], "cell int, queries long, rows long"), 0)
+        return PrunedNeighbours(none, spark.createDataFrame([], "pairs long"), 0)
     x = _prepared(rows_of(sample["vector"]), metric)
     centres = kmeans(x, min(len(x), pivots or max(1, min(PIVOTS, int(n_rows**0.5)))), seed=seed)
 
@@ -78,7 +82,12 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
     rings = {r["cell"]: r for r in filed.select("cell", "vector").mapInArrow(away, "cell int, d double").groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most")).collect()}
     cells = np.array(sorted(rings))
     count, least, most = (np.array([rings[c][name] for c in cells], float) for name in ("n", "least", "most"))
-    held = spark.sparkContext.broadcast((cells, centres[cells], count, least, most))
+    # cells along the direction in which the pivots differ most, cut into blocks by their rows
+    axis = np.linalg.svd(centres[cells] - centres[cells].mean(axis=0), full_matrices=False)[2][0]
+    order = np.argsort(centres[cells] @ axis, kind="stable")
+    block = np.empty(len(cells), np.int64)
+    block[order] = (np.cumsum(count[order]) - count[order]) // BLOCK_ROWS
+    held = spark.sparkContext.broadcast((cells, centres[cells], count, least, most, block))
     full = np.flatnonzero(count >= k)
     # what is far less than six places at these lengths, for the digits that distances lose
     slack = 1e-9 * (1 + float(np.abs(centres).max()))
@@ -98,15 +107,26 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
     bound = home.groupBy("orig_idxs").agg(F.max("distance").alias("bound"), F.count("*").alias("_n"))
     bounded = asked.join(bound, asked["id"] == bound["orig_idxs"], "left").select("cell", "id", "vector", F.when(F.col("_n") >= k, F.col("bound")).alias("bound"))
 
+    def lowest(q: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """What no row of some cells is nearer to each query than."""
+        _, own_centres, _, inner, outer, _ = held.value
+        square = squares(q, own_centres)
+        d = np.sqrt(square[:, some])
+        nearest = square.argmin(axis=1)
+        apart = np.sqrt(squares(own_centres[nearest], own_centres[some]))
+        plane = np.where(apart > 0, (square[:, some] - np.take_along_axis(square, nearest[:, None], axis=1)) / np.maximum(2 * apart, 1e-300), 0)
+        return np.maximum(np.maximum(d - outer[some], inner[some] - d), plane) - slack - 1e-7 * d
+
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_cells, own_centres, own_count, inner, outer = held.value
-        between = np.sqrt(squares(own_centres, own_centres))
+        own_cells, own_centres, own_count, inner, outer, block = held.value
+        blocks = np.unique(block)
+        by_block = np.argsort(block, kind="stable")
+        starts = np.searchsorted(block[by_block], blocks)
         for batch in batches:
             for a in range(0, len(batch), 1024):
                 part = batch.slice(a, 1024)
                 q, home_cell = rows_of(part.column("vector")), part.column("cell").to_numpy()
-                square = squares(q, own_centres)
-                d = np.sqrt(square)
+                d = np.sqrt(squares(q, own_centres))
                 bound = part.column("bound").to_numpy(zero_copy_only=False).astype(float)
                 # a rounded distance, made one that none as near goes beyond
                 square_bound = (bound + 2e-6) ** 2 if metric == "l2" else (bound + 2e-6) * (2 if metric == "cosine" else 1)
@@ -115,18 +135,37 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
                     order = np.argsort(d[r] + outer)
                     enough = int(np.searchsorted(np.cumsum(own_count[order]), k))
                     reach[r] = np.inf if enough == len(order) else (d[r] + outer)[order[enough]] + 1e-6
-                nearest = d.argmin(axis=1)
-                apart = between[nearest]
-                plane = np.where(apart > 0, (square - np.take_along_axis(square, nearest[:, None], axis=1)) / np.maximum(2 * apart, 1e-300), 0)
-                low = np.maximum(np.maximum(d - outer, inner - d), plane) - slack - 1e-7 * d
-                row, cell = np.nonzero((low <= reach[:, None]) & (own_cells[None, :] != home_cell[:, None]))
+                open_ = (lowest(q, np.arange(len(own_cells))) <= reach[:, None]) & (own_cells[None, :] != home_cell[:, None])
+                pairs = np.add.reduceat((open_ * own_count)[:, by_block], starts, axis=1)
+                row, at = np.nonzero(pairs)
                 of = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(own_cells[cell].astype(np.int32)), part.column("id").take(of), part.column("vector").take(of)], ["cell", "id", "vector"])
-
-    rest = tables.written(bounded.mapInArrow(further, f"cell int, id {kinds[0]}, vector {dict(asked.dtypes)['vector']}"))
-    found = home.unionByName(cell_join(rest, filed, compare, schema))
-    per = filed.groupBy("cell").agg(F.count("*").alias("rows"))
-    compared = asked.select("cell").unionByName(rest.select("cell")).groupBy("cell").agg(F.count("*").alias("queries")).join(F.broadcast(per), "cell").select("cell", "queries", "rows")
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[at].astype(np.int32)), part.column("id").take(of), part.column("vector").take(of), part.column("cell").take(of), pa.array(reach[row]), pa.array(pairs[row, at].astype(np.int64))], ["cell", "id", "vector", "home", "reach", "pairs"])
+
+    def in_block(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        """The rows of each cell of a block for the queries that they can be near to; the whole block if that is most of it."""
+        if not len(asked) or not len(rows):
+            return compare(asked, rows)
+        own_cells = held.value[0]
+        here, q = np.unique(rows["own"].to_numpy()), rows_of(asked["vector"])
+        low = lowest(q, np.searchsorted(own_cells, here))
+        open_ = (low <= asked["reach"].to_numpy()[:, None]) & (here[None, :] != asked["home"].to_numpy()[:, None])
+        if open_.mean() > WHOLE_SHARE:
+            return compare(asked, rows)
+        out = [compare(asked.filter(pa.array(open_[:, j])), rows.filter(pa.array(rows["own"].to_numpy() == c))) for j, c in enumerate(here.tolist()) if open_[:, j].any()]
+        if not out:
+            return compare(asked.slice(0, 0), rows)
+        found = pa.concat_tables(out).sort_by([("orig_idxs", "ascending"), ("distance", "ascending"), ("match_idxs", "ascending")])
+        of = found["orig_idxs"].combine_chunks().dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        return found.filter(pa.array(np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))) < k))
+
+    blocks_of = F.broadcast(spark.createDataFrame([(int(c), int(g)) for c, g in zip(cells, block)], "own int, block int"))
+    in_blocks = filed.withColumnRenamed("cell", "own").join(blocks_of, "own").select(F.col("block").alias("cell"), "id", "vector", "own")
+    rest = tables.written(bounded.mapInArrow(further, f"cell int, id {kinds[0]}, vector {dict(asked.dtypes)['vector']}, home int, reach double, pairs long"))
+    # a block compared whole gives a query's own cell again
+    found = home.unionByName(cell_join(rest, in_blocks, in_block, schema)).distinct()
+    per = filed.groupBy("cell").agg(F.count("*").alias("pairs"))
+    compared = asked.select("cell").join(F.broadcast(per), "cell").select("pairs").unionByName(rest.select("pairs"))
     return PrunedNeighbours(merged(found, k), compared, n_rows * n_queries)
 
 
