@@ -67,3 +67,71 @@ def cell_join(queries: DataFrame, index: DataFrame, f: Callable[[pa.Table, pa.Ta
 
     left, right = dealt(queries.toDF(*queries.columns), "_q", "_nq", "_i", "_ni"), dealt(index.toDF(*index.columns), "_i", "_ni", "_q", "_nq")
     return left.groupBy("cell", "_q", "_i").cogroup(right.groupBy("cell", "_q", "_i")).applyInArrow(f, schema)
+
+
+def block_of_cells(centres: np.ndarray, count: np.ndarray, block_rows: int = BLOCK_ROWS) -> np.ndarray:
+    """A block for each cell: cells along the direction in which their centres differ most, cut by their rows."""
+    axis = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0]
+    order = np.argsort(centres @ axis, kind="stable")
+    block = np.empty(len(centres), np.int64)
+    block[order] = (np.cumsum(count[order]) - count[order]) // block_rows
+    return block
+
+
+def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes: int, f: Callable[[pa.Table, pa.Table, int], pa.Table], schema: str, keep: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``f`` of queries (id, vector) and the rows of each of their nearest cells, from ``filed`` (cell, id, ...).
+
+    Small cells that lie together are one block, to which a query goes once
+    with the cells it looks into, so what is moved grows with the blocks and
+    not with the cells.  Of what ``f`` returns (orig_idxs, match_idxs,
+    distance) a block sends each query's ``keep`` nearest on.
+    """
+    spark, kinds, m = queries.sparkSession, dict(queries.dtypes), min(probes, len(centres))
+    count = np.zeros(len(centres), np.int64)
+    for r in filed.groupBy("cell").count().collect():
+        count[r["cell"]] = r["count"]
+    block = block_of_cells(centres, count, block_rows)
+    sent = spark.sparkContext.broadcast((centres, block))
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_centres, own_block = sent.value
+        for batch in batches:
+            if len(batch):
+                d = squares(rows_of(batch.column("vector")), own_centres)
+                near = np.argpartition(d, m - 1, axis=1)[:, :m]
+                row, cell = np.repeat(np.arange(len(batch)), m), near.reshape(-1)
+                order = np.lexsort((cell, own_block[cell], row))
+                row, cell = row[order], cell[order]
+                at = own_block[cell]
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                of = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), batch.column("id").take(of), batch.column("vector").take(of), lists], ["cell", "id", "vector", "cells"])
+
+    asked = queries.select("id", "vector").mapInArrow(probed, f"cell int, id {kinds['id']}, vector {kinds['vector']}, cells array<int>")
+    blocks = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(block)], "own int, _block int"))
+    held = filed.withColumnRenamed("cell", "own").join(blocks, "own").withColumnRenamed("_block", "cell")
+
+    def g(some: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(some) or not len(rows):
+            return f(some, rows, 0)
+        lists, own = some["cells"].combine_chunks(), rows["own"].to_numpy()
+        query, cell = np.repeat(np.arange(len(some)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        out = [f(some.slice(0, 0), rows, 0)]
+        for c in np.unique(own).tolist():
+            here = query[cell == c]
+            if len(here):
+                out.append(f(some.take(pa.array(here)), rows.filter(pa.array(own == c)), c))
+        return nearest_of(pa.concat_tables(out), keep)
+
+    return cell_join(asked, held, g, schema, block_rows)
+
+
+def nearest_of(found: pa.Table, k: int) -> pa.Table:
+    """The k rows of least distance of each query, ties by match."""
+    found = found.sort_by([("orig_idxs", "ascending"), ("distance", "ascending"), ("match_idxs", "ascending")])
+    if not len(found):
+        return found
+    of = found["orig_idxs"].combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    return found.filter(pa.array(np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))) < k))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkforge.operators.cells import cell_join, file_by_cell
+from linkforge.operators.cells import file_by_cell, probe_join
 from linkforge.operators.grid import grid
 from linkforge.plans.strategy import EXACT_BYTES, IvfShape, choose
 
@@ -135,9 +135,8 @@ def ivf_knn(index: DataFrame, queries: DataFrame, k: int, shape: IvfShape | None
     else:
         centres, probes = kmeans(x, shape.cells), shape.probes
     near = file_by_cell(index, centres, 1)
-    asked = file_by_cell(queries, centres, probes)
     kinds = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
-    found = cell_join(asked, near, lambda q, x: block_neighbours(q, x, k, metric), f"orig_idxs {kinds[0]}, match_idxs {kinds[1]}, distance double")
+    found = probe_join(queries, near, centres, probes, lambda q, x, _: block_neighbours(q, x, k, metric), f"orig_idxs {kinds[0]}, match_idxs {kinds[1]}, distance double", k)
     return merged(found, k)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkforge.operators.cells import cell_join, file_by_cell, finite, rows_of, squares
+from linkforge.operators.cells import finite, probe_join, rows_of, squares
 from linkforge.operators.knn import ivf_shape, kmeans, merged
 from linkforge.operators.scratch import Tables
 from linkforge.plans.strategy import IvfShape
@@ -98,11 +98,11 @@ def ivf_pq_knn(index: DataFrame, queries: DataFrame, k: int, parts: int = 8, sha
     padded = quantiser.centres.shape[1] - (index.select(F.size("vector")).first() or [quantiser.centres.shape[1]])[0]
     asked = queries.select("id", F.concat(F.col("vector").cast("array<double>"), F.array_repeat(F.lit(0.0), padded)).alias("vector"))
 
-    def f(asked: pa.Table, held: pa.Table) -> pa.Table:
+    def f(asked: pa.Table, held: pa.Table, cell: int) -> pa.Table:
         none = np.zeros(0, np.int64)
         left, right, far = [none], [none], [np.zeros(0)]
         if len(asked) and len(held):
-            own, cell = sent.value, asked["cell"][0].as_py()
+            own = sent.value
             table = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(len(held), -1)
             q, top = rows_of(asked["vector"]), min(most, len(held))
             for a in range(0, len(q), 256):
@@ -114,7 +114,7 @@ def ivf_pq_knn(index: DataFrame, queries: DataFrame, k: int, parts: int = 8, sha
         left, right = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
         return pa.Table.from_arrays([asked["id"].take(left).combine_chunks(), held["id"].take(right).combine_chunks(), pa.array(np.concatenate(far))], ["orig_idxs", "match_idxs", "distance"])
 
-    rough = cell_join(file_by_cell(asked, quantiser.centres, quantiser.probes), codes, f, schema)
+    rough = probe_join(asked, codes, quantiser.centres, quantiser.probes, f, schema, most)
     rank = F.row_number().over(Window.partitionBy("orig_idxs").orderBy("distance", "match_idxs"))
     near = rough.withColumn("_r", rank).filter(F.col("_r") <= most).select("orig_idxs", "match_idxs")
     both = near.join(queries.select(F.col("id").alias("orig_idxs"), F.col("vector").alias("x")), "orig_idxs").join(index.select(F.col("id").alias("match_idxs"), F.col("vector").alias("y")), "match_idxs")

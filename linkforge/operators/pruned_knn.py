@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.operators.cells import BLOCK_ROWS, cell_join, file_by_cell, finite, rows_of, squares
+from linkforge.operators.cells import block_of_cells, cell_join, file_by_cell, finite, nearest_of, rows_of, squares
 from linkforge.operators.knn import _prepared, block_neighbours, kmeans, merged
 from linkforge.operators.scratch import Tables
 
@@ -82,11 +82,7 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
     rings = {r["cell"]: r for r in filed.select("cell", "vector").mapInArrow(away, "cell int, d double").groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most")).collect()}
     cells = np.array(sorted(rings))
     count, least, most = (np.array([rings[c][name] for c in cells], float) for name in ("n", "least", "most"))
-    # cells along the direction in which the pivots differ most, cut into blocks by their rows
-    axis = np.linalg.svd(centres[cells] - centres[cells].mean(axis=0), full_matrices=False)[2][0]
-    order = np.argsort(centres[cells] @ axis, kind="stable")
-    block = np.empty(len(cells), np.int64)
-    block[order] = (np.cumsum(count[order]) - count[order]) // BLOCK_ROWS
+    block = block_of_cells(centres[cells], count)
     held = spark.sparkContext.broadcast((cells, centres[cells], count, least, most, block))
     full = np.flatnonzero(count >= k)
     # what is far less than six places at these lengths, for the digits that distances lose
@@ -154,10 +150,7 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
         out = [compare(asked.filter(pa.array(open_[:, j])), rows.filter(pa.array(rows["own"].to_numpy() == c))) for j, c in enumerate(here.tolist()) if open_[:, j].any()]
         if not out:
             return compare(asked.slice(0, 0), rows)
-        found = pa.concat_tables(out).sort_by([("orig_idxs", "ascending"), ("distance", "ascending"), ("match_idxs", "ascending")])
-        of = found["orig_idxs"].combine_chunks().dictionary_encode().indices.to_numpy()
-        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        return found.filter(pa.array(np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))) < k))
+        return nearest_of(pa.concat_tables(out), k)
 
     blocks_of = F.broadcast(spark.createDataFrame([(int(c), int(g)) for c, g in zip(cells, block)], "own int, block int"))
     in_blocks = filed.withColumnRenamed("cell", "own").join(blocks_of, "own").select(F.col("block").alias("cell"), "id", "vector", "own")
