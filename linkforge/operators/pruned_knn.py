@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +136,12 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
                 pairs = np.add.reduceat((open_ * own_count)[:, by_block], starts, axis=1)
                 row, at = np.nonzero(pairs)
                 of = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(blocks[at].astype(np.int32)), part.column("id").take(of), part.column("vector").take(of), part.column("cell").take(of), pa.array(reach[row]), pa.array(pairs[row, at].astype(np.int64))], ["cell", "id", "vector", "home", "reach", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[at].astype(np.int32)), part.column("id").take(of), part.column("vector").take(of), part.column("cell").take(of), pa.array(reach[row]), part.column("bound").take(of), pa.array(pairs[row, at].astype(np.int64))], ["cell", "id", "vector", "home", "reach", "bound", "pairs"])
+
+    def nearer(found: pa.Table, asked: pa.Table) -> pa.Table:
+        """Without the rows that are farther than the k-th known already."""
+        bound = asked["bound"].take(pc.index_in(found["orig_idxs"], asked["id"])).combine_chunks()
+        return found.filter(pc.fill_null(pc.less_equal(found["distance"].combine_chunks(), bound), True))
 
     def in_block(asked: pa.Table, rows: pa.Table) -> pa.Table:
         """The rows of each cell of a block for the queries that they can be near to; the whole block if that is most of it."""
@@ -146,15 +152,15 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
         low = lowest(q, np.searchsorted(own_cells, here))
         open_ = (low <= asked["reach"].to_numpy()[:, None]) & (here[None, :] != asked["home"].to_numpy()[:, None])
         if open_.mean() > WHOLE_SHARE:
-            return compare(asked, rows)
+            return nearer(compare(asked, rows), asked)
         out = [compare(asked.filter(pa.array(open_[:, j])), rows.filter(pa.array(rows["own"].to_numpy() == c))) for j, c in enumerate(here.tolist()) if open_[:, j].any()]
         if not out:
             return compare(asked.slice(0, 0), rows)
-        return nearest_of(pa.concat_tables(out), k)
+        return nearest_of(nearer(pa.concat_tables(out), asked), k)
 
     blocks_of = F.broadcast(spark.createDataFrame([(int(c), int(g)) for c, g in zip(cells, block)], "own int, block int"))
     in_blocks = filed.withColumnRenamed("cell", "own").join(blocks_of, "own").select(F.col("block").alias("cell"), "id", "vector", "own")
-    rest = tables.written(bounded.mapInArrow(further, f"cell int, id {kinds[0]}, vector {dict(asked.dtypes)['vector']}, home int, reach double, pairs long"))
+    rest = tables.written(bounded.mapInArrow(further, f"cell int, id {kinds[0]}, vector {dict(asked.dtypes)['vector']}, home int, reach double, bound double, pairs long"))
     # a block compared whole gives a query's own cell again
     found = home.unionByName(cell_join(rest, in_blocks, in_block, schema)).distinct()
     per = filed.groupBy("cell").agg(F.count("*").alias("pairs"))
