@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of either side of a cell that one task compares.
 BLOCK_ROWS = 8192
+#: Rows that a block's cells find before each query's nearest are kept.
+FOUND_ROWS = 2_000_000
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -115,14 +117,19 @@ def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes
     def g(some: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(some) or not len(rows):
             return f(some, rows, 0)
-        lists, own = some["cells"].combine_chunks(), rows["own"].to_numpy()
-        query, cell = np.repeat(np.arange(len(some)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        own = rows["own"].to_numpy()
+        of_cell = {c: rows.filter(pa.array(own == c)) for c in np.unique(own).tolist()}
         out = [f(some.slice(0, 0), rows, 0)]
-        for c in np.unique(own).tolist():
-            here = query[cell == c]
-            if len(here):
-                out.append(f(some.take(pa.array(here)), rows.filter(pa.array(own == c)), c))
-        return nearest_of(pa.concat_tables(out), keep)
+        # so many queries at a time as keep what the cells find for them bounded
+        step = max(1, FOUND_ROWS // (keep * int(some["cells"].combine_chunks().value_lengths().to_numpy().max())))
+        for a in range(0, len(some), step):
+            part = some.slice(a, step).combine_chunks()
+            lists = part["cells"].combine_chunks()
+            query, cell = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            found = [f(part.take(pa.array(query[cell == c])), held, c) for c, held in of_cell.items() if (cell == c).any()]
+            if found:
+                out.append(nearest_of(pa.concat_tables(found), keep))
+        return pa.concat_tables(out)
 
     return cell_join(asked, held, g, schema, block_rows)
 
