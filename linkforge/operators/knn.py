@@ -12,6 +12,8 @@ from linkforge.operators.grid import grid
 from linkforge.plans.strategy import EXACT_BYTES, IvfShape, choose
 
 METRICS = ("l2", "l2sq", "cosine")
+#: Distances that a task has in memory at a time.
+DISTANCES = 1 << 21
 
 
 def _prepared(x: np.ndarray, metric: str) -> np.ndarray:
@@ -41,8 +43,10 @@ def block_neighbours(asked: pa.Table, held: pa.Table, k: int, metric: str) -> pa
     ids, x = held["id"].to_numpy(), _prepared(_matrix(held["vector"]), metric)
     norms = (x**2).sum(axis=1)
     q, own = _prepared(_matrix(asked["vector"]), metric), asked["id"].combine_chunks()
-    for a in range(0, len(q), 256):
-        part = q[a : a + 256]
+    # so many queries at a time as keep the table of distances small, however many rows are held
+    step = max(1, min(256, DISTANCES // len(ids)))
+    for a in range(0, len(q), step):
+        part = q[a : a + step]
         rough = part @ x.T
         rough *= -2
         rough += (part**2).sum(axis=1)[:, None]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Most bytes of an index block that is broadcast.
-EXACT_BYTES = 64 << 20
+#: Most bytes of a block of vectors that a task compares with another.
+EXACT_BYTES = 16 << 20
 #: Rows up to which a neighbour join is exact.
 EXACT_ROWS = 50_000
 
