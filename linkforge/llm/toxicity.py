@@ -1,29 +1,31 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 One model is estimated from toxic and one from ordinary labelled documents.
-Both count words by continuation: after how many different words a word stands,
-so what one document repeats counts once.  Counts lose an absolute discount,
-estimated from how many counts are 1 and 2; what the discount frees is shared
-out by the model of stems (a word's first letters), whose discount is shared
-out by the counts that both classes have in common.  An expression that neither
-class has met often gets the same probability from both, but for a constant,
-and doesn't count.
-
-A document's score compares the log-likelihoods, normalised by length, of the
-words where the toxic model leads most, so a long document doesn't dilute what
-it says; one rising scale turns the difference into a probability.
+Each has the probability of a word after the word before it: how often the pair
+stands in its documents, less an absolute discount, estimated from how many
+counts are 1 and 2.  What the discount frees is shared out by continuation:
+after how many different words a word stands.  What is freed there is shared
+out by the same model of stems (a word's first letters), whose discount is
+shared out by the counts that both classes have in common.  An expression that
+neither class has met often gets the same probability from both, but for a
+constant, and doesn't count.
+
+Most of a toxic text is ordinary, so its likelihood is that of the ordinary
+model with INTERPOLATION of the toxic one mixed in.  A document's score compares
+the two log-likelihoods of its whole text, normalised by its length; one rising
+scale turns the difference into a probability.
 
 Words go by 64-bit hashes, the upper half from the stem, and are counted
 exactly, from all labelled documents of the folds that are learnt from.  The
-model has a row for each word and stem that changes a score: those that one
-class has met more than CUT times.  It grows with the corpus, and what isn't in
+model has a row for each pair, context, word and stem that changes a score: those
+that one class has met more than CUT times.  It grows with the corpus, and what isn't in
 it is left to the backoff.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,11 @@ CUT = 3
 STEM_BYTES = 5
 #: The score's scale is fitted on fold 1, which the counts leave out, on at most so many documents.
 CALIBRATION_FOLD, CALIBRATION_DOCS = 1, 20_000
-#: Words of a document over which likelihoods are compared: those where the toxic model leads most.
+#: Share of the toxic model in a toxic text.
+INTERPOLATION = 0.01
+#: Words by which log-likelihoods are normalised: differences are those of so many.
+PER_WORDS = 100
+#: Words of ``lead``, those where the toxic model leads most.
 LEADING = 3
 THRESHOLD = 0.5
 
@@ -62,6 +68,10 @@ def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield before, w, words.bounds
 
 
+def pair_keys(before: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(before * _TURN + w)
+
+
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of the wanted keys in a table sorted by key, 0 for those that it doesn't have, and which it has."""
     if not len(keys):
@@ -77,6 +87,8 @@ class ToxicityModel:
 
     ``word``: log p_toxic(w) - log p_ordinary(w), less its constant for what is
     unknown to both; ``stem``: the same for a word that isn't in that table.
+    ``pair``: the same of p(w | before); ``context``: what stands before the
+    word's own ratio where the pair isn't in that table.
     """
 
     word_keys: np.ndarray
@@ -85,13 +97,28 @@ class ToxicityModel:
     stem: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    pair_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pair: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    context_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    context: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def ratios(self, w: np.ndarray) -> np.ndarray:
         known, met = _looked_up(self.word_keys, self.word, w)
         return np.where(met, known, _looked_up(self.stem_keys, self.stem, w >> _HALF)[0])
 
+    def conditional(self, before: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log p_toxic(w | before) - log p_ordinary(w | before) of each word."""
+        known, met = _looked_up(self.pair_keys, self.pair, pair_keys(before, w))
+        return np.where(met, known, _looked_up(self.context_keys, self.context, before)[0] + self.ratios(w))
+
+    def difference(self, before: np.ndarray, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each whole document as a toxic text less that as an ordinary one, by its length, in PER_WORDS words; 0 without words."""
+        toxic = np.log1p(INTERPOLATION * np.expm1(np.minimum(self.conditional(before, w), 50)))
+        doc, n = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), np.diff(bounds)
+        return PER_WORDS * np.bincount(doc, toxic, len(n)) / np.maximum(n, 1)
+
     def lead(self, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The mean of the LEADING highest ratios of each document, none below 0; words that a document lacks count as unknown ones, 0."""
+        """The mean of the LEADING highest ratios of each document, none below 0; words that a document lacks count as unknown ones, 0.  Shows what stands out, no part of a score."""
         ratios = self.ratios(w)
         some = np.flatnonzero(ratios > 0)
         doc, ratios = np.searchsorted(bounds, some, "right") - 1, ratios[some]
@@ -101,13 +128,12 @@ class ToxicityModel:
         top = np.arange(len(doc)) - first[doc] < LEADING
         return np.bincount(doc[top], ratios[top], len(bounds) - 1) / LEADING
 
-    def score(self, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.lead(w, bounds) + self.shift, -30, 30)))
+    def score(self, before: np.ndarray, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(before, w, bounds) + self.shift, -30, 30)))
 
 
 #: Pairs of words counted in a task before they are sent.
 HELD = 2_000_000
-_TOXIC, _ORDINARY = 1, 2
 
 
 def _sums(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -118,142 +144,191 @@ def _sums(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return keys[first], [np.add.reduceat(c[order], first) if len(first) else c for c in counts]
 
 
-def _distinct(before: np.ndarray, w: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of words, in the order of their hashes, and the classes that have each."""
+def _distinct(before: np.ndarray, w: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of words, in the order of their hashes, and how often each class has each."""
     order = np.lexsort((w, before))
     before, w = before[order], w[order]
     first = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (w[1:] != w[:-1])])) if len(w) else np.zeros(0, np.int64)
-    return before[first], w[first], np.bitwise_or.reduceat(classes[order], first) if len(first) else classes
+    return before[first], w[first], *[np.add.reduceat(c[order], first) if len(first) else c for c in (toxic, ordinary)]
 
 
 # Pairs and counts are sent by the thousand, packed: half as much is shuffled as by rows.
 
-_BLOCKS = "part int, n long, block binary"
+_BLOCKS = "part int, what int, n long, block binary"
+#: What blocks hold, and their columns.
+_PAIR, _CONTEXT, _WORD, _COUNTED = range(4)
+_KINDS = {_PAIR: (np.uint64, np.uint64, np.int32, np.int32), _CONTEXT: (np.uint64, np.int64, np.int64), _WORD: (np.uint64, np.int64, np.int64, np.int64), _COUNTED: (np.int64,) * 4}
 
 
 def _packed(*columns: np.ndarray) -> bytes:
     return pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], *kinds: type) -> list[np.ndarray]:
-    """The columns of all blocks of a partition."""
-    got: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
-    width = sum(np.dtype(k).itemsize for k in kinds)
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
+    """For each thing that blocks hold the columns of all its blocks of a partition."""
+    got = {what: [[np.zeros(0, k)] for k in kinds] for what, kinds in _KINDS.items()}
     for batch in batches:
-        for n, block in zip(batch.column("n").to_pylist(), batch.column("block").to_pylist()):
+        for what, n, block in zip(*(batch.column(c).to_pylist() for c in ("what", "n", "block"))):
+            width = sum(np.dtype(k).itemsize for k in _KINDS[what])
             data, at = pa.decompress(block, decompressed_size=n * width, codec="zstd", asbytes=True), 0
-            for column, k in zip(got, kinds):
+            for column, k in zip(got[what], _KINDS[what]):
                 column.append(np.frombuffer(data, k, n, at))
                 at += n * np.dtype(k).itemsize
-    return [np.concatenate(c) for c in got]
+    return {what: [np.concatenate(c) for c in columns] for what, columns in got.items()}
 
 
-def _dealt(part: np.ndarray, n_parts: int, *columns: np.ndarray) -> pa.RecordBatch:
+def _dealt(what: int, part: np.ndarray, n_parts: int, *columns: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(n_parts + 1))
-    rows = [(p, int(b - a), _packed(*[c[order[a:b]] for c in columns])) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-    columns = list(zip(*rows)) or [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "block"])
+    columns = [c.astype(k, copy=False)[order] for c, k in zip(columns, _KINDS[what])]
+    rows = [(p, what, int(b - a), _packed(*[c[a:b] for c in columns])) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+    columns = list(zip(*rows)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["part", "what", "n", "block"])
 
 
 def _pairs(n_parts: int):
-    """Distinct pairs of words and the classes that have them, a stretch of the documents at a time."""
+    """Distinct pairs of words and how often each class has them, and the same of the first words alone, a stretch of the documents at a time."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def sent() -> pa.RecordBatch:
-            before, w, classes = held[0]
-            return _dealt((mix64(before * _TURN + w) % np.uint64(n_parts)).astype(np.int64), n_parts, before, w, classes)
+        def sent() -> Iterator[pa.RecordBatch]:
+            before, w, toxic, ordinary = held[0]
+            yield _dealt(_PAIR, (pair_keys(before, w) % np.uint64(n_parts)).astype(np.int64), n_parts, before, w, toxic, ordinary)
+            first, counts = _sums(before, toxic, ordinary)
+            yield _dealt(_CONTEXT, (mix64(first) % np.uint64(n_parts)).astype(np.int64), n_parts, first, *counts)
 
         for batch in batches:
             label, at = batch.column("label").to_numpy(), 0
             for before, w, bounds in tokens(batch.column("_text")):
                 k = len(bounds) - 1
-                classes = np.repeat(np.where(label[at : at + k] == 1, _TOXIC, _ORDINARY), np.diff(bounds)).astype(np.uint8)
+                toxic = np.repeat(label[at : at + k] == 1, np.diff(bounds)).astype(np.int32)
                 at += k
-                held.append((before, w, classes))
+                held.append((before, w, toxic, 1 - toxic))
                 size += len(w)
                 if size >= HELD:
                     held = [_distinct(*(np.concatenate(c) for c in zip(*held)))]
                     size = len(held[0][0])
                     if size >= HELD // 2:
-                        yield sent()
+                        yield from sent()
                         held, size = [], 0
         if size:
             held = [_distinct(*(np.concatenate(c) for c in zip(*held)))]
-            yield sent()
+            yield from sent()
 
     return f
 
 
 def _continuations(n_parts: int):
-    """All of a pair meet here, whichever words it has: for each word, how many pairs end in it, of all and of each class."""
+    """All of a pair meet here, whichever words it has: for each word, how many pairs end in it, of all and of each class.
+
+    Pairs and contexts above the cut go on, and how many pairs a class has met once and twice.
+    """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, w, classes = _distinct(*_unpacked(batches, np.uint64, np.uint64, np.uint8))
-        w, counts = _sums(w, np.ones(len(w), np.int64), (classes & _TOXIC > 0).astype(np.int64), (classes & _ORDINARY > 0).astype(np.int64))
-        yield _dealt(((w >> _HALF) % np.uint64(n_parts)).astype(np.int64), n_parts, w, *counts)
+        got = _unpacked(batches)
+        before, w, toxic, ordinary = _distinct(*got[_PAIR])
+        words, counts = _sums(w, np.ones(len(w), np.int64), (toxic > 0).astype(np.int64), (ordinary > 0).astype(np.int64))
+        part = lambda w: ((w >> _HALF) % np.uint64(n_parts)).astype(np.int64)
+        yield _dealt(_WORD, part(words), n_parts, words, *counts)
+        kept = (toxic > CUT) | (ordinary > CUT)
+        yield _dealt(_PAIR, part(w[kept]), n_parts, before[kept], w[kept], toxic[kept], ordinary[kept])
+        yield _dealt(_COUNTED, np.zeros(1, np.int64), n_parts, *[np.array([(c == k).sum()]) for c in (toxic, ordinary) for k in (1, 2)])
+        first, (toxic, ordinary) = _sums(*got[_CONTEXT])
+        kept = (toxic > CUT) | (ordinary > CUT)
+        yield _dealt(_CONTEXT, part(first[kept]), n_parts, first[kept], toxic[kept], ordinary[kept])
 
     return f
 
 
-#: Sums over all words: pairs and stems; then of each class and of words and stems: the counts' sum, how many are 1 and 2, how many and what sum are above the cut.
-_TOTALS = ["pairs", "stems", *[f"{what}_{kind}_{of}" for kind in ("word", "stem") for of in ("toxic", "ordinary") for what in ("all", "one", "two", "kept", "sum")]]
+#: Sums over all words: pairs and stems; how many pairs a class has met once and twice; then of each class and of words and stems: the counts' sum, how many are 1 and 2, how many and what sum are above the cut.
+_TOTALS = ["pairs", "stems", *[f"{what}_pair_{of}" for of in ("toxic", "ordinary") for what in ("one", "two")], *[f"{what}_{kind}_{of}" for kind in ("word", "stem") for of in ("toxic", "ordinary") for what in ("all", "one", "two", "kept", "sum")]]
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All words of a stem meet here: rows of kind 1 for words and 2 for stems above the cut, and of kind 0 with the sums (``key`` says which of _TOTALS)."""
-    w, n, nt, no = _unpacked(batches, np.uint64, np.int64, np.int64, np.int64)
+    """All words of a stem meet here: rows of kind 1 for words and 2 for stems above the cut, and of kind 0 with the sums (``key`` says which of _TOTALS).
+
+    Of kind 3 are the pairs above the cut, with the counts of their second word
+    (``key``), and of kind 4 the contexts, which come as they are.
+    """
+    got = _unpacked(batches)
+    w, n, nt, no = got[_WORD]
     w, (n, nt, no) = _sums(w, n, nt, no)
     stem, (s, st, so) = _sums(w >> _HALF, n, nt, no)
-    total = {"pairs": n.sum(), "stems": len(stem)}
+    total = {"pairs": n.sum(), "stems": len(stem)} | {x: c.sum() for x, c in zip(_TOTALS[2:6], got[_COUNTED])}
     for kind, of_class in (("word", (nt, no)), ("stem", (st, so))):
         for of, c in zip(("toxic", "ordinary"), of_class):
             total |= {f"all_{kind}_{of}": c.sum(), f"one_{kind}_{of}": (c == 1).sum(), f"two_{kind}_{of}": (c == 2).sum(), f"kept_{kind}_{of}": (c > CUT).sum(), f"sum_{kind}_{of}": c[c > CUT].sum()}
     own = np.searchsorted(stem, w >> _HALF)
     words, stems = np.flatnonzero((nt > CUT) | (no > CUT)), np.flatnonzero((st > CUT) | (so > CUT))
-    none = np.zeros(len(stems), np.int64)
+    before, second, *counts = got[_PAIR]
+    of, context = np.searchsorted(w, second), got[_CONTEXT]
     of_kind = [
-        [np.arange(len(_TOTALS)), np.array([int(total[x]) for x in _TOTALS]), *[np.zeros(len(_TOTALS), np.int64)] * 5],
-        [w[words].view(np.int64), n[words], nt[words], no[words], *[c[own[words]] for c in (s, st, so)]],
-        [stem[stems].view(np.int64), none, none, none, s[stems], st[stems], so[stems]],
+        {"key": np.arange(len(_TOTALS)), "n": np.array([int(total[x]) for x in _TOTALS])},
+        {"key": w[words].view(np.int64), "n": n[words], "nt": nt[words], "no": no[words]} | {x: c[own[words]] for x, c in (("s", s), ("st", st), ("so", so))},
+        {"key": stem[stems].view(np.int64), "s": s[stems], "st": st[stems], "so": so[stems]},
+        {"key": second.view(np.int64), "before": before.view(np.int64), "ct": counts[0], "co": counts[1], "n": n[of], "nt": nt[of], "no": no[of]} | {x: c[own[of]] for x, c in (("s", s), ("st", st), ("so", so))},
+        {"key": context[0].view(np.int64), "ct": context[1], "co": context[2]},
     ]
     for kind, columns in enumerate(of_kind):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *[pa.array(np.asarray(c, np.int64)) for c in columns]], _COLUMNS)
+        size = len(columns["key"])
+        rows = [columns.get(c, np.zeros(size, np.int64)) for c in _COLUMNS[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *[pa.array(np.asarray(c, np.int64)) for c in rows]], _COLUMNS)
 
 
-_COLUMNS = ["kind", "key", "n", "nt", "no", "s", "st", "so"]
+_COLUMNS = ["kind", "key", "n", "nt", "no", "s", "st", "so", "before", "ct", "co"]
 
 
-def _ratios(total: dict[str, int]):
-    """(kind, key, ratio) of the words and stems."""
+def _with_contexts(found: DataFrame, total: dict[str, int]) -> DataFrame:
+    """Words, stems, pairs and the contexts of pairs, the latter two with the context's counts (at, ao) and what each class's pairs keep of them (kt, ko)."""
+    pairs = found.filter("kind = 3")
+    kept = lambda c, of: F.sum(F.when(F.col(c) > CUT, F.col(c) - F.lit(_discount(total, f"pair_{of}"))).otherwise(0.0))
+    of = pairs.groupBy("before").agg(kept("ct", "toxic").alias("kt"), kept("co", "ordinary").alias("ko"))
+    of = of.join(found.filter("kind = 4").select(F.col("key").alias("before"), F.col("ct").alias("at"), F.col("co").alias("ao")), "before")
+    none = {c: F.lit(0.0) for c in ("kt", "ko")} | {c: F.lit(0).cast("long") for c in ("at", "ao")}
+    contexts = of.select(F.lit(4).alias("kind"), F.col("before").alias("key"), *[F.lit(0).cast("long").alias(c) for c in _COLUMNS[2:8]], "before", *[F.lit(0).cast("long").alias(c) for c in ("ct", "co")], *none)
+    return found.filter("kind in (1, 2)").select("*", *[c.alias(x) for x, c in none.items()]).unionByName(pairs.join(of, "before").select(*_COLUMNS, *none)).unionByName(contexts)
+
+
+def _discount(total: dict[str, int], of: str) -> float:
+    one, two = total[f"one_{of}"], total[f"two_{of}"]
+    return one / (one + 2 * two) if one else 0.5
 
-    def discount(of: str) -> float:
-        one, two = total[f"one_{of}"], total[f"two_{of}"]
-        return one / (one + 2 * two) if one else 0.5
+
+def _ratios(total: dict[str, int]):
+    """(kind, key, ratio) of the words, stems, pairs and contexts."""
 
     def kept(c: np.ndarray, of: str) -> np.ndarray:
         """The class's share of a count above the cut, less the discount."""
-        return np.where(c > CUT, c - discount(of), 0) / total[f"all_{of}"]
+        return np.where(c > CUT, c - _discount(total, of), 0) / total[f"all_{of}"]
 
     def left(of: str) -> float:
         """What the discount and the cut leave to the backoff."""
-        return 1 - (total[f"sum_{of}"] - discount(of) * total[f"kept_{of}"]) / total[f"all_{of}"]
+        return 1 - (total[f"sum_{of}"] - _discount(total, of) * total[f"kept_{of}"]) / total[f"all_{of}"]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, key, n, nt, no, s, st, so = (batch.column(c).to_numpy() for c in _COLUMNS)
+            kind, key, n, nt, no, s, st, so, before, ct, co, kt, ko, at, ao = (batch.column(c).to_numpy() for c in [*_COLUMNS, "kt", "ko", "at", "ao"])
             # one place more is that of all stems not met
             shared = (s + 1) / (total["pairs"] + total["stems"] + 1)
-            of_stem, of_word = [], []
-            for of, c, cs in (("toxic", nt, st), ("ordinary", no, so)):
+            of_stem, of_word, of_pair, of_context = [], [], [], []
+            for of, c, cs, pair, keeps, of_all in (("toxic", nt, st, ct, kt, at), ("ordinary", no, so, co, ko, ao)):
                 stem = kept(cs, f"stem_{of}") + left(f"stem_{of}") * shared
+                constant = np.log(left(f"word_{of}")) + np.log(left(f"stem_{of}"))
                 of_stem.append(np.log(stem) - np.log(left(f"stem_{of}")))
-                of_word.append(np.log(kept(c, f"word_{of}") + left(f"word_{of}") * stem * n / s) - np.log(left(f"word_{of}")) - np.log(left(f"stem_{of}")))
-            ratio = np.where(kind == 1, of_word[0] - of_word[1], of_stem[0] - of_stem[1])
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("key"), pa.array(ratio.astype(np.float32))], ["kind", "key", "ratio"])
+                word = kept(c, f"word_{of}") + left(f"word_{of}") * stem * n / np.maximum(s, 1)
+                # a context that the class hasn't met leaves all to the words
+                rest, of_all = 1 - keeps / np.maximum(of_all, 1), np.maximum(of_all, 1)
+                own = np.where(pair > CUT, pair - _discount(total, f"pair_{of}"), 0) / of_all
+                with np.errstate(divide="ignore"):  # a stem or a context has no words of its own
+                    of_word.append(np.log(word) - constant)
+                    of_pair.append(np.log(own + rest * word) - constant)
+                of_context.append(np.log(rest))
+            with np.errstate(invalid="ignore"):
+                ratio = np.choose(kind - 1, [x[0] - x[1] for x in (of_word, of_stem, of_pair, of_context)])
+            keys = np.where(kind == 3, pair_keys(before.view(np.uint64), key.view(np.uint64)).view(np.int64), key)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(keys), pa.array(ratio.astype(np.float32))], ["kind", "key", "ratio"])
 
     return f
 
@@ -262,8 +337,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     """Counts all labelled documents outside folds 0 and 1 and fits the scale on fold 1; None if both labels aren't met.
 
     Labels are joined by id after the folds that aren't counted have gone.
-    What comes to the driver are 16 bytes for each word and stem above the cut:
-    as many as the labelled texts have, which is sublinear in their size.
+    What comes to the driver are 16 bytes for each pair, context, word and stem
+    above the cut: as many as the labelled texts have, which is sublinear in their size.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -281,23 +356,23 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     if not total["all_word_toxic"] or not total["all_word_ordinary"]:
         scratch.drop(found)
         return None
-    ratios = found.filter("kind > 0").mapInArrow(_ratios(total), "kind int, key long, ratio float").toArrow()
+    ratios = _with_contexts(found, total).mapInArrow(_ratios(total), "kind int, key long, ratio float").toArrow()
     tables = []
-    for kind in (1, 2):
+    for kind in (1, 2, 3, 4):
         rows = ratios.filter(pc.equal(ratios.column("kind"), kind))
         keys, values = rows.column("key").to_numpy().view(np.uint64), rows.column("ratio").to_numpy()
         order = np.argsort(keys)
         tables += [keys[order], values[order]]
-    model = ToxicityModel(*tables)
+    model = ToxicityModel(*tables[:4], pair_keys=tables[4], pair=tables[5], context_keys=tables[6], context=tables[7])
     scratch.drop(found)
     sample = bounded_sample(known.filter(fold(id_col) == CALIBRATION_FOLD), CALIBRATION_DOCS, id_col)
     rows = docs.select(id_col, F.col(text_col).alias("_text")).filter(fold(id_col) == CALIBRATION_FOLD).join(F.broadcast(sample), id_col).select("_text", "label")
-    found = _leads(rows, model).toArrow()
-    model.slope, model.shift = fit_scale(found.column("lead").to_numpy(), found.column("label").to_numpy())
+    found = _differences(rows, model).toArrow()
+    model.slope, model.shift = fit_scale(found.column("difference").to_numpy(), found.column("label").to_numpy())
     return model
 
 
-#: What the scale knows before it meets a document: words as likely in both classes are ordinary, some far likelier in toxic texts are toxic.
+#: What the scale knows before it meets a document: a text as likely in both classes is ordinary, one that the toxic model knows far better is toxic.
 PRIOR = ((0.0, 0), (4.0, 1))
 #: The scale rises, if but by this.
 LEAST_SLOPE = 0.1
@@ -332,18 +407,18 @@ def fit_scale(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 10
     return float(w[0]), float(w[1])
 
 
-def _leads(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+def _differences(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     broadcast = rows.sparkSession.sparkContext.broadcast(model)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for _, w, bounds in tokens(batch.column("_text")):
-                x = broadcast.value.lead(w, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(x), batch.column("label").slice(at, len(x))], ["lead", "label"])
+            for before, w, bounds in tokens(batch.column("_text")):
+                x = broadcast.value.difference(before, w, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(x), batch.column("label").slice(at, len(x))], ["difference", "label"])
                 at += len(x)
 
-    return rows.mapInArrow(f, "lead double, label int")
+    return rows.mapInArrow(f, "difference double, label int")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -359,7 +434,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = broadcast.value
         for batch in batches:
-            parts = [own.score(w, bounds) for _, w, bounds in tokens(batch.column("_text"))] if own is not None else [np.zeros(len(batch))]
+            parts = [own.score(before, w, bounds) for before, w, bounds in tokens(batch.column("_text"))] if own is not None else [np.zeros(len(batch))]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["_id", "held_out", "score", "predicted"])
 

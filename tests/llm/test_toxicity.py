@@ -79,3 +79,46 @@ def test_scale_rises():
         assert slope >= toxicity.LEAST_SLOPE and np.isfinite(shift)
     slope, shift = toxicity.fit_scale(x[:0], y[:0])
     assert 0 < -shift / slope < 4
+
+
+def test_whole_text_is_compared_by_pairs(spark):
+    """The same words in another order are toxic or not, as only p(w | before) tells, and every word of a text counts."""
+    rng = np.random.default_rng(4)
+
+    def text(x):
+        filler = [f"f{a}" for a in rng.integers(0, 40, 40)]
+        for k in rng.choice(39, 6, replace=False):
+            filler[k] = "you are rats" if x else "rats are you"
+        return " ".join(filler)
+
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train_toxicity(docs, labels)
+    held = [r for r in toxicity.score_toxicity(docs, model).collect() if r["held_out"]]
+    assert held and all(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in held)
+
+    before, w, bounds = next(toxicity.tokens(pa.array(["you are rats f1 never", "rats are you", "", "are rats"])))
+    ratios = model.conditional(before, w)
+    mixed = np.log(1 - toxicity.INTERPOLATION + toxicity.INTERPOLATION * np.exp(ratios)) * toxicity.PER_WORDS
+    assert model.difference(before, w, bounds) == pytest.approx([mixed[:5].mean(), mixed[5:8].mean(), 0, mixed[8:].mean()])
+
+    # the counts one by one
+    counted = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 5 > 1]
+    pairs = {x: {} for x in (0, 1)}
+    for t, x in counted:
+        for p in itertools.pairwise(["", *t.split()]):
+            pairs[x][p] = pairs[x].get(p, 0) + 1
+
+    def shares(x, v, word):
+        of = pairs[x]
+        one, two = (sum(c == j for c in of.values()) for j in (1, 2))
+        d = one / (one + 2 * two) if one else 0.5
+        kept = {p: c - d for p, c in of.items() if c > 3}
+        total = max(1, sum(c for p, c in of.items() if p[0] == v))
+        return kept.get((v, word), 0) / total, 1 - sum(c for p, c in kept.items() if p[0] == v) / total
+
+    # a pair that isn't kept: the contexts' backoff and the word's own ratio
+    own = model.ratios(w)
+    assert ratios[4] == pytest.approx(np.log(shares(1, "f1", "never")[1] / shares(0, "f1", "never")[1]) + own[4], abs=1e-5)
+    assert shares(1, "are", "rats")[0] > 0 and shares(0, "are", "rats")[0] == 0 and ratios[2] > 1 > own[2]
