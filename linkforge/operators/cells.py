@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 8192
 #: Rows that a block's cells find before each query's nearest are kept.
 FOUND_ROWS = 2_000_000
+#: From this share of a block's cells on that queries look into, they are compared with the whole block.
+WHOLE_SHARE = 0.2
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -80,13 +82,16 @@ def block_of_cells(centres: np.ndarray, count: np.ndarray, block_rows: int = BLO
     return block
 
 
-def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes: int, f: Callable[[pa.Table, pa.Table, int], pa.Table], schema: str, keep: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes: int, f: Callable[[pa.Table, pa.Table, int], pa.Table], schema: str, keep: int, block_rows: int = BLOCK_ROWS, any_cell: bool = False) -> DataFrame:
     """``f`` of queries (id, vector) and the rows of each of their nearest cells, from ``filed`` (cell, id, ...).
 
     Small cells that lie together are one block, to which a query goes once
     with the cells it looks into, so what is moved grows with the blocks and
     not with the cells.  Of what ``f`` returns (orig_idxs, match_idxs,
-    distance) a block sends each query's ``keep`` nearest on.
+    distance) a block sends each query's ``keep`` nearest on.  With ``any_cell``
+    ``f`` takes rows of any cells together: queries that look into much of a
+    block meet all of it at once, which finds no less and costs less than many
+    small comparisons.
     """
     spark, kinds, m = queries.sparkSession, dict(queries.dtypes), min(probes, len(centres))
     count = np.zeros(len(centres), np.int64)
@@ -121,6 +126,8 @@ def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes
         of_cell = {c: rows.filter(pa.array(own == c)) for c in np.unique(own).tolist()}
         out = [f(some.slice(0, 0), rows, 0)]
         # so many queries at a time as keep what the cells find for them bounded
+        if any_cell and int(some["cells"].combine_chunks().value_lengths().to_numpy().sum()) > WHOLE_SHARE * len(some) * len(of_cell):
+            return f(some.drop_columns(["cells"]), rows, 0)
         step = max(1, FOUND_ROWS // (keep * int(some["cells"].combine_chunks().value_lengths().to_numpy().max())))
         for a in range(0, len(some), step):
             part = some.slice(a, step).combine_chunks()

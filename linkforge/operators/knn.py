@@ -140,7 +140,7 @@ def ivf_knn(index: DataFrame, queries: DataFrame, k: int, shape: IvfShape | None
         centres, probes = kmeans(x, shape.cells), shape.probes
     near = file_by_cell(index, centres, 1)
     kinds = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
-    found = probe_join(queries, near, centres, probes, lambda q, x, _: block_neighbours(q, x, k, metric), f"orig_idxs {kinds[0]}, match_idxs {kinds[1]}, distance double", k)
+    found = probe_join(queries, near, centres, probes, lambda q, x, _: block_neighbours(q, x, k, metric), f"orig_idxs {kinds[0]}, match_idxs {kinds[1]}, distance double", k, any_cell=True)
     return merged(found, k)
 
 

@@ -128,3 +128,20 @@ def test_parts_grow(spark, tmp_path):
         assert queries.QUERIES["mlm_mask_chunks"](spark, str(tmp_path)).rdd.getNumPartitions() == 77
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_probe_join_compares_blocks_whole(spark, monkeypatch):
+    """Queries that look into most cells of a block meet it in one comparison, and miss none of their cells' rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def f(asked, held, _):
+        if len(asked) and len(held):
+            seen.add(1)
+        return knn.block_neighbours(asked, held, 5, "l2sq")
+
+    x = np.random.default_rng(6).standard_normal((300, 4))
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id long, vector array<double>")
+    centres = knn.kmeans(x, 20)
+    found = cells.probe_join(v, cells.file_by_cell(v, centres, 1), centres, 12, f, "orig_idxs long, match_idxs long, distance double", 5, any_cell=True)
+    want = {tuple(r) for r in knn.exact_knn(v, v, 5).collect()}
+    assert {tuple(r) for r in knn.merged(found, 5).collect()} == want and seen.value <= 4
