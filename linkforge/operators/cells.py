@@ -39,13 +39,25 @@ def squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1))
 
 
+#: Distances to centres that a task has in memory at a time.
+CENTRE_DISTANCES = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], centres: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows as keep the table of their distances to the centres small, however many centres there are."""
+    step = max(1, CENTRE_DISTANCES // max(1, centres))
+    for batch in batches:
+        for a in range(0, len(batch), step):
+            yield batch.slice(a, step)
+
+
 def file_by_cell(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     """(cell, id, vector) of (id, vector): a row for each of the nearest centres."""
     sent, kinds = df.sparkSession.sparkContext.broadcast(centres), dict(df.dtypes)
     m = min(probes, len(centres))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(sent.value)):
             if len(batch):
                 d = squares(rows_of(batch.column("vector")), sent.value)
                 near = np.argpartition(d, m - 1, axis=1)[:, :m].astype(np.int32)
@@ -102,7 +114,7 @@ def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_centres, own_block = sent.value
-        for batch in batches:
+        for batch in slices(batches, len(own_centres)):
             if len(batch):
                 d = squares(rows_of(batch.column("vector")), own_centres)
                 near = np.argpartition(d, m - 1, axis=1)[:, :m]

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.operators.cells import block_of_cells, cell_join, file_by_cell, finite, nearest_of, rows_of, squares
+from linkforge.operators.cells import block_of_cells, cell_join, file_by_cell, finite, nearest_of, rows_of, slices, squares
 from linkforge.operators.knn import _prepared, block_neighbours, kmeans, merged
 from linkforge.operators.scratch import Tables
 
@@ -28,6 +28,8 @@ from linkforge.operators.scratch import Tables
 PIVOTS, SAMPLE = 1024, 20_000
 #: From this share of a block's pairs on it is compared whole.
 WHOLE_SHARE = 0.3
+#: Queries whose bounds to all cells a task has in memory at a time.
+BOUNDED_ROWS = 512
 
 
 @dataclass
@@ -92,7 +94,7 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The nearest cell that has k rows, or the nearest."""
         own_cells, own_centres = held.value[:2]
-        for batch in batches:
+        for batch in slices(batches, len(own_centres)):
             if len(batch):
                 d = squares(rows_of(batch.column("vector")), own_centres)
                 some = full if len(full) else np.arange(len(own_cells))
@@ -120,8 +122,8 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
         by_block = np.argsort(block, kind="stable")
         starts = np.searchsorted(block[by_block], blocks)
         for batch in batches:
-            for a in range(0, len(batch), 1024):
-                part = batch.slice(a, 1024)
+            for a in range(0, len(batch), BOUNDED_ROWS):
+                part = batch.slice(a, BOUNDED_ROWS)
                 q, home_cell = rows_of(part.column("vector")), part.column("cell").to_numpy()
                 d = np.sqrt(squares(q, own_centres))
                 bound = part.column("bound").to_numpy(zero_copy_only=False).astype(float)
@@ -149,8 +151,9 @@ def pruned_neighbours(index: DataFrame, queries: DataFrame, k: int, metric: str
             return compare(asked, rows)
         own_cells = held.value[0]
         here, q = np.unique(rows["own"].to_numpy()), rows_of(asked["vector"])
-        low = lowest(q, np.searchsorted(own_cells, here))
-        open_ = (low <= asked["reach"].to_numpy()[:, None]) & (here[None, :] != asked["home"].to_numpy()[:, None])
+        some, reach = np.searchsorted(own_cells, here), asked["reach"].to_numpy()
+        open_ = np.concatenate([lowest(q[a : a + BOUNDED_ROWS], some) <= reach[a : a + BOUNDED_ROWS, None] for a in range(0, len(q), BOUNDED_ROWS)])
+        open_ &= here[None, :] != asked["home"].to_numpy()[:, None]
         if open_.mean() > WHOLE_SHARE:
             return nearer(compare(asked, rows), asked)
         out = [compare(asked.filter(pa.array(open_[:, j])), rows.filter(pa.array(rows["own"].to_numpy() == c))) for j, c in enumerate(here.tolist()) if open_[:, j].any()]

@@ -145,3 +145,15 @@ def test_probe_join_compares_blocks_whole(spark, monkeypatch):
     found = cells.probe_join(v, cells.file_by_cell(v, centres, 1), centres, 12, f, "orig_idxs long, match_idxs long, distance double", 5, any_cell=True)
     want = {tuple(r) for r in knn.exact_knn(v, v, 5).collect()}
     assert {tuple(r) for r in knn.merged(found, 5).collect()} == want and seen.value <= 4
+
+
+def test_rows_meet_centres_in_parts(spark, monkeypatch):
+    """However many rows a batch has, few are compared with the centres at a time, and cells are the same."""
+    x = np.random.default_rng(7).standard_normal((400, 6))
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id long, vector array<double>").coalesce(1)
+    centres = x[:40]
+    want = sorted((r["cell"], r["id"]) for r in cells.file_by_cell(v, centres, 2).collect())
+    batch = pa.RecordBatch.from_pydict({"id": list(range(400))})
+    assert [len(b) for b in cells.slices([batch], 1 << 18)] == [4] * 100
+    monkeypatch.setattr(cells, "CENTRE_DISTANCES", 1000)
+    assert sorted((r["cell"], r["id"]) for r in cells.file_by_cell(v, centres, 2).collect()) == want
