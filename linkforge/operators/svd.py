@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,11 +60,42 @@ def _grouped(weights: DataFrame) -> DataFrame:
     return pairs.select("id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
 
 
+#: Bytes of a stretch of the block's rows that is added up in one place.
+CHUNK_BYTES = 1 << 20
+
+
+def _products(rows: DataFrame, block: np.ndarray, terms: dict[str, int]) -> DataFrame:
+    """(chunk, s): the matrix and its transpose times a block, a row for each stretch of the block's rows.
+
+    Partitions' sums meet by stretch and are added in the partitions' order, so
+    however many there are, the driver gets one block.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((block, terms))
+    step = max(1, CHUNK_BYTES // max(1, 8 * block.shape[1]))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, index = sent.value
+        total, part = np.zeros_like(own), TaskContext.get().partitionId()
+        for batch in batches:
+            for t, w in zip(batch.column("terms").to_pylist(), batch.column("weights").to_pylist()):
+                at, w = [index[x] for x in t], np.array(w)
+                total[at] += np.outer(w, w @ own[at])
+        for c, a in enumerate(range(0, len(total), step)):
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "part": pa.array([part], pa.int32()), "s": pa.array([total[a : a + step].tobytes()], pa.binary())})
+
+    def added(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("part")
+        total = sum(np.frombuffer(x) for x in parts["s"].to_pylist())
+        return pa.table({"chunk": parts["chunk"].slice(0, 1), "s": pa.array([total.tobytes()], pa.binary())})
+
+    return rows.mapInArrow(f, "chunk int, part int, s binary").groupBy("chunk").applyInArrow(added, "chunk int, s binary")
+
+
 def fit(weights: DataFrame, dim: int | None = None, passes: int = 7, extra: int = 10, most_terms: int = 2_000_000) -> SvdModel:
     """Leading right singular vectors of the matrix of weights.
 
     Each pass multiplies a block of terms x (dim + extra) by the matrix and its
-    transpose; partitions return their sums.  The block is broadcast, and its
+    transpose; partitions' sums are added up in Spark, and one block returns.  The block is broadcast, and its
     rows are the vocabulary.  Beyond ``most_terms`` terms they share rows by
     hash, so the block is bounded; weights of terms that share a row are summed.
     Signs are fixed by the largest component.
@@ -81,20 +113,10 @@ def fit(weights: DataFrame, dim: int | None = None, passes: int = 7, extra: int
     seeds = [int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) for t in found]
     q = np.stack([np.random.default_rng(s).standard_normal(width) for s in seeds]) if found else np.zeros((0, width))
     q, _ = np.linalg.qr(q)
-    context = weights.sparkSession.sparkContext
     basis, values = q, np.zeros(0)
     for _ in range(passes):
-        block, index = context.broadcast(q), context.broadcast(terms)
-
-        def f(batches: Iterator[pa.RecordBatch], block=block, index=index) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(block.value)
-            for batch in batches:
-                for t, w in zip(batch.column("terms").to_pylist(), batch.column("weights").to_pylist()):
-                    at, w = [index.value[x] for x in t], np.array(w)
-                    total[at] += np.outer(w, w @ block.value[at])
-            yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
-
-        sums = rows.mapInArrow(f, "s binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(q.shape)).treeReduce(lambda a, b: a + b)
+        got = _products(rows, q, terms).toArrow().sort_by("chunk")
+        sums = np.concatenate([np.zeros(0), *[np.frombuffer(x) for x in got["s"].to_pylist()]]).reshape(q.shape)
         # Rayleigh-Ritz on this pass's block, then the next block
         small = q.T @ sums
         squares, turn = np.linalg.eigh((small + small.T) / 2)

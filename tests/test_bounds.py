@@ -2,11 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from linkforge import queries
 from linkforge.functions import chars, text
-from linkforge.operators import cells, knn, minhash
+from linkforge.operators import cells, knn, minhash, svd
 
 
 def _texts(spark):
@@ -157,3 +158,15 @@ def test_rows_meet_centres_in_parts(spark, monkeypatch):
     assert [len(b) for b in cells.slices([batch], 1 << 18)] == [4] * 100
     monkeypatch.setattr(cells, "CENTRE_DISTANCES", 1000)
     assert sorted((r["cell"], r["id"]) for r in cells.file_by_cell(v, centres, 2).collect()) == want
+
+
+def test_one_block_comes_to_the_driver(spark, monkeypatch):
+    """Sums of the decomposition's products are added where stretches meet, however many partitions there are."""
+    x = np.random.default_rng(8).random((60, 12))
+    weights = spark.createDataFrame([(i, f"t{j:02}", float(x[i, j])) for i in range(60) for j in range(12)], "id long, term string, weight double")
+    rows, terms, block = svd._grouped(weights).repartition(9, "id"), {f"t{j:02}": j for j in range(12)}, np.random.default_rng(9).random((12, 4))
+    monkeypatch.setattr(svd, "CHUNK_BYTES", 8 * 4 * 5)
+    got = svd._products(rows, block, terms).toArrow().sort_by("chunk")
+    assert got["chunk"].to_pylist() == [0, 1, 2]
+    assert np.concatenate([np.frombuffer(s) for s in got["s"].to_pylist()]).reshape(12, 4) == pytest.approx(x.T @ (x @ block))
+    assert svd.fit(weights, 5).values == pytest.approx(np.linalg.svd(x)[1][:5], rel=1e-3)
