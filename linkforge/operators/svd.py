@@ -60,6 +60,8 @@ def _grouped(weights: DataFrame) -> DataFrame:
     return pairs.select("id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
 
 
+#: Rows of a partition at least, unless there are fewer than cores: each sends a whole block in every pass.
+PART_ROWS = 2048
 #: Bytes of a stretch of the block's rows that is added up in one place.
 CHUNK_BYTES = 1 << 20
 
@@ -108,14 +110,16 @@ def fit(weights: DataFrame, dim: int | None = None, passes: int = 7, extra: int
     found = sorted(r[0] for r in every.toLocalIterator())
     terms = {t: i for i, t in enumerate(found)}
     rows = _grouped(weights).cache()
-    dim = min(dim or default_dim(len(terms)), len(terms), max(1, rows.count()))
+    n_rows = rows.count()
+    dim = min(dim or default_dim(len(terms)), len(terms), max(1, n_rows))
+    few = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // PART_ROWS)))
     width = min(len(terms), dim + extra)
     seeds = [int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) for t in found]
     q = np.stack([np.random.default_rng(s).standard_normal(width) for s in seeds]) if found else np.zeros((0, width))
     q, _ = np.linalg.qr(q)
     basis, values = q, np.zeros(0)
     for _ in range(passes):
-        got = _products(rows, q, terms).toArrow().sort_by("chunk")
+        got = _products(few, q, terms).toArrow().sort_by("chunk")
         sums = np.concatenate([np.zeros(0), *[np.frombuffer(x) for x in got["s"].to_pylist()]]).reshape(q.shape)
         # Rayleigh-Ritz on this pass's block, then the next block
         small = q.T @ sums
