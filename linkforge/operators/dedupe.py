@@ -19,7 +19,7 @@ from linkforge.operators.pruned_knn import pruned_knn
 from linkforge.operators.scratch import written
 from linkforge.operators.tfidf import bm25_top_k
 from linkforge.operators.transformer import CharTransformer, embed_texts
-from linkforge.plans.strategy import ANCHOR_PARTS, ANCHOR_SHAPE, VECTOR_PARTS, IvfShape, choose
+from linkforge.plans.strategy import ANCHOR_PARTS, ANCHOR_SHAPE, VECTOR_PARTS, IvfShape
 
 
 #: Terms up to which the decomposition's block stands on one machine; beyond, it is a table.
@@ -51,14 +51,14 @@ def dedupe_approx_knn(df: DataFrame, id_col: str, text_col: str, k: int = 10) ->
     return edges(near.withColumn("distance", F.round(F.sqrt("distance"), 6)))
 
 
-def nearest(vectors: DataFrame, k: int, parts: int, shape: IvfShape | None = None, strategy: str = "auto") -> DataFrame:
-    """Squared distances: exact, or from inverted lists of product codes (``pq``); by the planner's number of rows unless told."""
-    if strategy == "auto":
-        strategy = "exact" if choose(vectors.count()) == "exact" else "pq"
+def nearest(vectors: DataFrame, k: int, parts: int, shape: IvfShape | None = None, strategy: str = "exact") -> DataFrame:
+    """Squared distances: exact however many rows there are, or from inverted lists of product codes where asked for (``pq``)."""
+    if strategy not in ("exact", "pq"):
+        raise ValueError(f"unknown strategy {strategy}")
     return exact_knn(vectors, vectors, k) if strategy == "exact" else ivf_pq_knn(vectors, vectors, k, parts, shape)
 
 
-def dedupe_vectors(df: DataFrame, id_col: str, text_col: str, k: int = 5, strategy: str = "auto") -> DataFrame:
+def dedupe_vectors(df: DataFrame, id_col: str, text_col: str, k: int = 5, strategy: str = "exact") -> DataFrame:
     """Squared distances of the vectors at full length."""
     return edges(nearest(written(compressed_vectors(df, id_col, text_col)[0]), k, VECTOR_PARTS, IvfShape(), strategy))
 
@@ -69,7 +69,7 @@ def anchor_vectors(df: DataFrame, id_col: str, text_col: str, anchors: int = 128
     return df.select(F.col(id_col).alias("id"), similarity_vector(chosen, scorer)(F.col(text_col)).alias("vector")), chosen
 
 
-def dedupe_anchors(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.1, k: int = 10, anchors: int = 128, seed: int = 0, strategy: str = "auto") -> DataFrame:
+def dedupe_anchors(df: DataFrame, id_col: str, text_col: str, cutoff: float = 0.1, k: int = 10, anchors: int = 128, seed: int = 0, strategy: str = "exact") -> DataFrame:
     """By similarities to anchors; a string like none of them has no matches."""
     # written before a filter on them, which would otherwise move below the comparisons and into what made the strings
     vectors = written(anchor_vectors(df, id_col, text_col, anchors, seed)[0])
@@ -85,7 +85,7 @@ def byte_bag(df: DataFrame, id_col: str, text_col: str, table: DataFrame) -> Dat
     return mean.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("vector"))
 
 
-def dedupe_embedded(df: DataFrame, id_col: str, text_col: str, embed: Callable[[DataFrame, str, str], DataFrame], k: int = 5, strategy: str = "auto") -> DataFrame:
+def dedupe_embedded(df: DataFrame, id_col: str, text_col: str, embed: Callable[[DataFrame, str, str], DataFrame], k: int = 5, strategy: str = "exact") -> DataFrame:
     """With any embedder from (table, id column, text column) to (id, vector)."""
     return edges(nearest(written(embed(df, id_col, text_col)), k, VECTOR_PARTS, IvfShape(), strategy))
 
