@@ -94,7 +94,7 @@ def block_of_cells(centres: np.ndarray, count: np.ndarray, block_rows: int = BLO
     return block
 
 
-def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes: int, f: Callable[[pa.Table, pa.Table, int], pa.Table], schema: str, keep: int, block_rows: int = BLOCK_ROWS, any_cell: bool = False) -> DataFrame:
+def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes: int, f: Callable[[pa.Table, pa.Table, int], pa.Table], schema: str, keep: int, block_rows: int = BLOCK_ROWS, any_cell: bool = False, last: Callable[[pa.Table, pa.Table, pa.Table], pa.Table] | None = None) -> DataFrame:
     """``f`` of queries (id, vector) and the rows of each of their nearest cells, from ``filed`` (cell, id, ...).
 
     Small cells that lie together are one block, to which a query goes once
@@ -103,17 +103,18 @@ def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes
     distance) a block sends each query's ``keep`` nearest on.  With ``any_cell``
     ``f`` takes rows of any cells together: queries that look into much of a
     block meet all of it at once, which finds no less and costs less than many
-    small comparisons.
+    small comparisons, and go without a list of its cells.  ``last`` of some
+    queries, the block's rows and what is kept of their finds is sent on instead.
     """
     spark, kinds, m = queries.sparkSession, dict(queries.dtypes), min(probes, len(centres))
     count = np.zeros(len(centres), np.int64)
     for r in filed.groupBy("cell").count().collect():
         count[r["cell"]] = r["count"]
     block = block_of_cells(centres, count, block_rows)
-    sent = spark.sparkContext.broadcast((centres, block))
+    sent = spark.sparkContext.broadcast((centres, block, np.bincount(block[count > 0], minlength=block.max() + 1)))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_centres, own_block = sent.value
+        own_centres, own_block, filled = sent.value
         for batch in slices(batches, len(own_centres)):
             if len(batch):
                 d = squares(rows_of(batch.column("vector")), own_centres)
@@ -123,7 +124,12 @@ def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes
                 row, cell = row[order], cell[order]
                 at = own_block[cell]
                 first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                length = np.diff(np.append(first, len(row)))
+                if any_cell:
+                    # an empty list stands for all cells
+                    listed = length <= WHOLE_SHARE * filled[at[first]]
+                    cell, length = cell[np.repeat(listed, length)], length * listed
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(cell.astype(np.int32)))
                 of = pa.array(row[first])
                 yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), batch.column("id").take(of), batch.column("vector").take(of), lists], ["cell", "id", "vector", "cells"])
 
@@ -134,12 +140,18 @@ def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes
     def g(some: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(some) or not len(rows):
             return f(some, rows, 0)
+        out = [f(some.slice(0, 0), rows, 0)]
+        then = (lambda part, found: found) if last is None else lambda part, found: last(part, rows, found)
+        if any_cell:
+            length = some["cells"].combine_chunks().value_lengths().to_numpy()
+            whole, some = some.filter(pa.array(length == 0)).drop_columns(["cells"]), some.filter(pa.array(length > 0))
+            step = max(1, FOUND_ROWS // keep)
+            out += [then(part, f(part, rows, 0)) for a in range(0, len(whole), step) for part in [whole.slice(a, step)]]
+            if not len(some):
+                return pa.concat_tables(out)
         own = rows["own"].to_numpy()
         of_cell = {c: rows.filter(pa.array(own == c)) for c in np.unique(own).tolist()}
-        out = [f(some.slice(0, 0), rows, 0)]
         # so many queries at a time as keep what the cells find for them bounded
-        if any_cell and int(some["cells"].combine_chunks().value_lengths().to_numpy().sum()) > WHOLE_SHARE * len(some) * len(of_cell):
-            return f(some.drop_columns(["cells"]), rows, 0)
         step = max(1, FOUND_ROWS // (keep * int(some["cells"].combine_chunks().value_lengths().to_numpy().max())))
         for a in range(0, len(some), step):
             part = some.slice(a, step).combine_chunks()
@@ -147,7 +159,7 @@ def probe_join(queries: DataFrame, filed: DataFrame, centres: np.ndarray, probes
             query, cell = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
             found = [f(part.take(pa.array(query[cell == c])), held, c) for c, held in of_cell.items() if (cell == c).any()]
             if found:
-                out.append(nearest_of(pa.concat_tables(found), keep))
+                out.append(then(part, nearest_of(pa.concat_tables(found), keep)))
         return pa.concat_tables(out)
 
     return cell_join(asked, held, g, schema, block_rows)

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.operators.cells import finite, probe_join, rows_of, squares
-from linkforge.operators.knn import ivf_shape, kmeans, merged
+from linkforge.operators.cells import finite, nearest_of, probe_join, rows_of, squares
+from linkforge.operators.knn import DISTANCES, ivf_shape, kmeans, merged
 from linkforge.operators.scratch import Tables
-from linkforge.plans.strategy import IvfShape
+from linkforge.plans.strategy import EXACT_BYTES, IvfShape
 
 CODES, SAMPLE = 256, 20_000
 
@@ -41,12 +42,13 @@ class Quantiser:
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         return np.stack([squares(part, book).argmin(axis=1).astype(np.uint8) for part, book in zip(self.parts(self.padded(x) - self.centres[cell]), self.books)], axis=1)
 
-    def estimate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of queries to the rows of a cell, by a table of each query's distances to each part's codes."""
-        out = np.zeros((len(q), len(codes)))
-        for j, (part, book) in enumerate(zip(self.parts(self.padded(q) - self.centres[cell]), self.books)):
-            out += squares(part, book)[:, codes[:, j]]
-        return out
+    def decode(self, cell: int | np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes of rows of a cell, or of each its own, stand for."""
+        return self.centres[cell] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
+
+    def estimate(self, q: np.ndarray, cell: int | np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Squared distances of queries to what the codes of rows of a cell, or of each its own, stand for."""
+        return squares(self.padded(q), self.decode(cell, codes))
 
 
 def fit_quantiser(index: DataFrame, parts: int, shape: IvfShape | None = None, k: int = 10, recall: float = 0.97, sample: int = SAMPLE, seed: int = 0) -> Quantiser | None:
@@ -81,10 +83,10 @@ def encode_index(index: DataFrame, quantiser: Quantiser) -> DataFrame:
 def ivf_pq_knn(index: DataFrame, queries: DataFrame, k: int, parts: int = 8, shape: IvfShape | None = None, depth: int = 20, recall: float = 0.97, quantiser: Quantiser | None = None, codes: DataFrame | None = None) -> DataFrame:
     """(orig_idxs, match_idxs, distance): approximately the k nearest rows (id, vector) of each query, squared distances, ties by id.
 
-    What meets in the cells are queries and codes of ``parts`` bytes.  The
-    ``depth`` x k nearest by the codes, of each cell and then of all, are ranked
-    by their exact distances.  A fitted ``quantiser`` and the table of its
-    ``codes`` can be kept and given again.
+    The ``depth`` x k nearest by codes of ``parts`` bytes, of each block of
+    cells that a query looks into, are ranked by their exact distances where
+    they are found, so k of a block are sent on and no vector follows a pair.  A
+    fitted ``quantiser`` and the table of its ``codes`` can be kept and given again.
     """
     tables = Tables(index.sparkSession)
     index, queries = (finite(df.select("id", "vector")) for df in (index, queries))
@@ -95,18 +97,22 @@ def ivf_pq_knn(index: DataFrame, queries: DataFrame, k: int, parts: int = 8, sha
         return index.sparkSession.createDataFrame([], schema)
     codes = tables.written(encode_index(index, quantiser)) if codes is None else codes
     sent, most = index.sparkSession.sparkContext.broadcast(quantiser), depth * k
-    padded = quantiser.centres.shape[1] - (index.select(F.size("vector")).first() or [quantiser.centres.shape[1]])[0]
-    asked = queries.select("id", F.concat(F.col("vector").cast("array<double>"), F.array_repeat(F.lit(0.0), padded)).alias("vector"))
+    width = quantiser.centres.shape[1]
+    padded = width - (index.select(F.size("vector")).first() or [width])[0]
+    zero = F.lit(0).cast(dict(queries.dtypes)["vector"].removeprefix("array<").removesuffix(">"))
+    asked = queries.select("id", F.concat("vector", F.array_repeat(zero, padded)).alias("vector"))
 
     def f(asked: pa.Table, held: pa.Table, cell: int) -> pa.Table:
         none = np.zeros(0, np.int64)
         left, right, far = [none], [none], [np.zeros(0)]
         if len(asked) and len(held):
-            own = sent.value
             table = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(len(held), -1)
+            stood = sent.value.decode(held["own"].to_numpy(), table)
             q, top = rows_of(asked["vector"]), min(most, len(held))
-            for a in range(0, len(q), 256):
-                d = own.estimate(q[a : a + 256], cell, table)
+            # so many queries at a time as keep the table of distances small
+            step = max(1, min(256, DISTANCES // len(held)))
+            for a in range(0, len(q), step):
+                d = squares(q[a : a + step], stood)
                 near = np.argpartition(d, top - 1, axis=1)[:, :top]
                 left.append(np.repeat(np.arange(a, a + len(d)), top))
                 right.append(near.reshape(-1))
@@ -114,14 +120,14 @@ def ivf_pq_knn(index: DataFrame, queries: DataFrame, k: int, parts: int = 8, sha
         left, right = pa.array(np.concatenate(left)), pa.array(np.concatenate(right))
         return pa.Table.from_arrays([asked["id"].take(left).combine_chunks(), held["id"].take(right).combine_chunks(), pa.array(np.concatenate(far))], ["orig_idxs", "match_idxs", "distance"])
 
-    rough = probe_join(asked, codes, quantiser.centres, quantiser.probes, f, schema, most)
-    rank = F.row_number().over(Window.partitionBy("orig_idxs").orderBy("distance", "match_idxs"))
-    near = rough.withColumn("_r", rank).filter(F.col("_r") <= most).select("orig_idxs", "match_idxs")
-    both = near.join(queries.select(F.col("id").alias("orig_idxs"), F.col("vector").alias("x")), "orig_idxs").join(index.select(F.col("id").alias("match_idxs"), F.col("vector").alias("y")), "match_idxs")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = np.round(((rows_of(batch.column("x")) - rows_of(batch.column("y"))) ** 2).sum(axis=1), 6)
-            yield pa.RecordBatch.from_arrays([batch.column("orig_idxs"), batch.column("match_idxs"), pa.array(d)], ["orig_idxs", "match_idxs", "distance"])
-
-    return merged(both.select("orig_idxs", "match_idxs", "x", "y").mapInArrow(exact, schema), k)
+    def exact(asked: pa.Table, held: pa.Table, near: pa.Table) -> pa.Table:
+        x, y = rows_of(asked["vector"]), rows_of(held["vector"])
+        left, right = (pc.index_in(near[c].combine_chunks(), t["id"].combine_chunks()).to_numpy() for c, t in (("orig_idxs", asked), ("match_idxs", held)))
+        x, out = x[:, : y.shape[1]], []
+        step = max(1, DISTANCES // y.shape[1])
+        for a in range(0, len(near), step):
+            out.append(((x[left[a : a + step]] - y[right[a : a + step]]) ** 2).sum(axis=1))
+        return nearest_of(near.set_column(2, "distance", pa.array(np.round(np.concatenate([np.zeros(0), *out]), 6))), k)
+
+    held = codes.select("cell", "id", "code").join(index, "id")
+    return merged(probe_join(asked, held, quantiser.centres, quantiser.probes, f, schema, most, max(1, EXACT_BYTES // (8 * width)), any_cell=True, last=exact), k)
